@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import langid, linededup, lm, mixing, ngram_join, packing, quality
+from graphloom.llm import fingerprint, langid, linededup, lm, mixing, ngram_join, packing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = fold_of(F.col("doc_id"), 5) == 0
@@ -56,7 +60,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_source_mix, op2_packing, op3_ngram_join, op4_pitman_yor, op5_line_dedup, op7_language_id, op8_quality_rules)
+    f.__name__: f for f in (op1_source_mix, op2_packing, op3_ngram_join, op4_pitman_yor, op5_line_dedup, op6_fingerprints, op7_language_id, op8_quality_rules)
 }
 
 SQL: dict[str, str] = {}
