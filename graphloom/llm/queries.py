@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import fingerprint, langid, linededup, lm, mixing, ngram_join, packing, quality
+from graphloom.llm import fingerprint, langid, licences, linededup, lm, mixing, ngram_join, packing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,8 +59,25 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model).select("doc_id", *quality.SIGNALS, "base_failed", "kept", "quality_prob")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_segments", "licences", "best_licence", "best_dice")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_source_mix, op2_packing, op3_ngram_join, op4_pitman_yor, op5_line_dedup, op6_fingerprints, op7_language_id, op8_quality_rules)
+    f.__name__: f
+    for f in (
+        op1_source_mix,
+        op2_packing,
+        op3_ngram_join,
+        op4_pitman_yor,
+        op5_line_dedup,
+        op6_fingerprints,
+        op7_language_id,
+        op8_quality_rules,
+        op10_license_scan,
+    )
 }
 
+#: Counted and hashed texts go beyond what SQL can check here except where given.
 SQL: dict[str, str] = {}
