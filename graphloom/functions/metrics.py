@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.functions.text import exact_match, token_f1
 
@@ -34,7 +35,7 @@ def fuzzy_sets(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return pairs.withColumns({"common": common, "only_left": F.array_except(F.col(left), common)})
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rouge_l(prediction: pd.Series, gold: pd.Series) -> pd.Series:
     """A5: F of the longest common subsequence of white-space tokens; a sequential recurrence, so an Arrow UDF."""
 

@@ -129,11 +129,11 @@ class Matcher:
         bound: set[str] = set()
         for step in pattern.steps:
             hop = self.hops(step)
-            s, t = f"{step.source}_id", f"{step.target}_id"
             if out is None:
                 out = hop
             else:
-                shared = [c for c in dict.fromkeys((s, t)) if c in out.columns]
+                ends = [f"{v}_{x}" for v in dict.fromkeys((step.source, step.target)) for x in ("id", "label")]
+                shared = [c for c in ends if c in out.columns and c in hop.columns]
                 if not shared:
                     raise PatternError("paths of a pattern must share variables, in an order that connects them")
                 out = out.join(hop, shared)
@@ -142,7 +142,8 @@ class Matcher:
             rows = self.scan(var, labels)
             if out is not None and var not in bound:
                 raise PatternError(f"{var} is not connected to the pattern")
-            out = rows if out is None else out.join(rows, f"{var}_id")
+            # a node is its id and label; paths of several hops know ids only
+            out = rows if out is None else out.join(rows, [c for c in (f"{var}_id", f"{var}_label") if c in out.columns])
         return out
 
     def hops(self, step: Step) -> DataFrame:
@@ -151,11 +152,12 @@ class Matcher:
         if (step.low, step.high) != (1, 1):
             paths = variable_paths(edges, step.low, step.high, step.undirected)
             return paths.select(F.col("start").alias(s), F.col("end").alias(t), F.col("labels").alias(f"{step.var}_labels"), F.col("hops").alias(f"{step.var}_hops"))
-        cols = lambda a, b: [F.col(a).alias(s), F.col(b).alias(t), F.col("label").alias(f"{step.var}_label"), F.col("properties").alias(f"{step.var}_properties")]
+        own = [F.col("label").alias(f"{step.var}_label"), F.col("properties").alias(f"{step.var}_properties")]
+        end = lambda var, side: [F.col(f"{side}_id").alias(f"{var}_id"), F.col(f"{side}_type").alias(f"{var}_label")]
         if s == t:
-            return edges.where("from_id = to_id").select(F.col("from_id").alias(s), *cols("from_id", "to_id")[2:])
-        rows = edges.select(*cols("from_id", "to_id"))
-        return rows.unionByName(edges.select(*cols("to_id", "from_id"))) if step.undirected else rows
+            return edges.where("from_id = to_id AND from_type = to_type").select(*end(step.source, "from"), *own)
+        rows = edges.select(*end(step.source, "from"), *end(step.target, "to"), *own)
+        return rows.unionByName(edges.select(*end(step.source, "to"), *end(step.target, "from"), *own)) if step.undirected else rows
 
     def resolve(self, name: str) -> Column:
         var, _, prop = name.partition(".")
