@@ -5,7 +5,7 @@ keeps per key the smallest and largest doc_id (combined before the shuffle),
 merge-anti-joins the runs of earlier batches and adds the keys that are new as a
 run of its own, sorted by hash.  Runs form levels: when ``fan_in`` runs of a level
 exist they are merged into one run of the next.  As every run is bucketed and
-sorted by the hash, joins and merges read runs without a shuffle of their own.
+sorted by the hash, anti-joins read runs without a shuffle of their own.
 
 A key is dropped from every document but the first that holds it, so all lines of
 a key stay in the smallest doc_id.  Keys are 128-bit hashes; a line is compared
@@ -116,38 +116,46 @@ def _strip_rows(least: int, names: list[str]):
 
 
 class Runs:
-    """The levels; every run is a bucketed, sorted table in the shared folder."""
+    """The levels; every run is a bucketed, sorted table in the shared folder.
+
+    Buckets are those of a shuffle by the same columns into as many partitions, so a
+    task writes one file, and joins on the hash move no run.
+    """
 
     def __init__(self, spark: SparkSession, fan_in: int, buckets: int):
         self.spark, self.fan_in, self.buckets = spark, fan_in, buckets
         self.root = f"{shared_dir(spark)}/line-runs-{uuid.uuid4().hex}"
-        self.levels: list[list[str]] = []
+        self.levels: list[list[DataFrame]] = []
         self.made: list[str] = []
 
-    def _write(self, keys: DataFrame) -> str:
+    def spread(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition(self.buckets, "h1", "h2")
+
+    def write(self, keys: DataFrame) -> DataFrame:
+        """``keys``, which ``spread`` has dealt, as a table."""
         name = f"line_run_{uuid.uuid4().hex}"
-        keys.write.bucketBy(self.buckets, "h1").sortBy("h1", "h2").option("path", f"{self.root}/{name}").saveAsTable(name)
+        keys.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.root}/{name}").saveAsTable(name)
         self.made.append(name)
-        return name
+        return self.spark.table(name)
 
-    def add(self, keys: DataFrame) -> None:
+    def add(self, run: DataFrame) -> None:
         """A new run at level 0; full levels are compacted upwards."""
-        run, level = self._write(keys), 0
+        level = 0
         while True:
             if len(self.levels) <= level:
                 self.levels.append([])
             self.levels[level].append(run)
             if len(self.levels[level]) < self.fan_in:
                 return
-            whole = self.spark.table(self.levels[level][0])
+            whole = self.levels[level][0]
             for other in self.levels[level][1:]:
-                whole = whole.unionByName(self.spark.table(other))
+                whole = whole.unionByName(other)
             # runs hold disjoint keys, so a merge is their sorted union
-            run = self._write(whole.repartition(self.buckets, "h1"))
+            run = self.write(self.spread(whole))
             self.levels[level], level = [], level + 1
 
-    def tables(self) -> list[DataFrame]:
-        return [self.spark.table(x) for level in self.levels for x in level]
+    def runs(self) -> list[DataFrame]:
+        return [run for level in self.levels for run in level]
 
     def forget(self) -> None:
         for name in self.made:  # external tables: the files stay in the shared folder
@@ -176,21 +184,19 @@ def dedup_lines(docs: DataFrame, least: int = 10, batches: int = 4, fan_in: int
         if high is not None:
             part = part.where(F.col(DOC) <= high)
         keys = part.select(F.col(DOC).alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(_key_rows(least), "h1 long, h2 long, low long, high long")
-        keys = keys.groupBy("h1", "h2").agg(F.min("low").alias("doc"), F.max("high").alias("high"))
-        new, old = keys, None
-        for run in runs.tables():
-            hit = run.select("h1", "h2", F.col("doc").alias("owner"))
-            again = keys.join(hit, ["h1", "h2"]).select("h1", "h2", F.col("owner").alias("doc"))
-            old = again if old is None else old.unionByName(again)
-            new = new.join(hit, ["h1", "h2"], "left_anti")
-        inside = new.where(F.col("high") > F.col("doc")).select("h1", "h2", "doc")
-        found = inside if old is None else inside.unionByName(old)
-        found = cut(found)
+        # slices have combined equal keys already
+        keys = runs.spread(keys).groupBy("h1", "h2").agg(F.min("low").alias("doc"), F.max("high").alias("high"))
+        owner = F.lit(None).cast("long")
+        for i, run in enumerate(runs.runs()):
+            keys = keys.join(run.select("h1", "h2", F.col("doc").alias(f"owner{i}")), ["h1", "h2"], "left")
+            owner = F.coalesce(owner, F.col(f"owner{i}"))
+        batch = runs.write(keys.select("h1", "h2", "doc", "high", owner.alias("owner")))
+        found = batch.where("owner IS NOT NULL OR high > doc").select("h1", "h2", F.coalesce("owner", "doc").alias("doc"))
         drops = found if drops is None else drops.unionByName(found)
         if high is not None:
-            runs.add(new.select("h1", "h2", "doc"))
+            runs.add(batch.where("owner IS NULL").select("h1", "h2", "doc"))
+    drops = cut(drops.groupBy("h1", "h2").agg(F.min("doc").alias("owner")))
     runs.forget()
-    drops = drops.groupBy("h1", "h2").agg(F.min("doc").alias("owner"))
     rows = keyed.select(F.col(DOC).alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(_line_rows(least), KEYS)
     gone = (
         rows.join(drops, ["h1", "h2"])
