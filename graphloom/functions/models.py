@@ -36,7 +36,7 @@ def model(name: str) -> Callable:
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """Signed hashing of words to a unit vector; blank text is embedded as ``none``."""
     shown = F.when(F.trim(F.coalesce(text, F.lit(""))) == "", F.lit("none")).otherwise(text)
-    tokens = words(shown)
+    tokens = F.filter(F.split(F.lower(shown), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     cells = F.transform(tokens, lambda w: F.pmod(F.xxhash64(w), F.lit(2 * dim)))
     counts = F.transform(
         F.sequence(F.lit(0), F.lit(dim - 1)),

@@ -108,7 +108,7 @@ def assembled(entities: DataFrame, facts: DataFrame, official: DataFrame | None
     if official is not None:
         named = official.groupBy("name", "type").agg(F.max_by("official", F.struct("seq", "official")).alias("official"))
         pairs = found.join(named, ["name", "type"]).withColumn("official_key", phrase(F.col("official"))).where("official_key <> key").select("key", "type", "official", "official_key").distinct()
-        nodes = nodes.unionByName(as_nodes(pairs, F.col("official_key"), F.col("type"), F.col("official")).distinct())
+        nodes = nodes.unionByName(as_nodes(pairs, F.col("official_key"), F.col("type"), F.col("official")).dropDuplicates(["id", "label"]))
         edges = edges.unionByName(as_edges(pairs, F.col("key"), F.col("type"), "OfficialName", F.col("official_key"), F.col("type")))
     return Graph(nodes, edges)
 

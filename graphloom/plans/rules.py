@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import Graph, as_edges, as_nodes
+from graphloom.operators.graph import Graph, as_edges, as_nodes, distinct_edges
 from graphloom.plans.expressions import lower
 from graphloom.plans.patterns import Matcher, Pattern, parse_paths
 from graphloom.session import cut
@@ -155,11 +155,11 @@ class RuleEngine:
         for what, args in rule.actions:
             if what == "createNodeInstance":
                 made = as_nodes(rows, value(args["id"]), args.get("type", "Others"), value(args["name"]) if "name" in args else None)
-                out = out.plus(Graph(made.distinct(), out.edges.limit(0)))
+                out = Graph(out.nodes.unionByName(made.dropDuplicates(["id", "label"])), out.edges)
             else:
                 kinds = {e: args.get(f"{e}Type", "Others") for e in ("src", "dst")}
                 made = as_edges(rows, value(args["src"]), kinds["src"], args.get("type", "leadTo"), value(args["dst"]), kinds["dst"])
-                out = out.plus(Graph(out.nodes.limit(0), made.distinct()))
+                out = Graph(out.nodes, out.edges.unionByName(distinct_edges(made)))
         return out
 
 
