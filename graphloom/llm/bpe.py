@@ -8,14 +8,28 @@ and only those a worker has not met lately go through the tokenizer.
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
 
 from graphloom.llm.text import Texts, dictionary, ragged
 
-#: Pieces that a worker remembers, and the longest that it does.
-REMEMBERED, LONGEST = 200_000, 64
+#: Pieces that a worker remembers; bytes encoded at a time.
+REMEMBERED, JOINED = 300_000, 1 << 18
+#: Fixed value: how byte-level pre-tokenizers split text.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_points() -> dict[str, int]:
+    """The byte of each character in which byte-level vocabularies are written.
+
+    Printable Latin-1 characters stand for themselves, the other bytes for the
+    characters from U+0100 on, in order.
+    """
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 def resolve(name: str) -> str:
@@ -54,65 +68,100 @@ def cuts(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """Ids (and, if asked, character lengths) of whole texts, with a bounded memory of pieces."""
+    """Ids of whole texts, with a bounded memory of pieces.
+
+    Byte-level vocabularies whose ids follow the merges are encoded by tiktoken, many
+    pieces in one string: token byte lengths tell the pieces apart again.  Pieces
+    with a special token's string, and other vocabularies, go through ``tokenizers``.
+    """
 
-    def __init__(self, tokenizer: str, offsets: bool = False):
+    def __init__(self, tokenizer: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(resolve(tokenizer))
-        self.offsets = offsets
+        path = resolve(tokenizer)
+        self.tok = Tokenizer.from_file(path)
+        with open(path) as f:
+            spec = json.load(f)
+        points = byte_points()
+        vocab = spec["model"]["vocab"]
+        special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        self.special = [x.encode() for x in special]
+        raw = {t: bytes(points[c] for c in t) for t in vocab if t not in special}
+        self.bytes_of = np.zeros(max([*vocab.values(), *special.values()]) + 1, np.int64)
+        for t, b in raw.items():
+            self.bytes_of[vocab[t]] = len(b)
+        for t, i in special.items():
+            self.bytes_of[i] = len(t.encode())
+        merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in spec["model"]["merges"]]
+        self.fast = None
+        if all(vocab.get(m) == 256 + i for i, m in enumerate(merges)):
+            import tiktoken
+
+            self.fast = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks={b: vocab[t] for t, b in raw.items()}, special_tokens={})
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.spans = np.zeros((1 << 16, 2), np.int32) if self.offsets else None
-        self.used, self.at, self.n = 0, [], []
+        self.ids, self.at, self.n = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, pieces: list[bytes]) -> None:
-        for lo in range(0, len(pieces), 4096):
-            part = pieces[lo : lo + 4096]
-            for piece, got in zip(part, self.tok.encode_batch([p.decode() for p in part], add_special_tokens=False), strict=True):
-                ids = got.ids
-                m = len(ids)
-                while self.used + m > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                    if self.offsets:
-                        self.spans = np.concatenate([self.spans, np.zeros_like(self.spans)])
-                self.ids[self.used : self.used + m] = ids
-                if self.offsets and m:
-                    self.spans[self.used : self.used + m] = got.offsets
-                self.known[piece] = len(self.at)
-                self.at.append(self.used)
-                self.n.append(m)
-                self.used += m
-
-    def encode(self, texts: Texts):
-        """(ids, first id of each text) or with offsets (ids, first, start, end): code points from the text's start."""
+        plain, odd = [], []
+        for p in pieces:
+            last = p[-1]
+            safe = self.fast is not None and p[0] == 0x20 and (0x20 < last < 0x7F or len(p) > 2 and last >= 0x80 and 0xC3 <= p[-2] < 0xE0)
+            (plain if safe and not (b"<|" in p and any(x in p for x in self.special)) else odd).append(p)
+        ids, counts = [], []
+        lo = 0
+        while lo < len(plain):
+            hi, size = lo, 0
+            while hi < len(plain) and size < JOINED:
+                size += len(plain[hi])
+                hi += 1
+            got = np.array(self.fast.encode_ordinary(b"".join(plain[lo:hi]).decode()), np.uint32)
+            ends = np.cumsum([len(p) for p in plain[lo:hi]])
+            upto = np.cumsum(self.bytes_of[got])
+            last = np.searchsorted(upto, ends)
+            if not np.array_equal(upto[last], ends):
+                raise ValueError("a token spans two pieces")
+            ids.append(got)
+            counts.append(np.diff(np.concatenate([[-1], last])))
+            lo = hi
+        for lo in range(0, len(odd), 4096):
+            for got in self.tok.encode_batch([p.decode() for p in odd[lo : lo + 4096]], add_special_tokens=False):
+                ids.append(np.array(got.ids, np.uint32))
+                counts.append(np.array([len(got.ids)]))
+        if not counts:
+            return
+        n = np.concatenate(counts)
+        base = len(self.n)
+        self.known.update(zip([*plain, *odd], range(base, base + len(n)), strict=True))
+        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(n) - n])
+        self.n = np.concatenate([self.n, n])
+        self.ids = np.concatenate([self.ids, *ids])
+
+    def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, first id of each text, n + 1)."""
         starts, first = cuts(texts)
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or len(self.ids) > 4 * REMEMBERED:
             self.forget()
         index, uniq = dictionary(texts.data, np.diff(np.append(starts, len(texts.data))))
         pieces = uniq.to_pylist()
         known = self.known
         self._learn([p for p in pieces if p not in known])
-        slot = np.fromiter((known[p] for p in pieces), np.int64, len(pieces))
-        at, n = np.asarray(self.at, np.int64)[slot], np.asarray(self.n, np.int64)[slot]
-        long = [p for p in pieces if len(p) > LONGEST]
-        take = ragged(at[index], n[index])
-        ids = self.ids[take]
+        slot = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        at, n = self.at[slot], self.n[slot]
+        ids = self.ids[ragged(at[index], n[index])]
         before = np.concatenate([[0], np.cumsum(n[index])])
-        out = [ids, before[first]]
-        if self.offsets:
-            lead = np.concatenate([[0], np.cumsum((texts.data & 0xC0) != 0x80, dtype=np.int64)])
-            doc = np.repeat(np.arange(len(texts)), np.diff(first))
-            base = np.repeat(lead[starts] - lead[texts.offs[:-1]][doc], n[index])
-            span = self.spans[take]
-            out += [base + span[:, 0], base + span[:, 1]]
-        if long:  # such pieces seldom repeat: keep them out of the memory's next life
-            for p in long:
-                del known[p]
-            if self.used > 4_000_000:
-                self.forget()
-        return tuple(out)
+        return ids, before[first]
+
+    def spans(self, texts: Texts, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of each token in code points of the whole batch.
+
+        A token of a part of a character spans that character.
+        """
+        ends = np.cumsum(self.bytes_of[ids])
+        starts = ends - self.bytes_of[ids]
+        lead = np.concatenate([[0], np.cumsum((texts.data & 0xC0) != 0x80, dtype=np.int64)])
+        # characters begun up to and including the first byte, and up to the last
+        return lead[starts + 1] - 1, lead[ends]
