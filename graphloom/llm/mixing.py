@@ -19,7 +19,7 @@ kept in the shared folder.  The table of sources is broadcast only if it counts
 most ``BROADCAST_SOURCES`` rows; otherwise it is joined by shuffle.
 
 Null texts have no words and are never taken; sources of no words have target 0;
-repeated rows are queued each by itself, ordered by doc_id and a text hash; an
+repeated rows are queued each by itself, ordered by a text hash; an
 empty table gives no rows.
 """
 
@@ -34,7 +34,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 BROADCAST_SOURCES = 10_000
 #: Documents of one source that a window sorts at a time, on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def n_passes(most: float) -> int:
@@ -87,9 +87,11 @@ def served(docs: DataFrame, budget: float = 1.5, most: float = 2.0, weights: tup
     rows = sizes.join(sources, sizes.source.eqNullSafe(sources.source)).drop(sources.source)
     passes = n_passes(most)
     rows = rows.withColumn("pass", F.explode(F.array(*[F.lit(i) for i in range(passes)])))
-    place = F.xxhash64(F.lit(seed), F.col("pass"), "doc_id", "text_hash")
+    # a hash of 60 bits that SQL can make too; buckets are ranges of it
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("pass").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    place = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
     buckets = F.ceil(F.col("source_rows") / BUCKET_ROWS)
-    rows = rows.withColumn("place", place).withColumn("bucket", F.pmod(F.shiftright("place", 20), buckets))
+    rows = rows.withColumn("place", place).withColumn("bucket", F.floor(F.shiftright("place", 30) * buckets / (1 << 30)))
     # totals of the buckets before this one, in the order (pass, bucket)
     totals = rows.groupBy("source", "pass", "bucket").agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy("source").orderBy("pass", "bucket").rowsBetween(Window.unboundedPreceding, -1)
