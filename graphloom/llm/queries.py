@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import fingerprint, langid, licences, linededup, lm, mixing, ngram_join, packing, quality
+from graphloom.llm import fingerprint, langid, licences, linededup, lm, mixing, ngram_join, packing, quality, tokencount
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model).select("doc_id", *quality.SIGNALS, "base_failed", "kept", "quality_prob")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_sections(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_segments", "licences", "best_licence", "best_dice")
@@ -75,9 +79,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_fingerprints,
         op7_language_id,
         op8_quality_rules,
+        op9_token_counts,
         op10_license_scan,
     )
 }
 
-#: Counted and hashed texts go beyond what SQL can check here except where given.
-SQL: dict[str, str] = {}
+LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+
+#: SQL is given where it can express a query on whole tables.
+SQL: dict[str, str] = {
+    "op1_source_mix": rf"""WITH s AS (SELECT doc_id, source, CAST(coalesce(len({WORDS.format("text")}), 0) AS BIGINT) AS size FROM documents),
+p AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)]::DOUBLE AS weight FROM s GROUP BY source),
+c AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * (SELECT sum(size) FROM s)::DOUBLE AS total FROM p),
+l AS (SELECT *, (total - coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c WINDOW w AS (ORDER BY cap / weight, source NULLS LAST)),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT max(level) FROM l WHERE level * weight <= cap) * weight, cap)) AS target FROM l),
+q AS (SELECT s.doc_id, s.size, t.*, k, CAST('0x' || left(md5('17|' || k || '|' || s.doc_id), 15) AS BIGINT) AS place FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source, (VALUES (0), (1)) x(k)),
+f AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY k, place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start FROM q)
+SELECT doc_id, size, source_size, target, CAST(sum(greatest(0, least(size, CAST(round(target) AS BIGINT) - start))) AS BIGINT) AS taken FROM f GROUP BY ALL""",
+    "op3_ngram_join": rf"""WITH RECURSIVE w AS (SELECT doc_id, coalesce({WORDS.format(LOWERED)}, []) AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS v, doc_id AS m FROM w UNION SELECT u.b, r.m FROM r JOIN u ON r.v = u.a),
+k AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY h) END AS class_id FROM (SELECT w.doc_id, w, coalesce(h, '') AS h FROM w LEFT JOIN (SELECT doc_id, string_agg(g, chr(10) ORDER BY g) AS h FROM g GROUP BY doc_id) USING (doc_id)))
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, class_id FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(m) AS c FROM r GROUP BY v) ON v = w.doc_id JOIN k ON k.doc_id = w.doc_id""",
+    "op5_line_dedup": r"""WITH l AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+d AS (SELECT key, min(doc_id) AS owner FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+m AS (SELECT k.*, coalesce(doc_id <> owner, FALSE) AS dropped FROM k LEFT JOIN d USING (key))
+SELECT doc_id, count(*) AS n_lines, CAST(sum(dropped::INTEGER) AS BIGINT) AS n_dropped, sha256(coalesce(string_agg(CASE WHEN NOT dropped THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256 FROM m GROUP BY doc_id""",
+}
