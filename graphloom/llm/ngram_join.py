@@ -16,14 +16,18 @@ Two searches find candidates in the lists:
    hub (the smallest set that is not too small for them) and with their predecessor;
    the best few per class are verified.  Large groups of near copies join here
    with a number of pairs linear in the group.
-2. *The rest*: lists whose members are not all of one component yet give every pair
-   of different components that passes the size bound; pairs that occur in at least
-   ``min(l, l')`` lists are verified.  A skipped pair is connected already, so no
-   component is lost.
-
-Verification is a T-occurrence search by DivideSkip for each query class over its
-candidates: the inverted lists of the query's shingles are split, short ones are
+2. *The rest*: of lists whose members are not all of one component yet, classes that
+   still share enough are grouped by the lists they share, groups are cut into blocks
+   of about ``block`` shingles ascending in set size, and every two blocks whose sizes
+   can link are searched exactly, in one task of bounded memory.  Pairs are counted in
+   place and never given out, only links that join two components are; a skipped pair
+   is connected already or shares too little, so no component is lost.
+
+Verification of hubs is a T-occurrence search by DivideSkip for each query class over
+its candidates: the inverted lists of the query's shingles are split, short ones are
 heap-merged, and candidates that can still reach T are probed in the long ones.
+Blocks split their lists the same way: short ones are merged, and what over half of
+the sets hold is taken by its complement.
 
 Null and empty texts have an empty set and link with nothing; rows with equal
 doc_id are one document; texts of under five words are one shingle; an empty table
@@ -38,11 +42,11 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import components
-from graphloom.llm.text import Texts, shingles, sliced
+from graphloom.llm.text import Texts, ragged, shingles, sliced
 from graphloom.session import cut, shuffle_partitions
 
 #: Most frequent shingles that are ordered last: the size bound of what is broadcast.
@@ -180,52 +184,74 @@ def _hub_pairs(batches):
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)), pa.array(list(pairs.values()), pa.int64())], ["a", "an", "b", "bn", "times"])
 
 
-def _rest_pairs(block: int = 512):
-    """(a, an, b, bn, times): all pairs of a list in different components within the size bound.
+def _search_blocks(rows: pa.Table) -> pa.Table:
+    """Links (a, b) that connect different components between two blocks of sets, or within one.
 
-    Lists stream; a list is compared block by block against what of it still has a
-    fitting size, which bounds memory by the sets of nearly equal size in one list.
+    An exact T-occurrence count of every pair at once: short inverted lists are merged
+    into a count matrix, and long ones, of shingles that over half of the sets hold, are
+    taken by their complement, the sets that lack them.  With D = set ^ long shingles,
+    ``2 |x & y| = |x| + |y| - |Dx| - |Dy| + 2 |Dx & Dy|``.  Only edges that join two
+    components are given out, at most one for each set.
     """
-
-    def run(batches):
-        token, window = None, []  # arrays (v, n, c) of earlier blocks of this list
-        for batch in batches:
-            t, v, n, c = (batch.column(x).to_numpy() for x in ("token", "v", "n", "c"))
-            edges = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1], [True]])) if len(t) else []
-            keys, counts = [], []
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if t[lo] != token:
-                    token, window = t[lo], []
-                for at in range(lo, hi, block):
-                    part = slice(at, min(at + block, hi))
-                    pv, pn, pc = v[part], n[part], c[part]
-                    window = [w for w in window if 5 * w[1][-1] >= 4 * pn[0]]
-                    for wv, wn, wc in [*window, (pv, pn, pc)]:
-                        hit = (wc[:, None] != pc[None, :]) & (5 * wn[:, None] >= 4 * pn[None, :]) & (5 * pn[None, :] >= 4 * wn[:, None])
-                        if wv is pv:
-                            hit = np.triu(hit, 1)
-                        i, j = np.nonzero(hit)
-                        if len(i):
-                            swap = wv[i] > pv[j]
-                            a, an, b, bn = wv[i], wn[i], pv[j], pn[j]
-                            keys.append(np.stack([np.where(swap, b, a), np.where(swap, bn, an), np.where(swap, a, b), np.where(swap, an, bn)], 1))
-                    window.append((pv, pn, pc))
-                if sum(map(len, keys)) > 200_000:
-                    yield _counted(keys)
-                    keys = []
-            if keys:
-                yield _counted(keys)
-
-    return run
-
-
-def _counted(keys: list[np.ndarray]) -> pa.RecordBatch:
-    rows = np.concatenate(keys)
-    order = np.lexsort((rows[:, 2], rows[:, 0]))
-    rows = rows[order]
-    edge = np.flatnonzero(np.concatenate([[True], (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 2] != rows[:-1, 2])]))
-    times = np.diff(np.append(edge, len(rows)))
-    return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(rows[edge, i])) for i in range(4)), pa.array(times)], ["a", "an", "b", "bn", "times"])
+    rows = rows.sort_by([("side", "ascending"), ("v", "ascending")])
+    v, n, c, side = (rows.column(x).to_numpy() for x in ("v", "n", "c", "side"))
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("tokens")]
+    total = len(sets)
+    owner = np.repeat(np.arange(total), [len(x) for x in sets])
+    tokens, place, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    long = np.flatnonzero(2 * held > total)
+    rank = np.full(len(tokens), -1)
+    rank[long] = np.arange(len(long))
+    common = rank[place] >= 0
+    there = np.zeros((len(long), total), bool)
+    there[rank[place[common]], owner[common]] = True
+    lacking, lacks = np.nonzero(~there)
+    token, who = np.concatenate([place[~common], long[lacking]]), np.concatenate([owner[~common], lacks])
+    size = np.bincount(who, minlength=total)
+    split = int((side == 0).sum())
+    if split == total:  # a block with itself
+        left, right, first, second = np.arange(total), np.arange(total), np.ones(len(who), bool), np.ones(len(who), bool)
+    else:
+        left, right, first, second = np.arange(split), np.arange(split, total), who < split, who >= split
+    base = right[0]
+    order = np.argsort(token[second], kind="stable")
+    listed, members = token[second][order], who[second][order] - base
+    starts, ends = np.searchsorted(listed, token[first], "left"), np.searchsorted(listed, token[first], "right")
+    queries, length = who[first], ends - starts
+    by_query = np.argsort(queries, kind="stable")
+    queries, starts, length = queries[by_query], starts[by_query], length[by_query]
+    edges: list[tuple[int, int]] = []
+    label = c.copy()
+    width = len(right)
+    # some queries at a time bound the matrix and the merged lists
+    at, step = 0, max(1, min(512, 4_000_000 // max(1, width)))
+    while at < len(left):
+        to = min(at + step, len(left))
+        lo, hi = np.searchsorted(queries, [left[at], left[to - 1] + 1])
+        count = np.zeros((to - at) * width, np.int64)
+        upto = np.cumsum(length[lo:hi])
+        cut_at = lo
+        while cut_at < hi:
+            done = upto[cut_at - lo - 1] if cut_at > lo else 0
+            nxt = lo + max(int(np.searchsorted(upto, done + 4_000_000)), cut_at - lo + 1)
+            nxt = min(nxt, hi)
+            part = slice(cut_at, nxt)
+            code = np.repeat((queries[part] - left[at]) * width, length[part]) + members[ragged(starts[part], length[part])]
+            count += np.bincount(code, minlength=len(count))
+            cut_at = nxt
+        x, y = left[at:to, None], right[None, :]
+        twice = (n[x] - size[x]) + (n[y] - size[y]) + 2 * count.reshape(to - at, width)
+        link = (9 * twice >= 8 * (n[x] + n[y])) & (twice > 0)
+        for i in np.flatnonzero(link.any(1)).tolist():
+            me = int(left[at + i])
+            near = right[np.flatnonzero(link[i])]
+            others, example = np.unique(label[near], return_index=True)
+            for other, e in zip(others.tolist(), near[example].tolist(), strict=True):
+                if other != label[me]:
+                    edges.append((int(v[me]), int(v[e])))
+                    label[label == other] = label[me]
+        at = to
+    return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
 
 def divide_skip(query: np.ndarray, candidates: list[np.ndarray], need: np.ndarray) -> np.ndarray:
@@ -279,7 +305,7 @@ def _verified(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a[links]), pa.array(b[links])], ["a", "b"])
 
 
-def classes_and_links(docs: DataFrame, k: int = 5, best: int = 3) -> tuple[DataFrame, DataFrame]:
+def classes_and_links(docs: DataFrame, k: int = 5, best: int = 2, block: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """(doc, key, n, v) of each document, and links (a, b) whose components are those of all links.
 
     ``v``, the smallest doc_id of the class, names it.
@@ -336,12 +362,27 @@ def classes_and_links(docs: DataFrame, k: int = 5, best: int = 3) -> tuple[DataF
     links = verify(found.where(F.col("times") >= 1 + F.floor(F.least("an", "bn") / 64)))
 
     labels = components(links)
-    placed = lists.join(labels, "v", "left").select("token", "v", "n", F.coalesce("component", "v").alias("c"))
-    open_ = placed.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("token")
-    placed = placed.join(open_, "token", "left_semi").repartition(parts, "token").sortWithinPartitions("token", "n", "v")
-    rest = placed.mapInArrow(_rest_pairs(), "a long, an long, b long, bn long, times long").groupBy("a", "an", "b", "bn").agg(F.sum("times").alias("times"))
-    rest = rest.where(F.col("times") >= 1 + F.floor(F.least("an", "bn") / 16))
-    links = cut(links.unionByName(verify(rest)))
+    placed = cut(lists.join(labels, "v", "left").select("token", "v", "n", F.coalesce("component", "v").alias("c")))
+    for _ in range(2):
+        # lists within one component tell nothing new; who then shares too few leaves
+        open_ = placed.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("v").alias("hub")).where("c0 <> c1")
+        placed = placed.join(open_.select("token"), "token", "left_semi")
+        placed = placed.join(placed.groupBy("v", "n").count().where(F.col("count") >= 1 + F.floor(F.col("n") / 20)).select("v"), "v", "left_semi")
+        placed = cut(placed)
+    hubs = placed.join(placed.groupBy("token").agg(F.min("v").alias("hub")), "token").select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct()
+    groups = components(hubs).withColumnRenamed("component", "g")
+    along = Window.partitionBy("g").orderBy("n", "v").rowsBetween(Window.unboundedPreceding, 0)
+    part = placed.select("v", "n", "c").distinct().join(groups, "v").withColumn("i", F.floor(F.sum(F.col("n") + 200).over(along) / block).cast("long"))
+    part = cut(part)
+    spans = part.groupBy("g", "i").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    later = spans.select("g", F.col("i").alias("j"), F.col("low").alias("next"))
+    # blocks ascend in size, so a pair is of use if the largest of one reaches the smallest of the other
+    meets = cut(spans.join(later, "g").where("i <= j AND 5 * high >= 4 * next").select("g", "i", "j"))
+    filled = part.join(sets, "v").select("g", F.col("i").alias("own"), "v", "n", "c", "tokens")
+    near = filled.join(meets.withColumn("own", F.col("i")), ["g", "own"]).withColumn("side", F.lit(0))
+    far = filled.join(meets.where("i < j").withColumn("own", F.col("j")), ["g", "own"]).withColumn("side", F.lit(1))
+    found = near.unionByName(far).groupBy("g", "i", "j").applyInArrow(_search_blocks, "a long, b long")
+    links = cut(links.unionByName(found))
     return members.join(named, ["key", "n"], "left"), links
 
 
