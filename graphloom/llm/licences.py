@@ -1,14 +1,20 @@
 """Operator 10: licence scans by Dice coefficients over word bigrams.
 
-A text is read in segments: sentences, lines, paragraphs (blocks between blank lines)
-and the whole.  A segment's normalised words (letters and digits, lower case) give a
-set of bigrams; its Dice coefficient with a template, ``2 |A & B| / (|A| + |B|)``, must
-reach ``least``.  As the coefficient is at most ``2 min / (a + b)``, a template of b
-bigrams can only match segments of ``b * least / (2 - least)`` distinct bigrams or more,
-and, as repeated bigrams count once, longer segments are compared by their sets; word
-counts below that bound are pruned unread.
-
-The templates are a parameter; those below are short public notices.
+A text's normalised words (letters and digits, lower case) are one sequence, whatever
+its lines and sentences.  The Dice coefficient of the bigram sets of a window of it and
+a template, ``2 |A & B| / (|A| + |B|)``, must reach ``least``; the coefficient of a
+template is the best of all windows.  As the coefficient is at most
+``2 min / (a + b)``, a template of b bigrams only meets windows of at most
+``b * (2 - least) / least`` distinct bigrams that share ``b * least / (2 - least)`` with
+it: texts that share fewer are pruned unread.  The best window starts with a bigram of
+the template that does not come again in it (else dropping it is no worse), so only such
+windows are tried and repeated text costs no more than its length for each bigram.
+
+The templates are a parameter; those below are short public notices, the usual headers
+of files, and the full licences in ``licence_texts``.
+
+``n_segments`` counts the sentences, lines, paragraphs (blocks between blank lines) and
+the whole, where these differ.
 
 Null and empty texts have no segments and no licence; repeated rows are each scanned;
 ties between templates go to the first name; an empty table gives no rows.
@@ -17,13 +23,16 @@ ties between templates go to the first name; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from graphloom.llm.text import sliced
 
-#: The wording of public licence notices.
+#: The wording of public licence notices and headers, and of the licences themselves.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
@@ -36,7 +45,11 @@ TEMPLATES = {
     "mit-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
+    "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
+TEMPLATES |= {f"{path.stem}-text": path.read_text(encoding="utf-8") for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
 WORDS = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"(?<=[.!?:])\s+")
 BLANK = re.compile(r"\n[^\S\n]*\n")
@@ -51,47 +64,66 @@ class Scanner:
         self.least = least
         self.templates = [(name, bigrams(WORDS.findall(text.lower()))) for name, text in sorted(templates.items())]
         self.templates = [(name, grams) for name, grams in self.templates if grams]
-        self.smallest = min((len(g) for _, g in self.templates), default=1 << 60) * least / (2 - least)
-        self.largest = max((len(g) for _, g in self.templates), default=0) * (2 - least) / least
+        #: templates of each bigram
+        self.owners: dict[tuple[str, str], list[int]] = {}
+        for i, (_, template) in enumerate(self.templates):
+            for gram in template:
+                self.owners.setdefault(gram, []).append(i)
 
     def compare(self, words: list[str], found: dict[str, float]) -> None:
-        if len(words) - 1 < self.smallest:
-            return
-        grams = bigrams(words)
-        if len(grams) > self.largest:
+        """Best window of the words for each template that enough bigrams are shared with."""
+        shared = Counter(i for gram in self.owners.keys() & set(zip(words, words[1:], strict=False)) for i in self.owners[gram])
+        # a window has at least the bigrams that it shares
+        likely = [i for i, n in shared.items() if 2 * n >= self.least * (n + len(self.templates[i][1]))]
+        if not likely:
             return
-        for name, template in self.templates:
-            a, b = len(grams), len(template)
-            if 2 * min(a, b) >= self.least * (a + b):
-                dice = 2 * len(grams & template) / (a + b)
-                if dice >= self.least and dice > found.get(name, 0.0):
-                    found[name] = dice
+        code: dict[tuple[str, str], int] = {}
+        grams = np.array([code.setdefault(gram, len(code)) for gram in zip(words, words[1:], strict=False)])
+        order = np.argsort(grams, kind="stable")
+        same = np.flatnonzero(grams[order[1:]] == grams[order[:-1]])
+        before, after = np.full(len(grams), -1), np.full(len(grams), len(grams))
+        before[order[same + 1]], after[order[same]] = order[same], order[same + 1]
+        for i in likely:
+            name, template = self.templates[i]
+            known = np.zeros(len(code), bool)
+            known[[code[gram] for gram in template if gram in code]] = True
+            dice = self.best(before, after, known[grams], len(template))
+            if dice >= self.least:
+                found[name] = dice
+
+    def best(self, before: np.ndarray, after: np.ndarray, known: np.ndarray, size: int) -> float:
+        """Best coefficient of a window with a template of ``size`` bigrams.
+
+        ``before`` and ``after`` are the places where each bigram comes next, ``known`` those of the template.
+        """
+        top, most = 0.0, size * (2 - self.least) / self.least
+        for start in np.flatnonzero(known).tolist():
+            span = 2 * int(most) + 1
+            while True:
+                stop = min(start + span, int(after[start]))
+                fresh = before[start:stop] < start
+                distinct = np.cumsum(fresh)
+                if distinct[-1] > most or stop == after[start]:
+                    break
+                span *= 2
+            top = max(top, float((2 * np.cumsum(fresh & known[start:stop]) / (distinct + size)).max()))
+            if top == 1.0:
+                break
+        return top
 
     def scan(self, text: str) -> tuple[dict[str, float], int]:
         """Best coefficient of each template found, and the number of segments."""
         found: dict[str, float] = {}
-        segments, whole = 0, []
-        paragraphs = BLANK.split(text.lower())
+        text = text.lower()
+        segments, paragraphs = 0, BLANK.split(text)
         for paragraph in paragraphs:
-            block, lines = [], paragraph.split("\n")
+            lines = paragraph.split("\n")
             for line in lines:
-                parts = SENTENCE.split(line)
-                row = []
-                for part in parts:
-                    words = WORDS.findall(part)
-                    self.compare(words, found)
-                    row += words
-                if len(parts) > 1:
-                    self.compare(row, found)
-                segments += len(parts) + (len(parts) > 1)
-                block += row
-            if len(lines) > 1:
-                self.compare(block, found)
-                segments += 1
-            whole += block
-        if len(paragraphs) > 1:
-            self.compare(whole, found)
-            segments += 1
+                parts = len(SENTENCE.split(line))
+                segments += parts + (parts > 1)
+            segments += len(lines) > 1
+        segments += len(paragraphs) > 1
+        self.compare(WORDS.findall(text), found)
         return found, segments
 
 

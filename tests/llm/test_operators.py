@@ -495,6 +495,33 @@ def test_dice_against_brute_force():
     assert found == want == {"gpl-3.0": 1.0}
 
 
+def test_licences_over_lines_and_inside_sentences():
+    scanner = licences.Scanner(licences.TEMPLATES, 0.8)
+    inside = "Unless stated, code is released under the MIT License."
+    assert scanner.scan(inside)[0] == {"mit": 1.0}
+    wrapped = "Some words first. Licensed under the\n  Apache License, Version 2.0. And more of other words\nthat go on and on."
+    assert scanner.scan(wrapped)[0] == {"apache-2.0": 1.0}
+    header = "\n * ".join(licences.TEMPLATES["apache-2.0-header"].split("License. "))
+    assert scanner.scan(f"Copyright 2020 nobody\n\n * {header}\nimport os")[0]["apache-2.0"] == 1.0
+    assert scanner.scan(f"Copyright 2020 nobody\n\n{licences.TEMPLATES['apache-2.0-header']}\nimport os")[0]["apache-2.0-header"] == 1.0
+    assert scanner.scan(f"MIT License\n\nCopyright x\n\n{licences.TEMPLATES['mit-text']}\n\nend")[0]["mit-text"] == 1.0
+    assert scanner.scan("mit license the mit " * 5000)[0] == {}
+
+
+def test_licences_are_the_best_of_all_windows():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        template = list(rng.choice(list("abcdef"), rng.integers(3, 9)))
+        text = list(rng.choice(list("abcdefgh"), 40))
+        b, want = licences.bigrams(template), 0.0
+        for lo in range(40):
+            for hi in range(lo + 2, 41):
+                a = licences.bigrams(text[lo:hi])
+                want = max(want, 2 * len(a & b) / (len(a) + len(b)))
+        found, _ = licences.Scanner({"t": " ".join(template)}, 0.7).scan(" ".join(text))
+        assert found == ({"t": want} if want >= 0.7 else {})
+
+
 @pytest.mark.parametrize("within", [True, False])
 def test_block_search_connects_what_links(within):
     import pyarrow as pa
