@@ -5,7 +5,7 @@ Model answers are columns; where none is given a deterministic default is used.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.models import model
@@ -119,11 +119,12 @@ def default_entities(chunks: DataFrame) -> DataFrame:
     return rows.select("chunk_id", "name", F.lit("Others").alias("type"), F.lit(None).cast("string").alias("description"))
 
 
-def co_occurrences(entities: DataFrame, most: int = 16) -> DataFrame:
+def co_occurrences(entities: DataFrame) -> DataFrame:
     """Default facts: neighbouring entities of a chunk, in order of name; linear in the entities."""
-    ordered = entities.groupBy("chunk_id").agg(F.slice(F.array_sort(F.collect_set("name")), 1, most).alias("names"))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("names") - 1), lambda i: F.struct(F.col("names")[i - 1].alias("s"), F.col("names")[i].alias("o")))
-    return ordered.where(F.size("names") > 1).select("chunk_id", F.explode(pairs).alias("x")).select("chunk_id", "x.s", F.lit("relates to").alias("p"), "x.o")
+    names = entities.where("name IS NOT NULL").select("chunk_id", "name").distinct()
+    order = Window.partitionBy("chunk_id").orderBy("name")
+    pairs = names.select("chunk_id", F.lag("name").over(order).alias("s"), F.lit("relates to").alias("p"), F.col("name").alias("o"))
+    return pairs.where("s IS NOT NULL")
 
 
 def nested_objects(entities: DataFrame, depth: int = 3) -> Graph:

@@ -179,3 +179,10 @@ def test_bindings(spark):
 def test_nodes_default_to_their_id(spark):
     rows = spark.createDataFrame([(5, None)], "k int, n string")
     assert as_nodes(rows, F.col("k"), "L", F.col("n")).first().name == "5"
+
+
+def test_every_entity_of_a_chunk_is_linked(spark):
+    names = [f"Name{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    chunks = spark.createDataFrame([("c", " ".join(reversed(names * 2))), ("d", "Alone"), ("e", "")], "id string, content string")
+    facts = extract.co_occurrences(extract.default_entities(chunks)).collect()
+    assert sorted((r.chunk_id, r.s, r.p, r.o) for r in facts) == [("c", s, "relates to", o) for s, o in zip(names, names[1:], strict=False)]
