@@ -25,14 +25,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.text import mix, sliced
-from graphloom.session import shuffle_partitions
+from graphloom.session import cut, shuffle_partitions
 
 SAMPLES, CLASSES, PERIOD = 128, 256, 4096
 NULL_ID = -(1 << 63)
+#: Classes of a bucket that are compared with each other at a time, on average.
+BLOCK_ROWS = 1024
+#: Buckets that are broadcast at most; more are joined by shuffle.
+BROADCAST_BANDS = 1_000_000
 #: Class of the places of a text without characters.
 PAD = 0
 
@@ -120,25 +124,91 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"{kinds}, fingerprint string")
 
 
-def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 32) -> DataFrame:
+def _groups(batches):
+    """(key, rows) of each group of the sorted rows."""
+    rest = None
+    for batch in batches:
+        part = pa.Table.from_batches([batch])
+        part = part if rest is None else pa.concat_tables([rest, part])
+        if not part.num_rows:
+            continue
+        keys = list(zip(*(part.column(c).to_pylist() for c in ("band", "lo", "hi")), strict=True))
+        edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1])]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            yield keys[lo], part.slice(lo, hi - lo)
+        rest = part.slice(edges[-1])
+    if rest is not None and rest.num_rows:
+        yield (rest.column("band")[0].as_py(), rest.column("lo")[0].as_py(), rest.column("hi")[0].as_py()), rest
+
+
+def _verify(least: float, bands: int, every: bool):
+    """Near pairs of each group whose first common band is the group's."""
+    width = SAMPLES // bands
+
+    def run(batches):
+        for (band, low, high), rows in _groups(batches):
+            n, number = rows.num_rows, int(band.split(":")[0])
+            if n < 2:
+                continue
+            side = np.array(rows.column("block").to_pylist()) == high
+            ids = rows.column("doc_id").to_pylist()
+            places = np.frombuffer("".join(rows.column("fingerprint").to_pylist()).encode(), np.uint8).reshape(n, SAMPLES)
+            root, out = list(range(n)), []
+
+            def find(i, root=root):
+                while root[i] != i:
+                    root[i] = i = root[root[i]]
+                return i
+
+            left, right = (np.arange(n), np.arange(n)) if low == high else (np.flatnonzero(~side), np.flatnonzero(side))
+            for i in left.tolist():
+                others = right[right > i] if low == high else right
+                if not len(others):
+                    continue
+                same = places[others] == places[i]
+                near = np.clip((same.mean(1) - 1 / 16) * 16 / 15, 0.0, 1.0)
+                at = np.flatnonzero(near >= least)
+                first = same[at, : bands * width].reshape(len(at), bands, width).all(2).argmax(1) == number
+                for k in at[first].tolist():
+                    j = int(others[k])
+                    x, y = find(i), find(j)
+                    if every or x != y:
+                        root[max(x, y)] = min(x, y)
+                        out.append((min(ids[i], ids[j]), max(ids[i], ids[j]), float(near[k])))
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip("ab", o, strict=False), near=o[2]) for o in out], pa.schema([("a", pa.int64()), ("b", pa.int64()), ("near", pa.float64())]))
+
+    return run
+
+
+def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 32, block: int = BLOCK_ROWS, every: bool = False) -> DataFrame:
     """(a, b, near): likenesses of at least ``least`` among ``prints(doc_id, fingerprint)``.
 
     Equal fingerprints are one class, named by its smallest doc_id.  A band is a run
-    of sampled places; in each band's bucket a class is verified against the bucket's
-    first class and the one before it, so buckets give pairs linear in their size:
-    the pairs connect near classes, they need not name every pair.
+    of sampled places.  There are more bands than places in which near fingerprints
+    may differ (``bands`` is doubled until there are), so any two of them meet in a
+    band.  Each bucket is searched exhaustively: those of more than ``block`` classes
+    are split by hash, and all pairs of splits are compared in place.  A pair counts
+    in its first common band only.
+
+    The pairs given connect all near classes; with ``every`` they are all near pairs,
+    of which large groups of near copies have the square of their size.
     """
+    while bands < SAMPLES and sum(max(0.0, ((SAMPLES - d) / SAMPLES - 1 / 16) * 16 / 15) >= least for d in range(bands, SAMPLES + 1)):
+        bands = min(SAMPLES, 2 * bands)
     width = SAMPLES // bands
-    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
+    spark = prints.sparkSession
+    classes = prints.groupBy("fingerprint").agg(F.min(F.col("doc_id").cast("long")).alias("doc_id")).where("doc_id IS NOT NULL AND fingerprint IS NOT NULL")
     keys = F.array(*[F.concat(F.lit(f"{i}:"), F.substring("fingerprint", 1 + i * width, width)) for i in range(bands)])
     rows = classes.select("doc_id", "fingerprint", F.explode(keys).alias("band"))
-    order = Window.partitionBy("band").orderBy("fingerprint")
-    other = lambda f: F.struct(f("doc_id").over(order).alias("doc_id"), f("fingerprint").over(order).alias("fingerprint"))
-    rows = rows.select("doc_id", "fingerprint", F.array(other(F.first), other(F.lag)).alias("others"))
-    pairs = rows.select(F.explode("others").alias("o"), "doc_id", "fingerprint").where("o.doc_id IS NOT NULL AND o.doc_id <> doc_id")
-    near = likeness(F.col("o.fingerprint"), F.col("fingerprint"))
-    pairs = pairs.select(F.least("o.doc_id", "doc_id").alias("a"), F.greatest("o.doc_id", "doc_id").alias("b"), near.alias("near"))
-    return pairs.where(F.col("near") >= least).distinct()
+    sizes = cut(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")))
+    if sizes.count() <= BROADCAST_BANDS:
+        sizes = F.broadcast(sizes)
+    rows = rows.join(sizes.select("band", "blocks"), "band").withColumn("block", F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi")))
+    rows = rows.withColumn("x", F.explode(meets)).select("band", "x.lo", "x.hi", "block", "doc_id", "fingerprint")
+    rows = rows.repartition(shuffle_partitions(spark), "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "fingerprint")
+    return rows.mapInArrow(_verify(least, bands, every), "a long, b long, near double")
 
 
 def with_next(docs: DataFrame, parts: int | None = None) -> tuple[DataFrame, int]:

@@ -398,6 +398,46 @@ def test_near_pairs(spark):
     assert [(r.a, r.b) for r in fingerprint.near_pairs(frame).collect()] == [(0, 2)]
 
 
+def test_near_pairs_inside_a_bucket(spark):
+    # all buckets that B and C share are in the order A, B, X, C; only B and C are near
+    rng = np.random.default_rng(3)
+    common, *own = ("".join(rng.choice(list("0123456789abcdef"), 36 if not i else 88)) for i in range(4))
+    a, b, x = (f"{place}0ff{tail}{common}" for place, tail in zip("124", own, strict=True))
+    c = "".join(format(15 - int(ch, 16), "x") if i % 4 == 0 and i < 92 else ch for i, ch in enumerate(b))
+    assert a < b < x < c
+    frame = spark.createDataFrame(list(enumerate([a, b, x, c])), "doc_id long, fingerprint string")
+    assert [(r.a, r.b) for r in fingerprint.near_pairs(frame).collect()] == [(1, 3)]
+
+
+@pytest.mark.parametrize("least,bands", [(0.8, 32), (0.6, 16)])
+def test_near_pairs_against_brute_force(spark, least, bands):
+    rng = np.random.default_rng(4)
+    hexes, prints = np.array(list("0123456789abcdef")), []
+    for _ in range(4):
+        base = rng.integers(0, 16, 128)
+        for _ in range(20):
+            made = np.where(rng.random(128) < rng.choice([0.02, 0.1, 0.2]), rng.integers(0, 16, 128), base)
+            made[:8] = 0
+            prints.append("".join(hexes[made]))
+    want = {}
+    for i in range(80):
+        near = fingerprint.likeness_of([prints[i]] * 80, prints)
+        want |= {(i, j): near[j] for j in range(i + 1, 80) if near[j] >= least}
+    frame = spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")
+    got = [((r.a, r.b), r.near) for r in fingerprint.near_pairs(frame, least, bands, block=7, every=True).collect()]
+    assert len(got) == len(want) and dict(got) == want
+
+    def labels(pairs):
+        label = list(range(80))
+        for i, j in pairs:
+            x, y = label[i], label[j]
+            label = [min(x, y) if v in (x, y) else v for v in label]
+        return label
+
+    few = [(r.a, r.b) for r in fingerprint.near_pairs(frame, least, bands, block=7).collect()]
+    assert set(few) <= set(want) and labels(few) == labels(want)
+
+
 def test_fingerprints_of_nothing(nothing, spark):
     assert fingerprint.edited_report(nothing).count() == 0
     one = fingerprint.edited_report(spark.createDataFrame([(5, "abcd")], "doc_id long, text string")).first()
