@@ -14,8 +14,11 @@ customers beyond that in blocks by the restaurant process itself.  After the
 burn-in, predictive probabilities are averaged over the kept sweeps.
 
 Words are hashed to slices; a task holds all customers and queries of its words, so
-seating is local, and only totals per restaurant are exchanged between sweeps (within
-a pass a slice scales its own change up to the whole).  Tokens travel once, as packed
+seating is local.  All sweeps of a slice start from the exact first totals and run
+without the others, whose changes are guessed by scaling the slice's own change up to
+the whole; totals per restaurant are exchanged once, after the sweeps, and scores use
+these.  So scores depend slightly on the number of slices, which is
+``spark.sql.shuffle.partitions``.  Tokens travel once, as packed
 blobs, to a table in the shared folder; three passes read it: counts, seating, scores.
 Sums of a text come back by the slice of input it is in.
 
