@@ -2,10 +2,12 @@
 
 Every source queues its documents in a hashed, repeatable shuffle, once per pass
 over the source.  A document's virtual finish time is the source's cumulated words
-up to its end, divided by the source's target.  Documents are ranged by finish
-time over all sources, and service stops where the total budget is spent, which is
-virtual time 1: a document that is being served then gives its leading words only.
-So the words taken of each source meet its target to a word.
+up to its end, divided by the source's target.  Service stops where the total budget
+is spent, which is virtual time 1 of every source alike, so each source is cut at its
+own target and no sort over all sources decides it; ``mix_report`` ranges its rows by
+finish time for their order only, ``mix`` has no order.  A document that is being
+served at the cut gives its leading words only, so the words taken of each source meet
+its target to a word.
 
 Targets share ``budget`` times all words in proportion to the weights 5, 2, 1,
 repeating over the sources in code-point order (null last); a target stops at
@@ -133,15 +135,23 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     Documents taken whole keep their text as it is.
     """
-    rows = served(docs, **options).where(F.col("words") > 0)
-    rows = rows.groupBy(
-        F.col("doc_id").alias("__mix_id"), F.col("text_hash").alias("__mix_hash"), F.col("source").alias("__mix_source"), F.col("pass").alias("__mix_pass")
-    ).agg(F.max("words").alias("__mix_words"), F.first("size").alias("__mix_size"))
+    # equal rows follow each other in the queue: the words taken of them fill one copy after the other
+    rows = served(docs, **options).groupBy("doc_id", "text_hash", "source", "pass").agg(F.sum("words").alias("__mix_total"), F.first("size").alias("__mix_size"))
+    rows = rows.where("__mix_total > 0").withColumnRenamed("pass", "__mix_pass")
     text = F.col("text").cast("string")
-    same = docs.doc_id.cast("long").eqNullSafe(F.col("__mix_id")) & (F.xxhash64(text) == F.col("__mix_hash")) & docs.source.eqNullSafe(F.col("__mix_source"))
-    joined = docs.join(rows, same)
+    # null-safe keys as plain ones, so that the window below needs no shuffle of its own
+    keys = lambda doc_id, text_hash, source: [
+        F.coalesce(doc_id, F.lit(0)).alias("__mix_id"), doc_id.isNull().alias("__mix_no_id"), text_hash.alias("__mix_hash"),
+        F.coalesce(source, F.lit("")).alias("__mix_source"), source.isNull().alias("__mix_no_source"),
+    ]
+    names = ["__mix_id", "__mix_no_id", "__mix_hash", "__mix_source", "__mix_no_source"]
+    rows = rows.select(*keys(F.col("doc_id"), F.col("text_hash"), F.col("source")), "__mix_pass", "__mix_total", "__mix_size")
+    joined = docs.select("*", *keys(F.col("doc_id").cast("long"), F.xxhash64(text), F.col("source").cast("string"))).join(rows, names)
+    copy = F.row_number().over(Window.partitionBy(*names, "__mix_pass").orderBy(F.lit(0))) - 1
+    words = F.least(F.col("__mix_size"), F.col("__mix_total") - copy * F.col("__mix_size"))
+    joined = joined.withColumn("__mix_words", words).where("__mix_words > 0")
     # white space before a word goes with it
     runs = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     lead = F.array_join(F.slice(runs, F.lit(1), F.col("__mix_words").cast("int")), "")
     keep = F.when(F.col("__mix_words") < F.col("__mix_size"), lead).otherwise(text)
-    return joined.select(*[keep.alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns])
+    return joined.select(*[keep.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])

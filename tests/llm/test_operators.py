@@ -112,6 +112,18 @@ def test_mix_rows(docs):
     assert {d: n for d, n in report.items() if n} == dict(got)
 
 
+def test_mix_cuts_inside_equal_rows(spark):
+    rows = [(1, "a b c d e f g", "x")] * 5 + [(2, "h i j", "y")] * 3 + [(None, "k l", None)] * 3 + [(4, None, "x")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, source string, n int")
+    for budget in (0.3, 0.7, 1.1, 1.5):
+        want, got = Counter(), Counter()
+        for r in mixing.mix_report(docs, budget=budget).collect():
+            want[r.doc_id] += r.taken
+        for r in mixing.mix(docs, budget=budget).collect():
+            got[r.doc_id] += len(words(r.text))
+        assert +want == got
+
+
 def test_mix_of_nothing(nothing):
     assert mixing.mix_report(nothing).count() == 0 and mixing.mix(nothing).count() == 0
 
