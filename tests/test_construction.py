@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import metrics
 from graphloom.functions import text as tx
-from graphloom.operators import extract, mapping, split
+from graphloom.operators import extract, mapping, search, split
 from graphloom.operators import graph as gr
 from graphloom.operators.graph import Graph, as_edges, as_nodes
 from graphloom.sources import read, scan
@@ -186,3 +186,11 @@ def test_every_entity_of_a_chunk_is_linked(spark):
     chunks = spark.createDataFrame([("c", " ".join(reversed(names * 2))), ("d", "Alone"), ("e", "")], "id string, content string")
     facts = extract.co_occurrences(extract.default_entities(chunks)).collect()
     assert sorted((r.chunk_id, r.s, r.p, r.o) for r in facts) == [("c", s, "relates to", o) for s, o in zip(names, names[1:], strict=False)]
+
+
+def test_names_of_any_number_of_words_are_found(spark):
+    long = "International Society for the Study of Very Long Names"
+    names = spark.createDataFrame([(long,), ("Customer#000000001",), ("short",), (None,)], "name string")
+    texts = spark.createDataFrame([(1, f"about the {long.upper()}, again"), (2, "order of Customer#000000001 now"), (3, "Society for the Study"), (4, None), (5, long)], "query_id int, text string")
+    assert sorted(map(tuple, search.names_in_text(texts, names).collect())) == [(1, long), (2, "Customer#000000001"), (5, long)]
+    assert search.names_in_text(texts, names.limit(0)).count() == 0
