@@ -1,37 +1,38 @@
 """Operator 3: exact n-gram Jaccard join by T-occurrence search.
 
 Documents are sets of distinct five-word shingles (64-bit hashes).  Equal sets form
-a class (key: 64-bit set hash and set size); everything below works on classes, so
-exact copies are never expanded into pairs.
+a class (key: 64-bit set hash); everything below works on classes, so exact copies are
+never expanded into pairs.
 
 Two sets of sizes a and b link if they share ``T = ceil(4 (a + b) / 9)`` shingles
-(Jaccard 0.8).  Shingles have one global order: by hash, the most frequent ones (a
-bounded table) last.  Of a set of n, the first ``n - ceil(0.8 n) + l`` shingles,
-``l = 1 + n // 16``, are posted; linked sets share at least ``min(l, l')`` posted
-shingles, and inverted lists of one class are dropped at once.
-
-Two searches find candidates in the lists:
-
-1. *Hubs*: in each list, ordered by set size, members pair with the list's running
-   hub (the smallest set that is not too small for them) and with their predecessor;
-   the best few per class are verified.  Large groups of near copies join here
-   with a number of pairs linear in the group.
-2. *The rest*: of lists whose members are not all of one component yet, classes that
-   still share enough are grouped by the lists they share, groups are cut into blocks
-   of about ``block`` shingles ascending in set size, and every two blocks whose sizes
-   can link are searched exactly, in one task of bounded memory.  Pairs are counted in
-   place and never given out, only links that join two components are; a skipped pair
-   is connected already or shares too little, so no component is lost.
-
-Verification of hubs is a T-occurrence search by DivideSkip for each query class over
-its candidates: the inverted lists of the query's shingles are split, short ones are
-heap-merged, and candidates that can still reach T are probed in the long ones.
-Blocks split their lists the same way: short ones are merged, and what over half of
-the sets hold is taken by its complement.
+(Jaccard 0.8).  Given one global order of shingles, a set of n posts its first
+``n - ceil(0.8 n) + l`` ones, ``l = 1 + n // 16``; linked sets share at least
+``min(l, l')`` posted shingles, whatever the order is.  It is used twice:
+
+1. *Who may link.*  Shingles in the order of their hashes, the most frequent ones (a
+   bounded table) last.  Lists of one class are dropped, and classes that share too
+   few posted shingles with anybody leave.  The sets of the others are made again.
+2. *Rarest first.*  Shingles ordered by the number of these sets that hold them.
+   Passages that unrelated documents share are posted by hardly anybody now; who
+   still shares enough is grouped with those of its lists.
+
+Each group is searched in one task of bounded memory: every set is a query of a
+T-occurrence search by DivideSkip.  Its inverted lists are split, the short ones are
+merged, and the candidates that can still reach T are probed in the long ones by
+binary search.  What a query's component holds already is skipped, so a group of near
+copies costs about one query for each member that links with none, and gives one link
+for each that does.
+
+A group of over ``block`` shingles is dealt to blocks by hash.  Two rounds search the
+blocks by themselves, dealt anew each; then lists within one component tell nothing
+new, who shares too few others leaves, and of what is left every two blocks are
+searched with each other.  No pair is dropped: a skipped one is connected already, or
+shares too little.
 
 Null and empty texts have an empty set and link with nothing; rows with equal
-doc_id are one document; texts of under five words are one shingle; an empty table
-gives no rows.
+doc_id are one document, whose classes are connected; texts of under five words are
+one shingle; texts of any length are taken whole, a set being held by one task; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,19 +43,25 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import components
-from graphloom.llm.text import Texts, ragged, shingles, sliced
+from graphloom.llm.text import Texts, shingles, sliced
 from graphloom.session import cut, shuffle_partitions
 
 #: Most frequent shingles that are ordered last: the size bound of what is broadcast.
 HOT_SHINGLES = 1 << 16
 #: Documents of one slice that hold a shingle before it is reported as frequent.
 HOT_LOCAL = 3
-#: Class keys that are broadcast at most to pick texts out; beyond it they are joined.
+#: Class keys that are broadcast at most; beyond it they are joined.
 BROADCAST_KEYS = 500_000
+#: Classes of over this share of all documents are joined by themselves: at most as many as its inverse.
+HOT_SHARE = 1 / 1024
+#: Merged lists and probes that a query holds at a time.
+AT_ONCE = 1_000_000
+#: Up to so many entries, lists are merged by a heap; longer ones by a run-merging sort.
+HEAP_ENTRIES = 256
 NULL_ID = -(1 << 63)
 
 
@@ -161,161 +168,153 @@ def _lists(batches):
         held = (t[-1], k[-1], n[-1], bool(keep[-1]))
 
 
-def _hub_pairs(batches):
-    """(a, an, b, bn, times): hub and predecessor pairs of sorted lists, counted a batch at a time."""
-    hub = prev = None  # (token, vertex, n)
-    for batch in batches:
-        t, v, n = (batch.column(c).to_pylist() for c in ("token", "v", "n"))
-        pairs: dict[tuple, int] = {}
-        for row in zip(t, v, n, strict=True):
-            if hub is None or hub[0] != row[0]:
-                hub = prev = row
-                continue
-            if prev[1] == row[1]:
-                continue
-            for other in (hub, prev) if prev is not hub else (hub,):
-                if 5 * other[2] >= 4 * row[2] and other[1] != row[1]:
-                    pair = (other[1], other[2], row[1], row[2])
-                    pairs[pair] = pairs.get(pair, 0) + 1
-            if 5 * hub[2] < 4 * row[2]:
-                hub = row
-            prev = row
-        if pairs:
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)), pa.array(list(pairs.values()), pa.int64())], ["a", "an", "b", "bn", "times"])
+def merged(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The members of sorted lists in order, and how many lists hold each."""
+    if sum(map(len, runs)) <= HEAP_ENTRIES:
+        found = [(one, sum(1 for _ in run)) for one, run in groupby(heapq.merge(*(r.tolist() for r in runs)))]
+        return np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int64)
+    flat = np.concatenate(runs)
+    flat.sort(kind="stable")  # merges the runs
+    edge = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    return flat[edge], np.diff(np.append(edge, len(flat)))
+
+
+class Lists:
+    """Inverted lists over the sets of a block."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = np.array([len(x) for x in sets], np.int64)
+        self.total = len(sets)
+        member = np.repeat(np.arange(self.total), self.n)
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        self.tokens, place = np.unique(flat, return_inverse=True)
+        #: place of a shingle times sets, plus set: sorted, so any list can be probed in it
+        self.codes = np.sort(place * self.total + member)
+        self.starts = np.searchsorted(self.codes, np.arange(len(self.tokens) + 1) * self.total)
+
+    def search(self, query: np.ndarray, able: np.ndarray) -> np.ndarray:
+        """Sets that link with the query set, of those that ``able`` admits (DivideSkip)."""
+        n = len(query)
+        able = able & (5 * self.n >= 4 * n) & (4 * self.n <= 5 * n)
+        if not n or not able.any():
+            return np.zeros(0, np.int64)
+        place = np.searchsorted(self.tokens, query)
+        place[place == len(self.tokens)] = 0
+        place = place[self.tokens[place] == query]
+        length = self.starts[place + 1] - self.starts[place]
+        place = place[np.argsort(length, kind="stable")]
+        # so many lists are long that a result is in at least level(n) of the short ones
+        long = required(n, -(-4 * n // 5)) - level(n)
+        short, long = place[: max(0, len(place) - long)], place[max(0, len(place) - long) :]
+        runs = [self.codes[self.starts[t] : self.starts[t + 1]] - t * self.total for t in short.tolist()]
+        runs = [r for r in (r[able[r]] for r in runs) if len(r)]
+        if not runs:
+            return np.zeros(0, np.int64)
+        found, count = merged(runs)
+        need = required(n, self.n[found])
+        alive = count + len(long) >= need
+        found, count, need = found[alive], count[alive], need[alive]
+        step = max(1, AT_ONCE // max(1, len(long)))
+        for at in range(0, len(found), step):
+            codes = (long * self.total)[None, :] + found[at : at + step, None]
+            there = np.searchsorted(self.codes, codes)
+            there[there == len(self.codes)] = 0
+            count[at : at + step] += (self.codes[there] == codes).sum(1)
+        return found[count >= need]
+
+
+def divide_skip(query: np.ndarray, candidates: list[np.ndarray]) -> np.ndarray:
+    """Which candidate sets link with the query set (all sorted)."""
+    found = Lists(candidates).search(query, np.ones(len(candidates), bool))
+    return np.isin(np.arange(len(candidates)), found)
 
 
 def _search_blocks(rows: pa.Table) -> pa.Table:
-    """Links (a, b) that connect different components between two blocks of sets, or within one.
+    """Links (a, b) that connect components: within a block (side 0 only), or between two.
 
-    An exact T-occurrence count of every pair at once: short inverted lists are merged
-    into a count matrix, and long ones, of shingles that over half of the sets hold, are
-    taken by their complement, the sets that lack them.  With D = set ^ long shingles,
-    ``2 |x & y| = |x| + |y| - |Dx| - |Dy| + 2 |Dx & Dy|``.  Only edges that join two
-    components are given out, at most one for each set.
+    ``c`` names the component that a set is known to be in.  The links given out are
+    one fewer than the components that they connect.
     """
-    rows = rows.sort_by([("side", "ascending"), ("v", "ascending")])
-    v, n, c, side = (rows.column(x).to_numpy() for x in ("v", "n", "c", "side"))
-    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("tokens")]
-    total = len(sets)
-    owner = np.repeat(np.arange(total), [len(x) for x in sets])
-    tokens, place, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    long = np.flatnonzero(2 * held > total)
-    rank = np.full(len(tokens), -1)
-    rank[long] = np.arange(len(long))
-    common = rank[place] >= 0
-    there = np.zeros((len(long), total), bool)
-    there[rank[place[common]], owner[common]] = True
-    lacking, lacks = np.nonzero(~there)
-    token, who = np.concatenate([place[~common], long[lacking]]), np.concatenate([owner[~common], lacks])
-    size = np.bincount(who, minlength=total)
+    rows = rows.sort_by([("side", "ascending"), ("key", "ascending")])
+    key, label, side = (rows.column(x).to_numpy() for x in ("key", "c", "side"))
+    flat = rows.column("tokens").combine_chunks()
+    offsets, values = flat.offsets.to_numpy(), flat.values.to_numpy().view(np.uint64)
+    sets = [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
     split = int((side == 0).sum())
-    if split == total:  # a block with itself
-        left, right, first, second = np.arange(total), np.arange(total), np.ones(len(who), bool), np.ones(len(who), bool)
-    else:
-        left, right, first, second = np.arange(split), np.arange(split, total), who < split, who >= split
-    base = right[0]
-    order = np.argsort(token[second], kind="stable")
-    listed, members = token[second][order], who[second][order] - base
-    starts, ends = np.searchsorted(listed, token[first], "left"), np.searchsorted(listed, token[first], "right")
-    queries, length = who[first], ends - starts
-    by_query = np.argsort(queries, kind="stable")
-    queries, starts, length = queries[by_query], starts[by_query], length[by_query]
+    within = split == len(sets)
+    base = 0 if within else split
+    lists = Lists(sets[base:])
+    label = np.unique(label, return_inverse=True)[1]
+    open_ = len(np.unique(label))
     edges: list[tuple[int, int]] = []
-    label = c.copy()
-    width = len(right)
-    # some queries at a time bound the matrix and the merged lists
-    at, step = 0, max(1, min(512, 4_000_000 // max(1, width)))
-    while at < len(left):
-        to = min(at + step, len(left))
-        lo, hi = np.searchsorted(queries, [left[at], left[to - 1] + 1])
-        count = np.zeros((to - at) * width, np.int64)
-        upto = np.cumsum(length[lo:hi])
-        cut_at = lo
-        while cut_at < hi:
-            done = upto[cut_at - lo - 1] if cut_at > lo else 0
-            nxt = lo + max(int(np.searchsorted(upto, done + 4_000_000)), cut_at - lo + 1)
-            nxt = min(nxt, hi)
-            part = slice(cut_at, nxt)
-            code = np.repeat((queries[part] - left[at]) * width, length[part]) + members[ragged(starts[part], length[part])]
-            count += np.bincount(code, minlength=len(count))
-            cut_at = nxt
-        x, y = left[at:to, None], right[None, :]
-        twice = (n[x] - size[x]) + (n[y] - size[y]) + 2 * count.reshape(to - at, width)
-        link = (9 * twice >= 8 * (n[x] + n[y])) & (twice > 0)
-        for i in np.flatnonzero(link.any(1)).tolist():
-            me = int(left[at + i])
-            near = right[np.flatnonzero(link[i])]
-            others, example = np.unique(label[near], return_index=True)
-            for other, e in zip(others.tolist(), near[example].tolist(), strict=True):
-                if other != label[me]:
-                    edges.append((int(v[me]), int(v[e])))
-                    label[label == other] = label[me]
-        at = to
+    for q in range(split):
+        if open_ == 1:
+            break
+        able = label[base:] != label[q]
+        if within:
+            able[:q] = False  # earlier queries have met this one
+        near = base + lists.search(sets[q], able)
+        others, example = np.unique(label[near], return_index=True)
+        for other, e in zip(others.tolist(), near[example].tolist(), strict=True):
+            edges.append((int(key[q]), int(key[e])))
+            label[label == other] = label[q]
+            open_ -= 1
     return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
 
-def divide_skip(query: np.ndarray, candidates: list[np.ndarray], need: np.ndarray) -> np.ndarray:
-    """Which sorted sets share at least ``need`` elements with the sorted set ``query``.
-
-    The query's inverted lists over the candidates are ordered by length; the longest
-    are set aside, at most ``T - 1`` of them for the least need T, so a result occurs
-    at least ``T - L`` times in the short ones, which are heap-merged.  What is left is
-    probed by binary search in the long ones.
-    """
-    owner = np.repeat(np.arange(len(candidates)), [len(c) for c in candidates])
-    flat = np.concatenate(candidates)
-    at = np.searchsorted(query, flat)
-    at[at == len(query)] = 0
-    hit = query[at] == flat
-    at, owner = at[hit], owner[hit]
-    order = np.lexsort((owner, at))
-    at, owner = at[order], owner[order]
-    lists = np.searchsorted(at, np.arange(len(query) + 1))
-    lengths = np.diff(lists)
-    least = int(need.min())
-    longest = max(0, min(least - 1, len(query) - max(1, len(query) // 8)))
-    by_length = np.argsort(lengths, kind="stable")
-    short, long = by_length[: len(query) - longest], by_length[len(query) - longest :]
-    count = np.zeros(len(candidates), np.int64)
-    for one, run in groupby(heapq.merge(*(owner[lists[i] : lists[i + 1]].tolist() for i in short.tolist() if lengths[i]))):
-        count[one] = sum(1 for _ in run)
-    alive = np.flatnonzero(count >= need - longest)
-    probes = query[np.sort(long)]
-    for one in alive.tolist():
-        c = candidates[one]
-        place = np.searchsorted(c, probes)
-        place[place == len(c)] = 0
-        count[one] += int((c[place] == probes).sum())
-    return count >= need
-
-
-def _verified(batches):
-    """Links among the candidate rows; input sorted by the query class ``a``."""
-    for batch in batches:
-        a, an, b, bn = (batch.column(c).to_numpy() for c in ("a", "an", "b", "bn"))
-        sa, sb = batch.column("sa"), batch.column("sb")
-        links = np.zeros(len(a), bool)
-        edges = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]])) if len(a) else []
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            query = np.frombuffer(sa[int(lo)].as_buffer(), np.uint64)
-            for at in range(lo, hi, 256):
-                to = min(at + 256, hi)
-                sets = [np.frombuffer(sb[i].as_buffer(), np.uint64) for i in range(at, to)]
-                links[at:to] = divide_skip(query, sets, required(an[at:to], bn[at:to]))
-        yield pa.RecordBatch.from_arrays([pa.array(a[links]), pa.array(b[links])], ["a", "b"])
-
-
-def classes_and_links(docs: DataFrame, k: int = 5, best: int = 2, block: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
-    """(doc, key, n, v) of each document, and links (a, b) whose components are those of all links.
-
-    ``v``, the smallest doc_id of the class, names it.
-    """
+def _sharing(lists: DataFrame) -> DataFrame:
+    """Without lists of one class, and without classes that share too few shingles then."""
+    for _ in range(2):
+        common = lists.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("token")
+        lists = lists.join(common, "token", "left_semi")
+        enough = lists.groupBy("key", "n").agg(F.count(F.lit(1)).alias("held")).where("held >= 1 + floor(n / 20)").select("key")
+        lists = cut(lists.join(enough, "key", "left_semi"))
+    return lists
+
+
+def _open(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, c) of the classes that may link with one of another component."""
+    placed = lists.join(labels.withColumnRenamed("v", "key"), "key", "left").select("token", "key", "n", F.coalesce("component", "key").alias("c"))
+    mixed = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
+    return placed.join(mixed, "token", "left_semi").groupBy("key", "n", "c").agg(F.count(F.lit(1)).alias("held")).where("held >= 1 + floor(n / 20)").select("key", "c")
+
+
+def _links(lists: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """Links (a, b) of classes whose components are those of all links."""
+    first = lists.groupBy("token").agg(F.min("key").alias("b"))
+    groups = components(lists.join(first, "token").select(F.col("key").alias("a"), "b").distinct()).select(F.col("v").alias("key"), F.col("component").alias("g"))
+    grouped = cut(groups.join(sets, "key").select("key", "g", "n", "tokens"))
+    sized = grouped.groupBy("g").agg(F.sum(F.col("n") + 200).alias("size"))
+    large = cut(sized.where(F.col("size") > block).select("g", F.ceil(F.col("size") / block).alias("blocks")))
+    there = large.count()
+    if there <= BROADCAST_KEYS:
+        large = F.broadcast(large)
+    found = "a long, b long"
+    dealt = lambda rows, seed: rows.withColumn("i", F.pmod(F.xxhash64("key", F.lit(seed)), F.col("blocks")))
+    alone = lambda rows: rows.withColumn("side", F.lit(0)).groupBy("g", "i").applyInArrow(_search_blocks, found)
+    whole = grouped.withColumn("c", F.col("key"))
+    links = alone(whole.join(large, "g", "left_anti").withColumn("i", F.lit(0).cast("long")))
+    if not there:
+        return cut(links)
+    links = cut(links.unionByName(alone(dealt(whole.join(large, "g"), 1))))
+    left = whole.join(large, "g").drop("c")
+    links = cut(links.unionByName(alone(dealt(left.join(_open(lists, components(links)), "key"), 2))))
+    left = cut(dealt(left.join(_open(lists, components(links)), "key"), 3))
+    used = left.select("g", "i").distinct()
+    meets = cut(used.join(used.select("g", F.col("i").alias("j")), "g").where("i <= j"))
+    columns = ["g", "i", "j", "side", "key", "c", "tokens"]
+    near = left.join(meets, ["g", "i"]).withColumn("side", F.lit(0)).select(columns)
+    far = left.withColumnRenamed("i", "j").join(meets.where("i < j"), ["g", "j"]).withColumn("side", F.lit(1)).select(columns)
+    return cut(links.unionByName(near.unionByName(far).groupBy("g", "i", "j").applyInArrow(_search_blocks, found)))
+
+
+def classes_and_links(docs: DataFrame, k: int = 5, block: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """(doc, key, n) of each row, and links (a, b) of keys whose components are those of all links."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
     first = cut(base.mapInArrow(_classes(k), "doc long, key long, n long"))
     members = first.where("doc IS NOT NULL")
-    named = members.where("n > 0").groupBy("key", "n").agg(F.min("doc").alias("v"))
 
     frequent = first.where("doc IS NULL").groupBy("key").agg(F.sum("n").alias("times")).orderBy(F.desc("times"), "key").limit(HOT_SHINGLES).toArrow()
     hot = frequent.column("key").to_numpy().view(np.uint64)
@@ -324,77 +323,70 @@ def classes_and_links(docs: DataFrame, k: int = 5, best: int = 2, block: int = 1
 
     postings = base.select("text").mapInArrow(_postings(k, hot[order], rank), "token long, key long, n int")
     lists = postings.repartition(parts, "token").sortWithinPartitions("token", "n", "key").mapInArrow(_lists, "token long, key long, n int")
-    lists = cut(lists)
-    # a linked class shares enough posted shingles: the others leave
-    able = lists.groupBy("key", "n").count().where(F.col("count") >= 1 + F.floor(F.col("n") / 20)).select("key", "n")
-    able = cut(able.join(named, ["key", "n"]))
-    lists = lists.join(able, ["key", "n"]).select("token", "v", F.col("n").cast("long").alias("n"))
-    lists = cut(lists.repartition(parts, "token").sortWithinPartitions("token", "n", "v"))
-
-    # the sets of classes that may link, made again from the text of one member each
-    wanted = able.select(F.col("v").alias("doc")).distinct()
-    if able.count() <= BROADCAST_KEYS:
-        wanted = F.broadcast(wanted)
+    able = lists.groupBy("key", "n").agg(F.count(F.lit(1)).alias("held")).where("held >= 1 + floor(n / 20)").select("key")
+    # one document of each class that may link, to make the set of its text again
+    named = members.where("n > 0").groupBy("key").agg(F.min("doc").alias("doc"))
+    wanted = cut(named.join(able, "key", "left_semi").select("doc", "key"))
+    texts = base.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted, "doc")
 
     def remake(batches):
         for batch in sliced(batches):
-            sets = list(sets_of(batch, k))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), pa.array([set_key(s) if len(s) else 0 for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["doc", "key", "n", "tokens"],
-            )
-
-    sets = base.join(wanted, "doc", "left_semi").mapInArrow(remake, "doc long, key long, n long, tokens binary")
-    # rows that share a doc_id may be of several classes: the one that v names stays
-    sets = sets.join(able.select("key", "n", "v"), ["key", "n"]).where("doc = v").groupBy("v").agg(F.first("tokens").alias("tokens"))
-    sets = cut(sets)
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        left, right = sets.select(F.col("v").alias("a"), F.col("tokens").alias("sa")), sets.select(F.col("v").alias("b"), F.col("tokens").alias("sb"))
-        rows = pairs.select("a", "an", "b", "bn").join(right, "b").join(left, "a").select("a", "an", "b", "bn", "sa", "sb")
-        return cut(rows.sortWithinPartitions("a").mapInArrow(_verified, "a long, b long"))
-
-    found = lists.mapInArrow(_hub_pairs, "a long, an long, b long, bn long, times long").groupBy("a", "an", "b", "bn").agg(F.sum("times").alias("times"))
-    # the best hubs of a class, by shared lists
-    top = F.slice(F.sort_array(F.collect_list(F.struct("times", "a", "an")), asc=False), 1, best)
-    found = found.groupBy("b", "bn").agg(top.alias("hubs")).select(F.explode("hubs").alias("hub"), "b", "bn")
-    found = found.select(F.col("hub.a").alias("a"), F.col("hub.an").alias("an"), "b", "bn", F.col("hub.times").alias("times"))
-    links = verify(found.where(F.col("times") >= 1 + F.floor(F.least("an", "bn") / 64)))
-
-    labels = components(links)
-    placed = cut(lists.join(labels, "v", "left").select("token", "v", "n", F.coalesce("component", "v").alias("c")))
-    for _ in range(2):
-        # lists within one component tell nothing new; who then shares too few leaves
-        open_ = placed.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("v").alias("hub")).where("c0 <> c1")
-        placed = placed.join(open_.select("token"), "token", "left_semi")
-        placed = placed.join(placed.groupBy("v", "n").count().where(F.col("count") >= 1 + F.floor(F.col("n") / 20)).select("v"), "v", "left_semi")
-        placed = cut(placed)
-    hubs = placed.join(placed.groupBy("token").agg(F.min("v").alias("hub")), "token").select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct()
-    groups = components(hubs).withColumnRenamed("component", "g")
-    along = Window.partitionBy("g").orderBy("n", "v").rowsBetween(Window.unboundedPreceding, 0)
-    part = placed.select("v", "n", "c").distinct().join(groups, "v").withColumn("i", F.floor(F.sum(F.col("n") + 200).over(along) / block).cast("long"))
-    part = cut(part)
-    spans = part.groupBy("g", "i").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    later = spans.select("g", F.col("i").alias("j"), F.col("low").alias("next"))
-    # blocks ascend in size, so a pair is of use if the largest of one reaches the smallest of the other
-    meets = cut(spans.join(later, "g").where("i <= j AND 5 * high >= 4 * next").select("g", "i", "j"))
-    filled = part.join(sets, "v").select("g", F.col("i").alias("own"), "v", "n", "c", "tokens")
-    near = filled.join(meets.withColumn("own", F.col("i")), ["g", "own"]).withColumn("side", F.lit(0))
-    far = filled.join(meets.where("i < j").withColumn("own", F.col("j")), ["g", "own"]).withColumn("side", F.lit(1))
-    found = near.unionByName(far).groupBy("g", "i", "j").applyInArrow(_search_blocks, "a long, b long")
-    links = cut(links.unionByName(found))
-    return members.join(named, ["key", "n"], "left"), links
-
-
-def join_documents(docs: DataFrame, k: int = 5) -> DataFrame:
+            keys, sizes, made = [], [], []
+            # rows that share a doc_id may be of several classes: the one that is meant stays
+            for key, s in zip(batch.column("key").to_pylist(), sets_of(batch, k), strict=True):
+                if len(s) and set_key(s) == key:
+                    keys.append(key)
+                    sizes.append(len(s))
+                    made.append(s)
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            flat = np.concatenate(made).view(np.int64) if made else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["key", "n", "tokens"])
+
+    sets = texts.mapInArrow(remake, "key long, n long, tokens array<long>")
+    # equal rows of one document come once
+    sets = cut(sets.groupBy("key", "n").agg(F.first("tokens").alias("tokens")))
+
+    # the second order: by the number of sets that hold a shingle; rare ones come before all these
+    each = sets.select("key", "n", F.explode("tokens").alias("token"))
+    common = each.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    shared = each.join(common, "token").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("shared"))
+    n, width = F.col("n"), F.size("shared")
+    post = F.least(n, n - F.ceil(4 * n / 5) + 1 + F.floor(n / 16)) - (n - width)
+    shared = shared.withColumn("posted", F.slice("shared", F.lit(1), F.greatest(F.lit(0), post).cast("int"))).where("size(posted) >= 1 + floor(n / 20)")
+    lists = _sharing(shared.select(F.explode("posted.token").alias("token"), "key", "n"))
+    return members, _links(lists, sets, block)
+
+
+def _attached(members: DataFrame, named: DataFrame, total: int) -> DataFrame:
+    """``members`` left-joined to ``named(key, rows, ...)``; classes of many rows are never gathered in a task."""
+    if named.count() <= BROADCAST_KEYS:
+        return members.join(F.broadcast(named.drop("rows")), "key", "left")
+    hot = F.broadcast(named.where(F.col("rows") > HOT_SHARE * total))
+    often = members.join(hot.drop("rows"), "key")
+    rest = members.join(hot.select("key"), "key", "left_anti").join(named.drop("rows"), "key", "left")
+    return often.unionByName(rest)
+
+
+def join_documents(docs: DataFrame, k: int = 5, block: int = 1_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) of each row of ``docs(doc_id, text)``."""
-    members, links = classes_and_links(docs, k)
+    members, links = classes_and_links(docs, k, block)
+    full = members.where("n > 0")
+    classes = full.groupBy("key").agg(F.min("doc").alias("class_id"), F.count(F.lit(1)).alias("rows"))
+    # the classes of one document are connected
+    same = full.groupBy("doc").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("a")
+    if same.limit(1).count():
+        lowest = full.groupBy("doc").agg(F.min("key").alias("b"))
+        links = links.unionByName(full.join(lowest, "doc").select(F.col("key").alias("a"), "b").where("a <> b"))
     labels = components(links)
-    rows = members.join(labels, "v", "left")
+    placed = classes.join(labels.withColumnRenamed("v", "key"), "key", "left")
+    # classes of one row that link with nothing are their own component
+    placed = cut(placed.where("rows > 1 OR component IS NOT NULL").select("key", "rows", "class_id", F.coalesce("component", "key").alias("c")))
+    heads = placed.groupBy("c").agg(F.min("class_id").alias("component_id"))
+    named = cut(placed.join(heads, "c").select("key", "rows", "class_id", "component_id"))
     back = lambda c: F.when(c != NULL_ID, c)
-    return rows.select(
+    return _attached(members, named, members.count()).select(
         back(F.col("doc")).alias("doc_id"),
         F.col("n").alias("n_shingles"),
-        back(F.coalesce("component", "v", "doc")).alias("component_id"),
-        back(F.coalesce("v", "doc")).alias("class_id"),
+        back(F.coalesce("component_id", "doc")).alias("component_id"),
+        back(F.coalesce("class_id", "doc")).alias("class_id"),
     )

@@ -252,8 +252,27 @@ def test_ngram_join_of_near_copies(spark):
         for _ in range(rng.integers(0, 3)):
             base[rng.integers(0, len(base))] = f"e{rng.integers(0, 9)}"
         rows.append((i, " ".join(base), None, None))
-    got = ngram_join.join_documents(spark.createDataFrame([(d, t) for d, t, *_ in rows], "doc_id long, text string").repartition(4)).collect()
-    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+    frame = spark.createDataFrame([(d, t) for d, t, *_ in rows], "doc_id long, text string").repartition(4)
+    # whole groups, and groups dealt to blocks that meet each other
+    for block in (1_000_000, 2_000):
+        got = ngram_join.join_documents(frame, block=block).collect()
+        assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+
+
+def test_long_lists_are_merged_like_short_ones():
+    rng = np.random.default_rng(3)
+    runs = [np.unique(rng.integers(0, 900, n)) for n in (300, 5, 80, 1)]
+    want = Counter(x for r in runs for x in r.tolist())
+    for some in (runs, runs[1:]):
+        want = Counter(x for r in some for x in r.tolist())
+        found, count = ngram_join.merged(some)
+        assert dict(zip(found.tolist(), count.tolist(), strict=True)) == want
+
+
+def test_rows_of_one_document_are_connected(spark):
+    rows = [(1, BASE), (2, ENGLISH), (2, BASE), (3, FRENCH), (4, ENGLISH)]
+    got = ngram_join.join_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (2, 1), (3, 3), (4, 1)]
 
 
 def test_divide_skip_counts_exactly():
@@ -261,9 +280,11 @@ def test_divide_skip_counts_exactly():
     for _ in range(50):
         query = np.unique(rng.integers(0, 60, 40).astype(np.uint64))
         candidates = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in rng.integers(1, 50, 8)]
-        need = rng.integers(1, 25, 8)
-        got = ngram_join.divide_skip(query, candidates, need)
-        assert got.tolist() == [len(np.intersect1d(query, c)) >= k for c, k in zip(candidates, need, strict=True)]
+        candidates += [np.setdiff1d(query, query[rng.random(len(query)) < rng.choice([0.05, 0.2])]) for _ in range(8)]
+        got = ngram_join.divide_skip(query, candidates)
+        both = [len(np.intersect1d(query, c)) for c in candidates]
+        assert got.tolist() == [100 * o >= 80 * (len(query) + len(c) - o) for c, o in zip(candidates, both, strict=True)]
+        assert got.any()
 
 
 def test_ngram_join_of_nothing(nothing):
@@ -587,7 +608,7 @@ def test_block_search_connects_what_links(within):
             sets.append(np.unique(np.concatenate([keep, rng.integers(0, 50, rng.integers(1, 12)).astype(np.uint64)])))
         n = np.array([len(s) for s in sets])
         side = np.zeros(40, int) if within else (np.arange(40) >= 20).astype(int)
-        table = pa.table({"side": side, "v": np.arange(40), "n": n, "c": np.arange(40), "tokens": pa.array([s.tobytes() for s in sets], pa.binary())})
+        table = pa.table({"side": side, "key": np.arange(40), "n": n, "c": np.arange(40), "tokens": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
         got = ngram_join._search_blocks(table)
         want = [(i, j) for i in range(40) for j in range(i + 1, 40) if (within or side[i] != side[j]) and 180 * len(np.intersect1d(sets[i], sets[j])) >= 80 * (n[i] + n[j])]
 
