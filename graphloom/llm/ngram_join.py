@@ -58,6 +58,8 @@ HOT_LOCAL = 3
 BROADCAST_KEYS = 500_000
 #: Classes of over this share of all documents are joined by themselves: at most as many as its inverse.
 HOT_SHARE = 1 / 1024
+#: Sets that hold a shingle are counted up to this number.
+MANY = 1 << 16
 #: Merged lists and probes that a query holds at a time.
 AT_ONCE = 1_000_000
 #: Up to so many entries, lists are merged by a heap; longer ones by a run-merging sort.
@@ -140,7 +142,7 @@ def _postings(k: int, hot: np.ndarray, rank: np.ndarray):
 
 
 def _lists(batches):
-    """Rows of lists that hold at least two classes; input sorted by token, n, key.
+    """Rows of lists that hold another class of a size that can link; input sorted by token, n, key.
 
     Equal rows (copies posted by several tasks) come once.
     """
@@ -155,17 +157,78 @@ def _lists(batches):
         new = np.ones(len(t), bool)
         new[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1]) | (n[1:] != n[:-1])
         t, k, n = t[new], k[new], n[new]
-        same = t[1:] == t[:-1]
-        keep = np.zeros(len(t), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        out = keep.copy()
+        # the class nearest in size is next to it
+        near = (t[1:] == t[:-1]) & (5 * n[:-1].astype(np.int64) >= 4 * n[1:].astype(np.int64))
+        out = np.zeros(len(t), bool)
+        out[1:] |= near
+        out[:-1] |= near
+        last = bool(out[-1]) or (given and len(t) == 1)
         if given:
             out[0] = False
-            keep[0] = True
         if out.any():
             yield pa.RecordBatch.from_arrays([pa.array(t[out]), pa.array(k[out]), pa.array(n[out])], ["token", "key", "n"])
-        held = (t[-1], k[-1], n[-1], bool(keep[-1]))
+        held = (t[-1], k[-1], n[-1], last)
+
+
+def _held(batches):
+    """(token, key, n, held) of shingles in at least two sets; input sorted by token.
+
+    ``held`` is the number of sets, ``MANY`` if there are as many or more, so that what is kept
+    back of a list is bounded.
+    """
+    kept: list[tuple] = []  # rows of the last list while it is short
+    token, size = None, 0
+    columns = lambda t, k, n, h: pa.RecordBatch.from_arrays([pa.array(t), pa.array(k), pa.array(n), pa.array(h, pa.int32())], ["token", "key", "n", "held"])
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t, k, n = (batch.column(c).to_numpy() for c in ("token", "key", "n"))
+        edge = np.flatnonzero(t[1:] != t[:-1]) + 1
+        first = edge[0] if len(edge) else len(t)
+        if token is not None and t[0] != token:  # the list of the last batch has ended
+            if size > 1 and kept:
+                yield from (columns(*x, np.full(len(x[0]), min(size, MANY))) for x in kept)
+            kept, size, token = [], 0, None
+        size += first
+        kept.append((t[:first], k[:first], n[:first]))
+        token = t[0]
+        if size >= MANY:
+            yield from (columns(*x, np.full(len(x[0]), MANY)) for x in kept)
+            kept = []
+        if len(edge):
+            if size > 1:
+                yield from (columns(*x, np.full(len(x[0]), min(size, MANY))) for x in kept)
+            last = edge[-1]
+            length = np.diff(edge)
+            held = np.repeat(np.minimum(length, MANY), length)
+            more = held > 1
+            if more.any():
+                part = slice(first, last)
+                yield columns(t[part][more], k[part][more], n[part][more], held[more])
+            token, size, kept = t[-1], len(t) - last, [(t[last:], k[last:], n[last:])]
+    if size > 1 and kept:
+        yield from (columns(*x, np.full(len(x[0]), min(size, MANY))) for x in kept)
+
+
+def _hub_edges(batches):
+    """(a, b): each class of a list with the first whose size chains to it; input sorted by token, n, key."""
+    last = None  # token, key, n and hub of the last row
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t, k, n = (batch.column(c).to_numpy() for c in ("token", "key", "n"))
+        if last is not None:
+            t, k, n = np.append(last[0], t), np.append(last[1], k), np.append(last[2], n)
+        chained = np.zeros(len(t), bool)
+        chained[1:] = (t[1:] == t[:-1]) & (5 * n[:-1] >= 4 * n[1:])
+        start = np.maximum.accumulate(np.where(chained, 0, np.arange(len(t))))
+        hub = k[start]
+        if last is not None:
+            hub[start == 0] = last[3]
+        pairs = np.unique(np.stack([k, hub], 1)[k != hub], axis=0)
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        last = (t[-1], k[-1], n[-1], hub[-1])
 
 
 def merged(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -262,16 +325,6 @@ def _search_blocks(rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
 
-def _sharing(lists: DataFrame) -> DataFrame:
-    """Without lists of one class, and without classes that share too few shingles then."""
-    for _ in range(2):
-        common = lists.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("token")
-        lists = lists.join(common, "token", "left_semi")
-        enough = lists.groupBy("key", "n").agg(F.count(F.lit(1)).alias("held")).where("held >= 1 + floor(n / 20)").select("key")
-        lists = cut(lists.join(enough, "key", "left_semi"))
-    return lists
-
-
 def _open(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, c) of the classes that may link with one of another component."""
     placed = lists.join(labels.withColumnRenamed("v", "key"), "key", "left").select("token", "key", "n", F.coalesce("component", "key").alias("c"))
@@ -279,30 +332,44 @@ def _open(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return placed.join(mixed, "token", "left_semi").groupBy("key", "n", "c").agg(F.count(F.lit(1)).alias("held")).where("held >= 1 + floor(n / 20)").select("key", "c")
 
 
-def _links(lists: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+def _some(keys: DataFrame) -> tuple[DataFrame, bool]:
+    """A table of few columns, marked for broadcast if its count allows it, and whether it is."""
+    few = keys.count() <= BROADCAST_KEYS
+    return (F.broadcast(keys) if few else keys), few
+
+
+def _links(posted_: DataFrame, sets: DataFrame, block: int) -> DataFrame:
     """Links (a, b) of classes whose components are those of all links."""
-    first = lists.groupBy("token").agg(F.min("key").alias("b"))
-    groups = components(lists.join(first, "token").select(F.col("key").alias("a"), "b").distinct()).select(F.col("v").alias("key"), F.col("component").alias("g"))
-    grouped = cut(groups.join(sets, "key").select("key", "g", "n", "tokens"))
-    sized = grouped.groupBy("g").agg(F.sum(F.col("n") + 200).alias("size"))
+    parts = shuffle_partitions(sets.sparkSession)
+    sorted_ = lambda rows: rows.repartition(parts, "token").sortWithinPartitions("token", "n", "key")
+    lists = cut(sorted_(posted_).mapInArrow(_lists, "token long, key long, n long"))
+    enough = cut(lists.groupBy("key", "n").agg(F.count(F.lit(1)).alias("held")).where("held >= 1 + floor(n / 20)").select("key", "n"))
+    some, few = _some(enough.select("key"))
+    lists = lists.join(some, "key", "left_semi").select("token", "key", "n")
+    lists = lists if few else sorted_(lists)  # a broadcast leaves lists as they lie
+    groups = components(lists.mapInArrow(_hub_edges, "a long, b long").distinct())
+    groups = cut(groups.join(enough, groups.v == enough.key).select("key", "n", F.col("component").alias("g")))
+    sized = groups.groupBy("g").agg(F.sum(F.col("n") + 200).alias("size"))
     large = cut(sized.where(F.col("size") > block).select("g", F.ceil(F.col("size") / block).alias("blocks")))
     there = large.count()
-    if there <= BROADCAST_KEYS:
-        large = F.broadcast(large)
+    large, _ = _some(large)
     found = "a long, b long"
+    filled = lambda rows: sets.select("key", "tokens").join(_some(rows)[0], "key")
     dealt = lambda rows, seed: rows.withColumn("i", F.pmod(F.xxhash64("key", F.lit(seed)), F.col("blocks")))
-    alone = lambda rows: rows.withColumn("side", F.lit(0)).groupBy("g", "i").applyInArrow(_search_blocks, found)
-    whole = grouped.withColumn("c", F.col("key"))
-    links = alone(whole.join(large, "g", "left_anti").withColumn("i", F.lit(0).cast("long")))
+    alone = lambda rows: filled(rows).withColumn("side", F.lit(0)).groupBy("g", "i").applyInArrow(_search_blocks, found)
+    groups = groups.select("key", "g", F.col("key").alias("c"))
+    links = alone(groups.join(large, "g", "left_anti").withColumn("i", F.lit(0).cast("long")))
     if not there:
         return cut(links)
-    links = cut(links.unionByName(alone(dealt(whole.join(large, "g"), 1))))
-    left = whole.join(large, "g").drop("c")
+    groups = cut(groups.join(large, "g"))
+    links = cut(links.unionByName(alone(dealt(groups, 1))))
+    left = groups.drop("c")
     links = cut(links.unionByName(alone(dealt(left.join(_open(lists, components(links)), "key"), 2))))
     left = cut(dealt(left.join(_open(lists, components(links)), "key"), 3))
     used = left.select("g", "i").distinct()
     meets = cut(used.join(used.select("g", F.col("i").alias("j")), "g").where("i <= j"))
     columns = ["g", "i", "j", "side", "key", "c", "tokens"]
+    left = filled(left)
     near = left.join(meets, ["g", "i"]).withColumn("side", F.lit(0)).select(columns)
     far = left.withColumnRenamed("i", "j").join(meets.where("i < j"), ["g", "j"]).withColumn("side", F.lit(1)).select(columns)
     return cut(links.unionByName(near.unionByName(far).groupBy("g", "i", "j").applyInArrow(_search_blocks, found)))
@@ -327,7 +394,7 @@ def classes_and_links(docs: DataFrame, k: int = 5, block: int = 1_000_000) -> tu
     # one document of each class that may link, to make the set of its text again
     named = members.where("n > 0").groupBy("key").agg(F.min("doc").alias("doc"))
     wanted = cut(named.join(able, "key", "left_semi").select("doc", "key"))
-    texts = base.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted, "doc")
+    texts = base.join(_some(wanted)[0], "doc")
 
     def remake(batches):
         for batch in sliced(batches):
@@ -342,19 +409,18 @@ def classes_and_links(docs: DataFrame, k: int = 5, block: int = 1_000_000) -> tu
             flat = np.concatenate(made).view(np.int64) if made else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["key", "n", "tokens"])
 
-    sets = texts.mapInArrow(remake, "key long, n long, tokens array<long>")
-    # equal rows of one document come once
-    sets = cut(sets.groupBy("key", "n").agg(F.first("tokens").alias("tokens")))
+    sets = cut(texts.mapInArrow(remake, "key long, n long, tokens array<long>"))
+    if sets.count() > wanted.count():  # equal rows of one document
+        sets = cut(sets.groupBy("key", "n").agg(F.first("tokens").alias("tokens")))
 
     # the second order: by the number of sets that hold a shingle; rare ones come before all these
-    each = sets.select("key", "n", F.explode("tokens").alias("token"))
-    common = each.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    shared = each.join(common, "token").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("shared"))
+    each = sets.select(F.explode("tokens").alias("token"), "key", "n").repartition(parts, "token").sortWithinPartitions("token")
+    shared = each.mapInArrow(_held, "token long, key long, n long, held int")
+    shared = shared.groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("shared"))
     n, width = F.col("n"), F.size("shared")
     post = F.least(n, n - F.ceil(4 * n / 5) + 1 + F.floor(n / 16)) - (n - width)
     shared = shared.withColumn("posted", F.slice("shared", F.lit(1), F.greatest(F.lit(0), post).cast("int"))).where("size(posted) >= 1 + floor(n / 20)")
-    lists = _sharing(shared.select(F.explode("posted.token").alias("token"), "key", "n"))
-    return members, _links(lists, sets, block)
+    return members, _links(shared.select(F.explode("posted.token").alias("token"), "key", "n"), sets, block)
 
 
 def _attached(members: DataFrame, named: DataFrame, total: int) -> DataFrame:
