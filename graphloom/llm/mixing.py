@@ -1,13 +1,13 @@
 """Operator 1 [native]: mixing sources to target weights by weighted fair queueing.
 
 Every source queues its documents in a hashed, repeatable shuffle, once per pass
-over the source.  A document's virtual finish time is the source's cumulated words
-up to its end, divided by the source's target.  Service stops where the total budget
-is spent, which is virtual time 1 of every source alike, so each source is cut at its
-own target and no sort over all sources decides it; ``mix_report`` ranges its rows by
-finish time for their order only, ``mix`` has no order.  A document that is being
-served at the cut gives its leading words only, so the words taken of each source meet
-its target to a word.
+over the source.  Documents are served in packets of at most ``quantum`` words.  A
+packet's virtual finish time is the source's cumulated words up to its end, divided
+by the source's target.  All packets of all sources are range-sorted by it, cumulated
+in that order, and truncated where the total budget is spent; the packet at the cut
+gives its leading words.  So a document is taken whole, by its leading words or not at
+all, the words taken sum to the budget, and each source is within a packet or so of
+its target.
 
 Targets share ``budget`` times all words in proportion to the weights 5, 2, 1,
 repeating over the sources in code-point order (null last); a target stops at
@@ -15,14 +15,17 @@ repeating over the sources in code-point order (null last); a target stops at
 fixpoint is ``min(most * size, level * weight)``, found by one sorted pass over the
 sources.
 
-Prefix sums are two-level (bucket totals, then within a bucket), so that a source
-with a third of all rows is spread over many tasks.  Sizes are computed once and
-kept in the shared folder.  The table of sources is broadcast only if it counts at
-most ``BROADCAST_SOURCES`` rows; otherwise it is joined by shuffle.
+Prefix sums are two-level: over the buckets of a source's queue, then within a bucket,
+so that a source with a third of all rows is spread over many tasks; over ranges of
+finish time, then within a range.  Sizes are computed once and kept in the shared
+folder.  The table of sources is broadcast only if it counts at most
+``BROADCAST_SOURCES`` rows; otherwise it is joined by shuffle.
 
 Null texts have no words and are never taken; sources of no words have target 0;
-repeated rows are queued each by itself, ordered by a text hash; an
-empty table gives no rows.
+packets of equal finish time go by source, pass and shuffle; repeated rows are queued
+each by itself, ordered by a text hash; a long text is as many packets as it takes; an
+empty table gives no rows.  Other columns are passed on by ``mix``, whatever their
+names are (those that begin with ``__mix_`` excepted).
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 BROADCAST_SOURCES = 10_000
 #: Documents of one source that a window sorts at a time, on average.
 BUCKET_ROWS = 2_000
+#: Packets of a range of finish times, on average.
+RANGE_ROWS = 20_000
 
 
 def n_passes(most: float) -> int:
@@ -69,13 +74,12 @@ def source_targets(sizes: DataFrame, budget: float = 1.5, most: float = 2.0, wei
     return per.select("source", "source_size", "source_rows", "weight", F.least(F.col("cap"), F.coalesce(fits * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def served(docs: DataFrame, budget: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 17) -> DataFrame:
-    """One row per document and pass: (doc_id, text_hash, source, size, source_size, target, pass, start, words, finish_time).
+def served(docs: DataFrame, budget: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 17, quantum: int = 64) -> DataFrame:
+    """One row per document and pass: (doc_id, text_hash, source, pass, size, source_size, target, words, finish_time).
 
     ``words`` are the leading words that the mix takes of the document in that
     pass, ``finish_time`` is its virtual finish time.
     """
-    spark = docs.sparkSession
     sizes = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
@@ -86,8 +90,10 @@ def served(docs: DataFrame, budget: float = 1.5, most: float = 2.0, weights: tup
     sources = cut(source_targets(sizes, budget, most, weights))
     if sources.count() <= BROADCAST_SOURCES:
         sources = F.broadcast(sources)
-    rows = sizes.join(sources, sizes.source.eqNullSafe(sources.source)).drop(sources.source)
     passes = n_passes(most)
+    n_packets = F.greatest(F.ceil(F.col("size") / quantum), F.lit(1))
+    total, packets = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum(n_packets), F.lit(0))).first()
+    rows = sizes.join(sources, sizes.source.eqNullSafe(sources.source)).drop(sources.source)
     rows = rows.withColumn("pass", F.explode(F.array(*[F.lit(i) for i in range(passes)])))
     # a hash of 60 bits that SQL can make too; buckets are ranges of it
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("pass").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
@@ -102,28 +108,44 @@ def served(docs: DataFrame, budget: float = 1.5, most: float = 2.0, weights: tup
     within = Window.partitionBy("source", "pass", "bucket").orderBy("place", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("upto", F.sum("size").over(within))
     rows = rows.join(totals, rows.source.eqNullSafe(totals.s) & (rows["pass"] == totals.p) & (rows.bucket == totals.b))
-    finish = F.col("ahead") + F.col("upto")
-    start = finish - F.col("size")
-    words = F.greatest(F.lit(0), F.least(F.col("size"), F.round("target").cast("long") - start)).cast("long")
-    return rows.select(
-        "doc_id", "text_hash", "source", "size", "source_size", "target", "pass", start.alias("start"), words.alias("words"),
-        F.when(F.col("target") > 0, finish / F.col("target")).alias("finish_time"),
-    )
+    rows = rows.withColumn("start", F.col("ahead") + F.col("upto") - F.col("size"))
+    # the packets, in ranges of their finish times
+    rows = rows.withColumn("packet", F.explode(F.sequence(F.lit(0).cast("long"), n_packets - 1)))
+    served_ = F.least((F.col("packet") + 1) * quantum, F.col("size"))
+    rows = rows.withColumn("words", served_ - F.col("packet") * quantum)
+    rows = rows.withColumn("finish", F.when(F.col("target") > 0, (F.col("start") + served_) / F.col("target")))
+    ranges = max(1, -(-packets * passes // RANGE_ROWS))
+    # what has no target has no finish time and no words: it is spread
+    rows = rows.withColumn("range", F.coalesce(F.floor(F.col("finish") * ranges), -1 - F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(ranges))))
+    rows = rows.select("doc_id", "text_hash", "source", "pass", "size", "source_size", "target", "place", "packet", "words", "finish", "range")
+    before = rows.groupBy("range").agg(F.sum("words").alias("in_range"))
+    before = before.select(F.col("range").alias("r"), F.coalesce(F.sum("in_range").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    order = ["finish", F.col("source").asc_nulls_last(), "pass", "place", "doc_id", "text_hash", "packet"]
+    rows = rows.withColumn("upto", F.sum("words").over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.join(before, rows.range == before.r)
+    left = F.lit(int(min(budget, most) * total)) - (F.col("earlier") + F.col("upto") - F.col("words"))
+    taken = F.greatest(F.lit(0), F.least(F.col("words"), left)).cast("long")
+    return rows.groupBy("doc_id", "text_hash", "source", "pass").agg(
+        F.first("size").alias("size"),
+        F.first("source_size").alias("source_size"),
+        F.first("target").alias("target"),
+        F.sum(taken).alias("words"),
+        F.sum(F.when(F.col("packet") == 0, 1).otherwise(0)).alias("copies"),
+        F.max("finish").alias("finish_time"),
+    )
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """One row per document: the words that the mix takes of it, in the order of service."""
-    rows = served(docs, **options)
-    passes = n_passes(options.get("most", 2.0))
-    # one key per row of documents: equal rows are told apart by their number among equals
-    per = rows.groupBy("doc_id", "text_hash", "source").agg(
+    per = served(docs, **options).groupBy("doc_id", "text_hash", "source").agg(
         F.first("size").alias("size"),
         F.first("source_size").alias("source_size"),
         F.first("target").alias("target"),
         F.sum("words").alias("taken"),
         F.min("finish_time").alias("first_finish"),
-        (F.count(F.lit(1)) / passes).cast("int").alias("copies"),
-    )
+        F.max("copies").cast("int").alias("copies"),
+    )
+    # equal rows are told apart by their number among equals
     per = per.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     share = F.floor((F.col("taken") + F.col("copies") - F.col("copy")) / F.col("copies")).cast("long")
     out = per.select("doc_id", "size", "source_size", "target", share.alias("taken"), "first_finish")
@@ -136,8 +158,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     Documents taken whole keep their text as it is.
     """
     # equal rows follow each other in the queue: the words taken of them fill one copy after the other
-    rows = served(docs, **options).groupBy("doc_id", "text_hash", "source", "pass").agg(F.sum("words").alias("__mix_total"), F.first("size").alias("__mix_size"))
-    rows = rows.where("__mix_total > 0").withColumnRenamed("pass", "__mix_pass")
+    rows = served(docs, **options).where("words > 0").select("doc_id", "text_hash", "source", F.col("pass").alias("__mix_pass"), F.col("words").alias("__mix_total"), F.col("size").alias("__mix_size"))
     text = F.col("text").cast("string")
     # null-safe keys as plain ones, so that the window below needs no shuffle of its own
     keys = lambda doc_id, text_hash, source: [

@@ -95,8 +95,10 @@ c AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * (SELECT sum(size
 l AS (SELECT *, (total - coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c WINDOW w AS (ORDER BY cap / weight, source NULLS LAST)),
 t AS (SELECT source, source_size, least(cap, coalesce((SELECT max(level) FROM l WHERE level * weight <= cap) * weight, cap)) AS target FROM l),
 q AS (SELECT s.doc_id, s.size, t.*, k, CAST('0x' || left(md5('17|' || k || '|' || s.doc_id), 15) AS BIGINT) AS place FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source, (VALUES (0), (1)) x(k)),
-f AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY k, place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start FROM q)
-SELECT doc_id, size, source_size, target, CAST(sum(greatest(0, least(size, CAST(round(target) AS BIGINT) - start))) AS BIGINT) AS taken FROM f GROUP BY ALL""",
+f AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY k, place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start FROM q),
+h AS (SELECT *, least(64 * (j + 1), size) - 64 * j AS words, CASE WHEN target > 0 THEN (start + least(64 * (j + 1), size)) / target END AS finish FROM (SELECT *, unnest(range(0, greatest((size + 63) // 64, 1))) AS j FROM f)),
+g AS (SELECT *, sum(words) OVER (ORDER BY finish NULLS LAST, source NULLS LAST, k, place, doc_id, j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - words AS before FROM h)
+SELECT doc_id, size, source_size, target, CAST(sum(greatest(0, least(words, CAST(floor(1.5 * (SELECT sum(size) FROM s)) AS BIGINT) - before))) AS BIGINT) AS taken FROM g GROUP BY doc_id, size, source_size, target""",
     "op3_ngram_join": rf"""WITH RECURSIVE w AS (SELECT doc_id, coalesce({WORDS.format(LOWERED)}, []) AS w FROM documents),
 g AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
