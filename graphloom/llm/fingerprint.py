@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.text import mix, sliced
+from graphloom.llm.text import mix, sliced, widened
 from graphloom.session import cut, shuffle_partitions
 
 SAMPLES, CLASSES, PERIOD = 128, 256, 4096
@@ -111,9 +111,9 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """``docs`` with the fingerprint of ``text``."""
+    """``docs`` with the fingerprint of ``text``, which replaces a column of this name."""
     docs = docs.drop("fingerprint")
-    names, kinds = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    names = docs.columns
 
     def run(batches):
         walk = Walk()
@@ -121,7 +121,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
             made = walk.fingerprints([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(made, pa.string())], [*names, "fingerprint"])
 
-    return docs.mapInArrow(run, f"{kinds}, fingerprint string")
+    return docs.mapInArrow(run, widened(docs, "fingerprint string"))
 
 
 def _groups(batches):

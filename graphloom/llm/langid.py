@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.text import Texts, sliced
+from graphloom.llm.text import Texts, sliced, widened
 
 CLASSES = 64
 UNKNOWN = "und"
@@ -108,9 +108,9 @@ def fit(train: DataFrame, dim: int = 1024, seed: int = 5) -> dict[str, np.ndarra
 
 
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = 1024, seed: int = 5) -> DataFrame:
-    """``docs`` with lang_pred and score; only the column ``text`` is an input."""
+    """``docs`` with lang_pred and score, which replace columns of these names; only ``text`` is an input."""
     docs = docs.drop("lang_pred", "score")
-    names, kinds = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    names = docs.columns
     langs = sorted(prototypes)
     unit = np.array([prototypes[x] / (np.linalg.norm(prototypes[x]) or 1.0) for x in langs], np.float32).reshape(len(langs), dim)
 
@@ -135,4 +135,4 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = 1024
             columns = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pc.take(choice, pa.array(pick)), pa.array(score)], [*names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.mapInArrow(run, widened(docs, "lang_pred string, score double"))

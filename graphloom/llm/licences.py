@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from graphloom.llm.text import sliced
+from graphloom.llm.text import sliced, widened
 
 #: The wording of public licence notices and headers, and of the licences themselves.
 TEMPLATES = {
@@ -128,10 +128,10 @@ class Scanner:
 
 
 def scan_licences(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
-    """``docs`` with n_segments, licences (names by coefficient, then name), best_licence and best_dice."""
+    """``docs`` with n_segments, licences (names by coefficient, then name), best_licence and best_dice, which replace columns of these names."""
     added = ["n_segments", "licences", "best_licence", "best_dice"]
     docs = docs.drop(*added)
-    names, kinds = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    names = docs.columns
     templates = dict(templates or TEMPLATES)
 
     def run(batches):
@@ -153,4 +153,4 @@ def scan_licences(docs: DataFrame, templates: dict[str, str] | None = None, leas
                 [*names, *added],
             )
 
-    return docs.mapInArrow(run, f"{kinds}, n_segments long, licences string, best_licence string, best_dice double")
+    return docs.mapInArrow(run, widened(docs, "n_segments long, licences string, best_licence string, best_dice double"))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.text import BLANKS, sliced
+from graphloom.llm.text import BLANKS, sliced, widened
 from graphloom.session import cut, shared_dir, shuffle_partitions
 
 #: Stands for a null doc_id in comparisons: smaller than every doc_id.
@@ -163,7 +163,7 @@ class Runs:
 
 
 def dedup_lines(docs: DataFrame, least: int = 10, batches: int = 4, fan_in: int = 3) -> DataFrame:
-    """``docs`` with repeated lines dropped, and n_lines, n_dropped, kept_sha256 added.
+    """``docs`` with repeated lines dropped, and n_lines, n_dropped, kept_sha256, which replace columns of these names.
 
     ``batches`` increments of about equal row counts are cut at quantiles of
     doc_id, ``fan_in`` runs make a level full.
@@ -180,9 +180,9 @@ def dedup_lines(docs: DataFrame, least: int = 10, batches: int = 4, fan_in: int
     for low, high in zip(edges[:-1], edges[1:], strict=True):
         part = keyed
         if low is not None:
-            part = part.where(F.col(DOC) > low)
+            part = part.where(F.col("doc_id") > low)  # the column itself, so that files can be skipped
         if high is not None:
-            part = part.where(F.col(DOC) <= high)
+            part = part.where((F.col("doc_id") <= high) | F.col("doc_id").isNull() if low is None else F.col("doc_id") <= high)
         keys = part.select(F.col(DOC).alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(_key_rows(least), "h1 long, h2 long, low long, high long")
         # slices have combined equal keys already
         keys = runs.spread(keys).groupBy("h1", "h2").agg(F.min("low").alias("doc"), F.max("high").alias("high"))
@@ -205,5 +205,4 @@ def dedup_lines(docs: DataFrame, least: int = 10, batches: int = 4, fan_in: int
         .agg(F.collect_set(F.concat(F.unhex(F.lpad(F.hex("h1"), 16, "0")), F.unhex(F.lpad(F.hex("h2"), 16, "0")))).alias(DROPPED))
     )
     joined = keyed.join(gone, DOC, "left").select(*[F.col(f"`{n}`") for n in names], DROPPED)
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(_strip_rows(least, names), f"{out}, n_lines long, n_dropped long, kept_sha256 string")
+    return joined.mapInArrow(_strip_rows(least, names), widened(docs, "n_lines long, n_dropped long, kept_sha256 string"))

@@ -439,10 +439,9 @@ def join_documents(docs: DataFrame, k: int = 5, block: int = 1_000_000) -> DataF
     full = members.where("n > 0")
     classes = full.groupBy("key").agg(F.min("doc").alias("class_id"), F.count(F.lit(1)).alias("rows"))
     # the classes of one document are connected
-    same = full.groupBy("doc").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("a")
-    if same.limit(1).count():
-        lowest = full.groupBy("doc").agg(F.min("key").alias("b"))
-        links = links.unionByName(full.join(lowest, "doc").select(F.col("key").alias("a"), "b").where("a <> b"))
+    several = cut(full.groupBy("doc").agg(F.min("key").alias("b"), F.max("key").alias("most")).where("b <> most").select("doc", "b"))
+    several, _ = _some(several)
+    links = links.unionByName(full.join(several, "doc").select(F.col("key").alias("a"), "b").where("a <> b").distinct())
     labels = components(links)
     placed = classes.join(labels.withColumnRenamed("v", "key"), "key", "left")
     # classes of one row that link with nothing are their own component

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.text import SPACE, Texts, dictionary, fold, hash_each, mix, sliced
+from graphloom.llm.text import SPACE, Texts, dictionary, fold, hash_each, mix, sliced, widened
 
 BITS = 16
 SYMBOLS = np.zeros(256, bool)
@@ -173,10 +173,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, epochs: int = 12
 
 
 def judge(docs: DataFrame, model: tuple[np.ndarray, float, float], threshold: float = 0.5, least_words: int = 50, repeat_percent: int = 50) -> DataFrame:
-    """``docs`` with the signals, quality_prob, base_failed and kept."""
+    """``docs`` with the signals, quality_prob, base_failed and kept, which replace columns of these names."""
     added = [*SIGNALS, "quality_prob", "base_failed", "kept"]
     docs = docs.drop(*added)
-    names, kinds = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    names = docs.columns
     weights, slope, offset = model
     weights32 = weights.astype(np.float32)
 
@@ -194,4 +194,4 @@ def judge(docs: DataFrame, model: tuple[np.ndarray, float, float], threshold: fl
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array(found[s].astype(np.int64)) for s in SIGNALS), pa.array(prob), pa.array(failed), pa.array(kept)], [*names, *added])
 
     longs = ", ".join(f"{s} long" for s in SIGNALS)
-    return docs.mapInArrow(run, f"{kinds}, {longs}, quality_prob double, base_failed boolean, kept boolean")
+    return docs.mapInArrow(run, widened(docs, f"{longs}, quality_prob double, base_failed boolean, kept boolean"))

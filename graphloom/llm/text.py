@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -157,3 +159,8 @@ def sliced(batches, text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+
+
+def widened(docs: DataFrame, added: str) -> StructType:
+    """The schema of ``docs`` with the columns of the DDL text ``added``."""
+    return StructType([*docs.schema.fields, *StructType.fromDDL(added).fields])
