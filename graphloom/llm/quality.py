@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.text import SPACE, Texts, dictionary, fold, hash_each, mix, sliced, widened
 
 BITS = 16
+#: Bytes of text whose features are made at a time: a byte takes some 50 bytes of them.
+FEATURE_BYTES = 2 << 20
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -118,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, epochs: int = 12
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def run(batches):
-        for batch in sliced(batches):
+        for batch in sliced(batches, most=FEATURE_BYTES):
             doc, cell, value = _sparse(Texts.of(batch.column("text")))
             cut = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -181,7 +183,7 @@ def judge(docs: DataFrame, model: tuple[np.ndarray, float, float], threshold: fl
     weights32 = weights.astype(np.float32)
 
     def run(batches):
-        for batch in sliced(batches):
+        for batch in sliced(batches, most=FEATURE_BYTES):
             texts = Texts.of(batch.column("text").cast(pa.string()))
             n = batch.num_rows
             found = signals(texts)
