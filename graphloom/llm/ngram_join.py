@@ -52,6 +52,8 @@ from graphloom.session import cut, shuffle_partitions
 
 #: Most frequent shingles that are ordered last: the size bound of what is broadcast.
 HOT_SHINGLES = 1 << 16
+#: Bytes of text in which frequent shingles are looked for at a time.
+HOT_SLICE = 8 << 20
 #: Documents of one slice that hold a shingle before it is reported as frequent.
 HOT_LOCAL = 3
 #: Class keys that are broadcast at most; beyond it they are joined.
@@ -94,7 +96,7 @@ def _classes(k: int):
     """Class of each document, and the frequent shingles of each slice (with a null doc)."""
 
     def run(batches):
-        for batch in sliced(batches):
+        for batch in sliced(batches, most=HOT_SLICE):
             keys, sizes, seen, fresh = [], [], set(), []
             for s in sets_of(batch, k):
                 key = set_key(s) if len(s) else 0

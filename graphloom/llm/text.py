@@ -7,6 +7,7 @@ array with offsets, nulls read as empty.  Words are runs of bytes outside
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BLANKS = b" \t\n\v\f\r"
 #: Bytes of text that a kernel takes at a time; longer single texts are still whole.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+
+#: Bytes of text after which freed memory is given back.
+GIVE_BACK_BYTES = 16 << 20
 
 
 class Texts:
@@ -147,8 +151,17 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Spark keeps Python workers from task to task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def sliced(batches, text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches cut into runs of rows of about ``most`` bytes of text."""
+    """Batches cut into runs of rows of about ``most`` bytes of text; memory is given back at their end."""
+    since = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -158,7 +171,12 @@ def sliced(batches, text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.
             to = int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right"))
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
+            since += int(size[to - 1] - (size[at - 1] if at else 0))
+            if since >= GIVE_BACK_BYTES:
+                give_back()
+                since = 0
             at = to
+    give_back()
 
 
 def widened(docs: DataFrame, added: str) -> StructType:
