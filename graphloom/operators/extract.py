@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.models import model
 from graphloom.functions.text import camel_case, hash_id, phrase
 from graphloom.operators.graph import Graph, as_edges, as_nodes, merge_nodes, properties_of
+from graphloom.session import cut
 
 
 def chunk_nodes(chunks: DataFrame) -> DataFrame:
@@ -127,10 +128,10 @@ def co_occurrences(entities: DataFrame) -> DataFrame:
     return pairs.where("s IS NOT NULL")
 
 
-def nested_objects(entities: DataFrame, depth: int = 3) -> Graph:
-    """``entities(id, type, properties map<string,string>)`` whose JSON-object values become nodes of their own, to a fixed depth."""
+def nested_objects(entities: DataFrame) -> Graph:
+    """``entities(id, type, properties map<string,string>)`` whose JSON-object values become nodes of their own, however deep."""
     nodes, edges, level = None, None, entities.select("id", "type", F.coalesce(F.col("properties"), F.create_map().cast("map<string,string>")).alias("properties"))
-    for _ in range(depth):
+    while True:
         plain = F.map_filter("properties", lambda k, v: ~v.rlike(r"^\s*\{"))
         made = as_nodes(level, F.col("id"), F.col("type"), F.col("properties").getItem("name"), plain)
         nodes = made if nodes is None else nodes.unionByName(made)
@@ -139,7 +140,9 @@ def nested_objects(entities: DataFrame, depth: int = 3) -> Graph:
         inner = inner.withColumn("id", F.coalesce(F.col("properties").getItem("id"), F.col("properties").getItem("name"), hash_id(F.to_json("properties")))).withColumn("type", F.coalesce(F.col("properties").getItem("type"), F.lit("Others")))
         link = as_edges(inner, F.col("parent"), F.col("parent_type"), F.col("prop"), F.col("id"), F.col("type"))
         edges = link if edges is None else edges.unionByName(link)
-        level = inner.select("id", "type", "properties")
+        level = cut(inner.select("id", "type", "properties"))
+        if not level.limit(1).count():
+            break
     return Graph(merge_nodes(nodes.withColumn("seq", F.lit(0)), last=True), edges)
 
 

@@ -166,7 +166,8 @@ def outline_sections(titles: DataFrame, docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("content", F.expr("substring(content, pos, _end - pos)"))
     upto = along.rowsBetween(Window.unboundedPreceding, -1)
     ancestors = []
-    for level in (1, 2, 3, 4, 5):
+    deepest = titles.agg(F.max("level")).first()[0] or 0
+    for level in range(1, deepest):
         # the last title of this level, unless a higher one came after it
         last = F.last(F.when(F.col("level") == level, F.struct("pos", "title")), ignorenulls=True).over(upto)
         higher = F.last(F.when(F.col("level") < level, F.col("pos")), ignorenulls=True).over(upto)

@@ -33,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     if current.isDefined():
         return current.get()
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-"))
     return jsc.getCheckpointDir().get()
 

@@ -164,11 +164,24 @@ def test_extraction(spark):
     assert ("acme", "Company", "OfficialName", "acme inc", "Company") in edges
     nested = extract.nested_objects(spark.createDataFrame([("e", "T", {"name": "E", "in": '{"id": "p", "type": "Place", "size": "3"}'})], "id string, type string, properties map<string,string>"))
     assert {(r.id, r.label) for r in nested.nodes.collect()} == {("e", "T"), ("p", "Place")}
+    deep = {"id": "n0"}
+    for i in range(1, 7):
+        deep = {"id": f"n{i}", "in": deep}
+    nested = extract.nested_objects(spark.createDataFrame([("e", "T", {"in": json.dumps(deep)})], "id string, type string, properties map<string,string>"))
+    assert {r.id for r in nested.nodes.collect()} == {"e", *(f"n{i}" for i in range(7))} and nested.edges.count() == 7
     units = spark.createDataFrame([("c", "u", "text", "a->b", ["q?"], ["Acme"])], "chunk_id string, name string, content string, ontology string, related array<string>, core array<string>")
     got = {(r.from_id, r.label, r.to_id) for r in extract.knowledge_units(units).edges.collect()}
     assert {("b", "isA", "a"), ("q?", "relatedTo", "c_u"), ("acme", "source", "c_u"), ("c_u", "sourceChunk", "c")} == got
 
 
+def test_outline_of_many_levels(spark):
+    titles = [f"Title {i}" for i in range(1, 9)]
+    docs = spark.createDataFrame([("d", "\n".join(f"{t}\nbody" for t in titles))], "doc_id string, content string")
+    rows = spark.createDataFrame([("d", i, t, i + 1) for i, t in enumerate(titles)], "doc_id string, seq int, title string, level int")
+    got = {r.title: r.path for r in split.outline_sections(rows, docs).collect()}
+    assert got["Title 8"] == "/".join(titles) and got["Title 1"] == "Title 1"
+
+
 def test_bindings(spark):
     a = spark.createDataFrame([("s", "1", "one", "", "")], "alias string, biz_id string, name string, type string, description string")
     b = spark.createDataFrame([("s", "1", "", "T", ""), ("s", "2", "two", "T", "")], a.schema)
