@@ -42,6 +42,8 @@ from graphloom.session import cut, shuffle_partitions
 
 END = np.uint64(0x5BD1E9955BD1E995)
 EXACT = 300
+#: Bytes of text whose tokens travel together: each of their words is named once.
+BLOB_BYTES = 8 << 20
 BLOB = "p int, slice long, kind int, data binary"
 
 
@@ -80,7 +82,7 @@ def tokens_of(texts: Texts, contexts: int) -> tuple[np.ndarray, np.ndarray, np.n
 def _blobs(slices: int, contexts: int, folds: int, held: int):
     def run(batches):
         base, number = TaskContext.get().partitionId() << 32, 0
-        for batch in sliced(batches):
+        for batch in sliced(batches, most=BLOB_BYTES):
             ids = batch.column("doc_id").to_pylist()
             train = np.array([not is_held(d, folds, held) for d in ids])
             tokens, context, doc = tokens_of(Texts.of(batch.column("text")), contexts)
