@@ -1,25 +1,25 @@
 """Operator 4: hierarchical Pitman-Yor language model.
 
 Restaurants: one per context below one shared root; the root's base is uniform over
-the vocabulary and one unseen word.  A context is the word before, hashed to one of
-``contexts`` restaurants (one more for the start of a text), so frequent words have a
-restaurant nearly to themselves and the per-restaurant totals stay bounded however
-large the corpus is.  A customer is a training token; a table of a context restaurant
-is a customer of the root.
+the vocabulary and one unseen word.  A context is the word before (its 32-bit hash; 0
+at the start of a text), so restaurants grow with the vocabulary.  A customer is a
+training token; a table of a context restaurant is a customer of the root.
 
 Seating is kept as tables per dish, and Gibbs sweeps draw the number of tables of
 each dish given all others: ``p(t) ~ S_d(c, t) * (theta + d T) ** t * P(w) ** t`` with
 generalised Stirling numbers S for up to ``EXACT`` customers; larger dishes seat the
-customers beyond that in blocks by the restaurant process itself.  After the
-burn-in, predictive probabilities are averaged over the kept sweeps.
+customers beyond that in blocks by the restaurant process itself, the expected number
+of new tables rounded at random.  ``chains`` samplers run side by side for ``sweeps``
+sweeps; predictive probabilities are averaged over their last seatings.
 
 Words are hashed to slices; a task holds all customers and queries of its words, so
-seating is local.  All sweeps of a slice start from the exact first totals and run
-without the others, whose changes are guessed by scaling the slice's own change up to
-the whole; totals per restaurant are exchanged once, after the sweeps, and scores use
-these.  So scores depend slightly on the number of slices, which is
-``spark.sql.shuffle.partitions``.  Tokens travel once, as packed
-blobs, to a table in the shared folder; three passes read it: counts, seating, scores.
+seating is local.  Totals of a restaurant are spread over slices: after every sweep
+each slice sends its sums by context to buckets of contexts, which add them and answer
+each slice in the order it asked.  A sweep draws from the totals after the sweep
+before, and each draw from a hash of its word, context, chain and sweep, so scores do
+not depend on the number of slices (but for the rounding of sums).  Nothing but plans
+passes through the driver.  Tokens travel once, as packed blobs, to a table in the
+shared folder; each pass reads it and repeats the seatings before from the answers.
 Sums of a text come back by the slice of input it is in.
 
 Null and empty texts are one end token; repeated rows count and score each by itself;
@@ -34,10 +34,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.text import Texts, mix, sliced
+from graphloom.llm.text import Texts, fold, give_back, mix, sliced
 from graphloom.session import cut, shuffle_partitions
 
 END = np.uint64(0x5BD1E9955BD1E995)
@@ -45,6 +45,7 @@ EXACT = 300
 #: Bytes of text whose tokens travel together: each of their words is named once.
 BLOB_BYTES = 8 << 20
 BLOB = "p int, slice long, kind int, data binary"
+ANSWER = "p int, round int, q int, data binary"
 
 
 def pack_arrays(*arrays: np.ndarray) -> bytes:
@@ -52,6 +53,29 @@ def pack_arrays(*arrays: np.ndarray) -> bytes:
     return pa.compress(raw, codec="zstd", asbytes=True) + len(raw).to_bytes(8, "little")
 
 
+def planes(x: np.ndarray) -> np.ndarray:
+    """The lowest bytes of all numbers, then the next ones: high bytes of small numbers compress to nothing."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+
+
+def unplanes(raw: np.ndarray, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def pack_planes(*arrays: np.ndarray) -> bytes:
+    return pack_arrays(*(planes(a) for a in arrays))
+
+
+def unpack_planes(data: bytes, kinds: list) -> list[np.ndarray]:
+    return [unplanes(raw, kind) for raw, kind in zip(unpack_arrays(data, [np.uint8] * len(kinds)), kinds, strict=True)]
+
+
+def gaps(x: np.ndarray) -> np.ndarray:
+    """Differences of ascending numbers; ``np.cumsum`` undoes it."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
 def unpack_arrays(data: bytes, kinds: list) -> list[np.ndarray]:
     raw = pa.decompress(data[:-8], int.from_bytes(data[-8:], "little"), codec="zstd", asbytes=True)
     out, at = [], 0
@@ -66,80 +90,97 @@ def is_held(doc_id: int | None, folds: int, held: int) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == held
 
 
-def tokens_of(texts: Texts, contexts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tokens_of(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, context, text) of each token, the end tokens included."""
     words, first = texts.lowered().word_hashes()
-    ends = first[1:]
-    tokens = np.insert(words, ends, END)
-    doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(first) + 1)
-    context = np.zeros(len(tokens), np.uint16)
-    context[1:] = 1 + (mix(tokens[:-1]) % np.uint64(contexts)).astype(np.uint16)
-    starts = np.concatenate([[0], np.cumsum(np.diff(first) + 1)[:-1]]).astype(np.int64)
-    context[starts[starts < len(tokens)]] = 0
+    tokens = np.insert(words, first[1:], END)
+    sizes = np.diff(first) + 1
+    doc = np.repeat(np.arange(len(texts), dtype=np.uint32), sizes)
+    context = np.zeros(len(tokens), np.uint32)
+    context[1:] = np.maximum(mix(tokens[:-1]) >> np.uint64(32), np.uint64(1)).astype(np.uint32)
+    context[np.cumsum(sizes) - sizes] = 0
     return tokens, context, doc
 
 
-def _blobs(slices: int, contexts: int, folds: int, held: int):
+def edges_of(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(new)
+
+
+def runs_of(edges: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(edges, n)).astype(np.uint32)
+
+
+def _blobs(places: list[int], folds: int, held: int):
+    slices = len(places)
+
     def run(batches):
         base, number = TaskContext.get().partitionId() << 32, 0
         for batch in sliced(batches, most=BLOB_BYTES):
             ids = batch.column("doc_id").to_pylist()
             train = np.array([not is_held(d, folds, held) for d in ids])
-            tokens, context, doc = tokens_of(Texts.of(batch.column("text")), contexts)
-            order = np.argsort(tokens, kind="stable")
+            tokens, context, doc = tokens_of(Texts.of(batch.column("text")))
+            sizes = np.bincount(doc, minlength=len(ids)).astype(np.int64)
+            order = np.lexsort((context, tokens))
             tokens, context, doc = tokens[order], context[order], doc[order]
             # the slice number grows with the hash
             slice_of = ((tokens >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
             edges = np.searchsorted(slice_of, np.arange(slices + 1))
             key = base | number
             number += 1
-            rows = [(key % slices, 1, pack_arrays(np.array([d is not None for d in ids]), np.array([d or 0 for d in ids], np.int64), train, np.bincount(doc, minlength=len(ids)).astype(np.int64)))]
+            rows = [(places[key % slices], 1, pack_arrays(np.array([d is not None for d in ids]), np.array([d or 0 for d in ids], np.int64), train, sizes))]
             bits = np.packbits(train)
             for p, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                 if hi > lo:
-                    t = tokens[lo:hi]
-                    edge = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-                    runs = np.diff(np.append(edge, len(t))).astype(np.uint32)
-                    rows.append((p, 0, pack_arrays(t[edge], runs, context[lo:hi], doc[lo:hi], bits)))
+                    t, c = tokens[lo:hi], context[lo:hi]
+                    kind = edges_of(t, c)
+                    word = edges_of(t[kind])
+                    there, at = np.unique(c[kind], return_inverse=True)
+                    data = pack_planes(gaps(t[kind][word]), runs_of(word, len(kind)), runs_of(kind, len(t)), gaps(there), at.astype(np.uint32), doc[lo:hi], bits)
+                    rows.append((places[p], 0, data))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([key] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["p", "slice", "kind", "data"])
 
     return run
 
 
 class Slice:
-    """All tokens of the words of one task."""
-
-    def __init__(self, batches, contexts: int):
-        uniq, runs, context, doc, train, of = [], [], [], [], [], []
-        self.heads, self.keys, self.seed = [], [], 0
-        for batch in batches:
-            for p, key, kind, data in zip(*(batch.column(c).to_pylist() for c in ("p", "slice", "kind", "data")), strict=True):
-                if kind:
-                    self.heads.append((key, data))
-                    continue
-                self.seed = p
-                u, r, c, d, bits = unpack_arrays(data, [np.uint64, np.uint32, np.uint16, np.int32, np.uint8])
-                uniq.append(u)
-                runs.append(r)
-                context.append(c)
-                doc.append(d)
-                train.append(np.unpackbits(bits)[d].astype(bool))
-                of.append(len(d))
+    """All tokens of the words of one slice.
+
+    A kind is a (word, context) of any token, with the count ``c`` of its training tokens.
+    """
+
+    def __init__(self, rows: pa.Table):
+        self.heads, self.keys, blobs = [], [], []
+        for key, kind, data in zip(*(rows.column(c).to_pylist() for c in ("slice", "kind", "data")), strict=True):
+            if kind:
+                self.heads.append((key, data))
+            else:
                 self.keys.append(key)
-        self.of = np.asarray(of, np.int64)
-        if not of:
-            self.words = self.n = self.types = np.zeros(0, np.int64)
+                blobs.append(unpack_planes(data, [np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32, np.uint8]))
+        self.of = [len(b[5]) for b in blobs]
+        if not blobs:
             return
-        words, place = np.unique(np.concatenate(uniq), return_inverse=True)
-        word = np.repeat(place, np.concatenate(runs))
-        self.doc, train = np.concatenate(doc), np.concatenate(train)
-        kind = word * (contexts + 1) + np.concatenate(context)
-        #: distinct (word, context) of the training tokens, their counts
-        self.types, self.c = np.unique(kind[train], return_counts=True)
-        self.n = np.bincount(word[train], minlength=len(words))
-        self.words = words
-        self.type_word, self.type_context = self.types // (contexts + 1), self.types % (contexts + 1)
-        self.word, self.kind = word, kind
+        self.words, place = np.unique(np.concatenate([np.cumsum(b[0], dtype=np.uint64) for b in blobs]), return_inverse=True)
+        word = np.repeat(place, np.concatenate([b[1] for b in blobs]))
+        self.contexts, place = np.unique(np.concatenate([np.cumsum(b[3], dtype=np.uint32)[b[4]] for b in blobs]), return_inverse=True)
+        kinds, place = np.unique(word * len(self.contexts) + place, return_inverse=True)
+        self.word, self.context = kinds // len(self.contexts), kinds % len(self.contexts)
+        #: the kind and the text of each token
+        self.kind = np.repeat(place.astype(np.int32), np.concatenate([b[2] for b in blobs]))
+        self.doc = np.concatenate([b[5] for b in blobs])
+        train = np.concatenate([np.unpackbits(b[6])[b[5]] for b in blobs]).astype(bool)
+        self.c = np.bincount(self.kind[train], minlength=len(kinds))
+        self.n = self.by_word(self.c)
+
+    def by_word(self, value: np.ndarray) -> np.ndarray:
+        return np.bincount(self.word, value, len(self.words)).astype(np.int64)
+
+    def by_context(self, value: np.ndarray) -> np.ndarray:
+        return np.bincount(self.context, value, len(self.contexts)).astype(np.int64)
 
 
 def stirling(d: float, most: int) -> np.ndarray:
@@ -154,139 +195,195 @@ def stirling(d: float, most: int) -> np.ndarray:
     return out
 
 
-def draw_tables(c: np.ndarray, strength: np.ndarray, d: float, table: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes with c customers; strength is (theta + d T) * P(w)."""
+def chance(h: np.ndarray, step: int = 0) -> np.ndarray:
+    """A number in [0, 1) from each hash."""
+    return (mix(h + np.uint64(step)) >> np.uint64(11)) * 2.0**-53
+
+
+def draw_tables(c: np.ndarray, strength: np.ndarray, d: float, table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Tables of dishes with c customers; strength is (theta + d T) * P(w); ``h`` holds a hash for each draw."""
     t = np.minimum(c, 1).astype(np.int64)
-    exact = np.minimum(c, EXACT)
-    order = np.argsort(exact, kind="stable")
-    sizes, starts = np.unique(exact[order], return_index=True)
-    for size, lo, hi in zip(sizes.tolist(), starts.tolist(), [*starts[1:].tolist(), len(c)], strict=True):
-        if size < 2:
-            continue
-        for at in range(lo, hi, max(1, 2_000_000 // size)):
-            rows = order[at : min(hi, at + max(1, 2_000_000 // size))]
+    several = np.flatnonzero(c > 1)
+    order = several[np.argsort(np.minimum(c[several], EXACT), kind="stable")]
+    sizes, lengths = np.unique(np.minimum(c[order], EXACT), return_counts=True)
+    ends = np.cumsum(lengths)
+    for size, lo, hi in zip(sizes.tolist(), (ends - lengths).tolist(), ends.tolist(), strict=True):
+        step = max(1, 2_000_000 // size)
+        for at in range(lo, hi, step):
+            rows = order[at : min(hi, at + step)]
             weight = table[size, 1 : size + 1][None, :] + np.log(strength[rows])[:, None] * np.arange(1, size + 1)[None, :]
             weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
-            t[rows] = 1 + (weight < rng.random(len(rows))[:, None] * weight[:, -1:]).sum(1)
+            t[rows] = 1 + (weight < chance(h[rows])[:, None] * weight[:, -1:]).sum(1)
     more = np.flatnonzero(c > EXACT)
-    seated = np.full(len(more), EXACT, np.int64)
+    seated, step = np.full(len(more), EXACT, np.int64), 0
     while len(more):
+        step += 1
         block = np.minimum(c[more] - seated, np.maximum(1, seated // 20))
-        fresh = strength[more] / (strength[more] + np.maximum(seated - d * t[more], 1e-9))
-        t[more] += rng.binomial(block, np.minimum(fresh, 1.0))
+        fresh = np.minimum(strength[more] / (strength[more] + np.maximum(seated - d * t[more], 1e-9)), 1.0)
+        t[more] += (block * fresh + chance(h[more], step)).astype(np.int64)
         seated += block
         on = seated < c[more]
         more, seated = more[on], seated[on]
     return t
 
 
-def sweeps(part: Slice, world: dict, burn: int, keep: int, seed: int):
-    """Seating of one slice after each kept sweep: (tables, root customers, root tables, P(w))."""
-    rng = np.random.default_rng([seed, part.seed])
-    d, d0, theta, theta0 = world["d"], world["d0"], world["theta"], world["theta0"]
-    table, table0 = stirling(d, EXACT), stirling(d0, EXACT)
-    local = len(part.types) / max(world["types"].sum(), 1)  # share of the whole
-    tables = np.ones(len(part.types), np.int64)
-    start = np.bincount(part.type_context, minlength=len(world["types"]))
-    per_context, total0 = world["types"].astype(float), float(world["V"])
-    uniform = 1.0 / (world["V"] + 1)
-    for sweep in range(burn + keep):
-        root = np.bincount(part.type_word, tables, minlength=len(part.words)).astype(np.int64)
-        tables0 = draw_tables(root, np.full(len(root), max((theta0 + d0 * total0) * uniform, 1e-300)), d0, table0, rng)
-        total0 = tables0.sum() / max(local, 1e-9) if local else total0
-        customers = per_context.sum()
-        base = (root - d0 * tables0 + (theta0 + d0 * total0) * uniform) / (theta0 + customers)
-        strength = (theta + d * per_context[part.type_context]) * np.maximum(base, 1e-300)[part.type_word]
-        tables = draw_tables(part.c, strength, d, table, rng)
-        change = np.bincount(part.type_context, tables, minlength=len(start)) - start
-        per_context = np.maximum(world["types"] + change / max(local, 1e-9), 0.0)
-        if sweep >= burn:
-            root = np.bincount(part.type_word, tables, minlength=len(part.words)).astype(np.int64)
-            tables0 = draw_tables(root, np.full(len(root), max((theta0 + d0 * total0) * uniform, 1e-300)), d0, table0, rng)
-            yield tables, root, tables0
-
-
-def _totals(contexts: int):
-    """(what, place, value) sums of the first pass."""
+def discount(one: int, two: int) -> float:
+    return min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
+
+
+def counts(part: Slice) -> tuple[np.ndarray, np.ndarray]:
+    """What a slice sends first: customers and dishes by context; its sums."""
+    width = part.by_word(part.c > 0)
+    sums = [(part.n > 0).sum(), part.n.sum(), (part.c > 0).sum(), *((x == i).sum() for x in (part.c, width) for i in (1, 2))]
+    return np.stack([part.by_context(part.c), part.by_context(part.c > 0)]), np.array(sums, np.int64)
+
+
+class Seating:
+    """The samplers of one slice.  ``first`` is the answer to its ``counts``."""
+
+    def __init__(self, part: Slice, first: tuple[np.ndarray, np.ndarray], theta: float, chains: int, seed: int):
+        self.part, self.theta, self.chains, self.seed, self.sweep = part, theta, chains, seed, 0
+        (self.customers, dishes), (self.vocabulary, self.n, kinds, one, two, wide1, wide2) = first[0], first[1].tolist()
+        self.d, self.d0 = discount(one, two), discount(wide1, wide2)
+        self.uniform = 1.0 / (self.vocabulary + 1)
+        # all customers of a dish at one table
+        self.seats = [((part.c > 0).astype(np.int64), part.by_word(part.c > 0), (part.n > 0).astype(np.int64))] * chains
+        self.per_context, self.all = [dishes] * chains, [(kinds, self.vocabulary)] * chains
+        self.hash = fold(part.words[part.word], part.contexts[part.context].astype(np.uint64))
+        self.tables = stirling(self.d, EXACT), stirling(self.d0, EXACT)
+
+    def draw(self) -> tuple[np.ndarray, np.ndarray]:
+        """One sweep: tables by context of each chain; tables of all contexts and of the root."""
+        part = self.part
+        self.sweep += 1
+        for k in range(self.chains):
+            salt = np.uint64([(self.seed * 1000 + self.sweep) * 1000 + k])
+            rest = (self.theta + self.d0 * self.all[k][1]) * self.uniform
+            strength = np.maximum((self.theta + self.d * self.per_context[k][part.context]) * self.base(k)[part.word], 1e-300)
+            tables = draw_tables(part.c, strength, self.d, self.tables[0], fold(self.hash, salt))
+            root = part.by_word(tables)
+            self.seats[k] = (tables, root, draw_tables(root, np.full(len(root), rest), self.d0, self.tables[1], fold(part.words, salt)))
+        values = np.stack([part.by_context(tables) for tables, _, _ in self.seats])
+        return values, np.array([x.sum() for _, root, tables0 in self.seats for x in (root, tables0)], np.int64)
+
+    def take(self, answer: tuple[np.ndarray, np.ndarray]) -> None:
+        """The totals of all slices after a sweep."""
+        self.per_context = list(answer[0])
+        self.all = [tuple(x) for x in answer[1].reshape(self.chains, 2).tolist()]
+
+    def base(self, k: int) -> np.ndarray:
+        """The root's probability of each word of the slice."""
+        _, root, tables0 = self.seats[k]
+        customers, total0 = self.all[k]
+        return (root - self.d0 * tables0 + (self.theta + self.d0 * total0) * self.uniform) / (self.theta + customers)
+
+    def probability(self) -> np.ndarray:
+        """Of each kind, averaged over the chains."""
+        part, mean = self.part, np.zeros(len(self.part.c))
+        for k in range(self.chains):
+            p = (self.theta + self.d * self.per_context[k][part.context]) * self.base(k)[part.word]
+            mean += (p + part.c - self.d * self.seats[k][0]) / (self.theta + self.customers[part.context])
+        return mean / self.chains
+
+
+def values_sent(number: int, sums: np.ndarray) -> int:
+    """Values by context in a round: two at first, then one a chain, which has two sums."""
+    return len(sums) // 2 if number else 2
+
+
+def _answers(rows: pa.Table, buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The answers of each round: (values by context of the slice, sums of all slices)."""
+    rounds: dict[int, dict[int, list]] = {}
+    for number, q, data in zip(*(rows.column(c).to_pylist() for c in ("round", "q", "data")), strict=True):
+        rounds.setdefault(number, {})[q] = data
+    out = []
+    for number in sorted(rounds):
+        got = [unpack_planes(rounds[number][q], [np.int64, np.int64]) for q in range(buckets)]
+        width = values_sent(number, got[0][0])
+        out.append((np.concatenate([values.reshape(width, -1) for _, values in got], 1), got[0][0]))
+    return out
 
-    def run(batches):
-        part = Slice(batches, contexts)
-        if not len(part.types):
-            return
-        customers = np.bincount(part.type_context, part.c, minlength=contexts + 1).astype(np.int64)
-        types = np.bincount(part.type_context, minlength=contexts + 1)
-        width = np.bincount(part.type_word, minlength=len(part.words))
-        scalars = [int((part.n > 0).sum()), int(part.n.sum()), *(int((x == i).sum()) for x in (part.c, width) for i in (1, 2))]
-        what = np.repeat([0, 1, 2], [contexts + 1, contexts + 1, len(scalars)])
-        place = np.concatenate([np.arange(contexts + 1), np.arange(contexts + 1), np.arange(len(scalars))])
-        yield pa.RecordBatch.from_arrays([pa.array(what, pa.int32()), pa.array(place, pa.int32()), pa.array(np.concatenate([customers, types, scalars]), pa.int64())], ["what", "place", "value"])
+
+def bucket_edges(contexts: np.ndarray, buckets: int) -> np.ndarray:
+    return np.searchsorted(contexts.astype(np.uint64) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
+
+
+def _ask(buckets: int, theta: float, chains: int, seed: int):
+    """(q, p, data): what a slice tells each bucket of contexts after a sweep."""
+
+    def run(blobs: pa.Table, answers: pa.Table) -> pa.Table:
+        part = Slice(blobs)
+        rows = []
+        if part.of:
+            got = _answers(answers, buckets)
+            if got:
+                seating = Seating(part, got[0], theta, chains, seed)
+                for answer in got[1:]:
+                    seating.draw()
+                    seating.take(answer)
+                values, sums = seating.draw()
+            else:
+                values, sums = counts(part)
+            edges = bucket_edges(part.contexts, buckets)
+            rows = [pack_planes(sums, gaps(part.contexts[lo:hi]), np.ascontiguousarray(values[:, lo:hi]).reshape(-1)) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+        give_back()
+        p = blobs.column("p")[0].as_py() if rows else 0
+        return pa.table({"q": pa.array(range(len(rows)), pa.int32()), "p": pa.array([p] * len(rows), pa.int32()), "data": pa.array(rows, pa.binary())})
 
     return run
 
 
-def _seating(contexts: int, world: dict, burn: int, keep: int, seed: int):
-    """(sweep, place, value): tables per context of each kept sweep; the last place is the root's."""
+def _add(number: int):
+    """(p, round, q, data): the sums of a bucket of contexts for each slice, in the order it asked."""
 
-    def run(batches):
-        part = Slice(batches, contexts)
-        if not len(part.types):
-            return
-        for i, (tables, _, tables0) in enumerate(sweeps(part, world, burn, keep, seed)):
-            value = np.append(np.bincount(part.type_context, tables, minlength=contexts + 1), tables0.sum()).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), i), pa.int32()), pa.array(np.arange(len(value)), pa.int32()), pa.array(value)], ["what", "place", "value"])
+    def run(rows: pa.Table) -> pa.Table:
+        got = [unpack_planes(data, [np.int64, np.uint32, np.int64]) for data in rows.column("data").to_pylist()]
+        totals = np.sum([g[0] for g in got], 0)
+        lengths = [len(g[1]) for g in got]
+        contexts, place = np.unique(np.concatenate([np.cumsum(g[1], dtype=np.uint32) for g in got]), return_inverse=True)
+        width = values_sent(number, totals)
+        values = np.concatenate([g[2].reshape(width, -1) for g in got], 1)
+        sums = np.stack([np.bincount(place, v, len(contexts)).astype(np.int64) for v in values])
+        ends = np.cumsum(lengths)
+        data = [pack_planes(totals, np.ascontiguousarray(sums[:, place[e - n : e]]).reshape(-1)) for e, n in zip(ends.tolist(), lengths, strict=True)]
+        n = len(data)
+        return pa.table({"p": rows.column("p"), "round": pa.array([number] * n, pa.int32()), "q": rows.column("q"), "data": pa.array(data, pa.binary())})
 
     return run
 
 
-def _scores(contexts: int, world: dict, burn: int, keep: int, seed: int):
-    """(slice, kind, data): sums of each text over the words of this task.
+def _scores(buckets: int, theta: float, chains: int, seed: int):
+    """(slice, kind, data): sums of each text over the words of this slice.
 
     Sums of the score travel as single floats and are added as doubles.
     """
 
-    def run(batches):
-        part = Slice(batches, contexts)
-        for key, data in part.heads:
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([1], pa.int32()), pa.array([data], pa.binary())], ["slice", "kind", "data"])
-        if not len(part.of):
-            return
-        d, d0, theta, theta0 = world["d"], world["d0"], world["theta"], world["theta0"]
-        uniform = 1.0 / (world["V"] + 1)
-        kinds, inverse = np.unique(part.kind, return_inverse=True)
-        kind_word, kind_context = kinds // (contexts + 1), kinds % (contexts + 1)
-        mean = np.zeros(len(kinds))
-        at = np.searchsorted(part.types, kinds)
-        at[at == len(part.types)] = 0
-        known = part.types[at] == kinds if len(part.types) else np.zeros(len(kinds), bool)
-        chain = sweeps(part, world, burn, keep, seed) if len(part.types) else ((None, None, None) for _ in range(keep))
-        for i, (tables, root, tables0) in enumerate(chain):
-            per_context, total0 = world["tables"][i][:-1], world["tables"][i][-1]
-            rest = (theta0 + d0 * total0) * uniform
-            base = np.full(len(part.words), rest)
-            if root is not None:
-                base += root - d0 * tables0
-            base /= theta0 + per_context.sum()
-            p = (theta + d * per_context[kind_context]) * base[kind_word]
-            if tables is not None:
-                p[known] += part.c[at[known]] - d * tables[at[known]]
-            mean += p / (theta + world["customers"][kind_context])
-        logs = np.log10(mean / keep)
-        count = np.log10(part.n + 1.0)
-        lo = 0
-        for key, size in zip(part.keys, part.of.tolist(), strict=True):
-            span = slice(lo, lo + size)
-            lo += size
-            doc, word = part.doc[span], part.word[span]
-            n = int(doc.max()) + 1
-            sums = [np.bincount(doc, logs[inverse[span]], n), np.bincount(doc, count[word], n), np.bincount(doc, part.n[word] > 0, n)]
-            some = np.flatnonzero(np.bincount(doc, minlength=n)).astype(np.int32)
-            data = pack_arrays(some, sums[0][some].astype(np.float32), sums[1][some], sums[2][some].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([0], pa.int32()), pa.array([data], pa.binary())], ["slice", "kind", "data"])
+    def run(blobs: pa.Table, answers: pa.Table) -> pa.Table:
+        part = Slice(blobs)
+        rows = [(key, 1, data) for key, data in part.heads]
+        if part.of:
+            first, *later = _answers(answers, buckets)
+            seating = Seating(part, first, theta, chains, seed)
+            for answer in later:
+                seating.draw()
+                seating.take(answer)
+            logs, count = np.log10(seating.probability()), np.log10(part.n + 1.0)
+            world = np.array([seating.n, seating.vocabulary], np.int64)
+            lo = 0
+            for key, size in zip(part.keys, part.of, strict=True):
+                doc, kind = part.doc[lo : lo + size], part.kind[lo : lo + size]
+                lo += size
+                word = part.word[kind]
+                sums = [np.bincount(doc, logs[kind]), np.bincount(doc, count[word]), np.bincount(doc, part.n[word] > 0)]
+                some = np.unique(doc).astype(np.int32)
+                rows.append((key, 0, pack_arrays(some, sums[0][some].astype(np.float32), sums[1][some], sums[2][some].astype(np.int32), world)))
+        give_back()
+        return pa.table({"slice": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([r[1] for r in rows], pa.int32()), "data": pa.array([r[2] for r in rows], pa.binary())})
 
     return run
 
 
-def _texts(world: dict):
+def _texts():
     """One row per text of a slice of input."""
 
     def run(rows: pa.Table) -> pa.Table:
@@ -296,47 +393,46 @@ def _texts(world: dict):
         score, base, known = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), np.int64)
         # in one order whatever the shuffle gave
         for blob in sorted(x for x, k in zip(data, kind, strict=True) if not k):
-            some, s, b, m = unpack_arrays(blob, [np.int32, np.float32, np.float64, np.int32])
+            some, s, b, m, (trained, vocabulary) = unpack_arrays(blob, [np.int32, np.float32, np.float64, np.int32, np.int64])
             score[some] += s
             base[some] += b
             known[some] += m
-        base -= n * np.log10(world["N"] + world["V"] + 1.0)
+        base -= n * np.log10(trained + vocabulary + 1.0)
         return pa.table(
             {
                 "doc_id": pa.array(ids, mask=~there), "held_out": ~train, "n_tokens": n, "n_known": known,
-                "train_tokens": np.full(len(ids), world["N"], np.int64), "base_score": base, "score": score,
+                "train_tokens": np.full(len(ids), trained, np.int64), "base_score": base, "score": score,
             }
         )
 
     return run
 
 
-def _collected(rows: DataFrame, width: dict[int, int]) -> dict[int, np.ndarray]:
-    """Sums by (what, place): a bounded number of rows."""
-    got = rows.groupBy("what", "place").agg(F.sum("value").alias("value")).toArrow()
-    out = {k: np.zeros(w, np.int64) for k, w in width.items()}
-    for what, place, value in zip(*(got.column(c).to_pylist() for c in ("what", "place", "value")), strict=True):
-        out[what][place] = value
-    return out
+def slice_places(spark: SparkSession, slices: int) -> list[int]:
+    """One number for each partition that hash partitioning puts there, so that slices spread evenly.
+
+    Where none is found the slice shares a partition with another.
+    """
+    number = F.col("id").cast("int")
+    tried = spark.range(slices * 24).select(number.alias("x"), F.pmod(F.hash(number), F.lit(slices)).alias("at"))
+    found = {r["at"]: r["x"] for r in tried.groupBy("at").agg(F.min("x").alias("x")).collect()}
+    spare = iter(range(slices * 24, slices * 25))
+    return [found[i] if i in found else next(spare) for i in range(slices)]
 
 
-def score_documents(docs: DataFrame, contexts: int = 2047, burn: int = 2, keep: int = 3, folds: int = 7, held: int = 2, theta: float = 1.0, seed: int = 11) -> DataFrame:
+def score_documents(docs: DataFrame, chains: int = 2, sweeps: int = 2, folds: int = 7, held: int = 2, theta: float = 1.0, seed: int = 11, slices: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs(doc_id, text)``.
 
     Learns from the documents whose crc32(doc_id as text) mod ``folds`` is not ``held``.
+    ``slices`` of the vocabulary (the session's shuffle partitions if None) change nothing but rounding.
     """
-    slices = shuffle_partitions(docs.sparkSession)
+    spark = docs.sparkSession
+    slices = slices or shuffle_partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blobs = cut(rows.mapInArrow(_blobs(slices, contexts, folds, held), BLOB).repartitionById(slices, F.col("p")))
-    sums = "what int, place int, value long"
-    first = _collected(blobs.mapInArrow(_totals(contexts), sums), {0: contexts + 1, 1: contexts + 1, 2: 6})
-    vocabulary, n, one, two, wide1, wide2 = first[2].tolist()
-    discount = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5
-    world = {
-        "customers": first[0].astype(float), "types": first[1], "V": vocabulary, "N": n,
-        "d": discount(one, two), "d0": discount(wide1, wide2), "theta": theta, "theta0": theta,
-    }
-    seats = _collected(blobs.mapInArrow(_seating(contexts, world, burn, keep, seed), sums), {i: contexts + 2 for i in range(keep)})
-    world["tables"] = [seats[i].astype(float) for i in range(keep)]
-    parts = blobs.mapInArrow(_scores(contexts, world, burn, keep, seed), "slice long, kind int, data binary")
-    return parts.groupBy("slice").applyInArrow(_texts(world), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    blobs = cut(rows.mapInArrow(_blobs(slice_places(spark, slices), folds, held), BLOB).repartition(slices, "p"))
+    answers = spark.createDataFrame([], ANSWER)
+    for number in range(sweeps + 1):
+        asked = blobs.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(_ask(slices, theta, chains, seed), "q int, p int, data binary")
+        answers = answers.unionAll(cut(asked.groupBy("q").applyInArrow(_add(number), ANSWER)))
+    parts = blobs.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(_scores(slices, theta, chains, seed), "slice long, kind int, data binary")
+    return parts.groupBy("slice").applyInArrow(_texts(), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

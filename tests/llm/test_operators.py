@@ -6,10 +6,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphloom.llm import bpe, components, fingerprint, langid, licences, linededup, lm, mixing, ngram_join, packing, quality, tokencount
-from graphloom.llm.text import Texts, shingles
+from graphloom.llm.text import Texts, hash_each, shingles
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans({i: i + 32 for i in range(65, 91)})
@@ -174,7 +175,6 @@ def ids_of(text):
 
 
 def test_encoder_equals_the_tokenizer():
-    import pyarrow as pa
 
     texts = [r[1] for r in ROWS] + ["x \n y", "a  b", "tab\t c", "  em space", "'s 't it's", "naïve façade über", "日本語 の 文", "end \n"]
     encoder = bpe.Encoder(TOKENIZER)
@@ -337,7 +337,6 @@ def test_components_of_a_chain(spark):
 
 
 def test_short_texts_are_one_shingle():
-    import pyarrow as pa
 
     h, first = Texts.of(pa.array(["a b", "b a", "", None, "a b c d e", "a b"])).word_hashes()
     got = [s.tolist() for s in shingles(h, first)]
@@ -348,7 +347,7 @@ def test_short_texts_are_one_shingle():
 
 
 def test_language_model(docs):
-    got = lm.score_documents(docs, contexts=63).collect()
+    got = lm.score_documents(docs).collect()
     assert len(got) == len(ROWS)
     tokens = [(d, [*words(t), None]) for d, t, *_ in ROWS]
     held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
@@ -360,7 +359,7 @@ def test_language_model(docs):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (h, m, known, total)
         assert r.base_score == pytest.approx(base) and r.score < 0
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
-    again = {r.doc_id: r.score for r in lm.score_documents(docs, contexts=63).collect()}
+    again = {r.doc_id: r.score for r in lm.score_documents(docs).collect()}
     assert all(again[r.doc_id] == r.score for r in got)
 
 
@@ -369,7 +368,7 @@ def test_language_model_probabilities_sum_to_one(spark):
     rows = [(i, f"w{i % 9}") for i in range(200)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     unseen = spark.createDataFrame([(next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 7 == 2), "never")], "doc_id long, text string")
-    got = lm.score_documents(frame.unionByName(unseen), contexts=7).collect()
+    got = lm.score_documents(frame.unionByName(unseen)).collect()
     word = {}
     for r in got:
         word["never" if r.doc_id >= 1000 else f"w{r.doc_id % 9}"] = r.score
@@ -381,13 +380,71 @@ def test_stirling_numbers_and_seating():
     table = lm.stirling(0.5, 6)
     # S_d(c, 1) is the rising product (1 - d)(2 - d)...(c - 1 - d), S_d(c, c) is 1
     assert np.exp(table[4, 1]) == pytest.approx(0.5 * 1.5 * 2.5) and np.exp(table[6, 6]) == pytest.approx(1)
-    rng = np.random.default_rng(0)
+    draws = np.arange(4, dtype=np.uint64)
     c = np.array([1, 2, 50, 5000])
-    few = lm.draw_tables(c, np.full(4, 1e-6), 0.5, lm.stirling(0.5, lm.EXACT), rng)
-    many = lm.draw_tables(c, np.full(4, 1e6), 0.5, lm.stirling(0.5, lm.EXACT), rng)
+    few = lm.draw_tables(c, np.full(4, 1e-6), 0.5, lm.stirling(0.5, lm.EXACT), draws)
+    many = lm.draw_tables(c, np.full(4, 1e6), 0.5, lm.stirling(0.5, lm.EXACT), draws)
     assert few.tolist() == [1, 1, 1, 1] and (many <= c).all() and many[3] > 4000
 
 
+def brute_scores(rows, chains=2, sweeps=2, theta=1.0, seed=11):
+    """The same draws over dicts of all words and contexts, without slices."""
+    hashed = lambda w: lm.END if w is None else hash_each(pa.array([w.encode()]))[0]
+    texts = {d: [*words(t), None] for d, t in rows}
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in texts}
+    pairs = {d: [(w, ws[i - 1] if i else "") for i, w in enumerate(ws)] for d, ws in texts.items()}
+    c = Counter(x for d, xs in pairs.items() if not held[d] for x in xs)
+    customers = Counter()
+    for (_, u), m in c.items():
+        customers[u] += m
+    n = Counter()
+    for (w, _), m in c.items():
+        n[w] += m
+    width = Counter(w for w, _ in c)
+    d = lm.discount(sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values()))
+    d0 = lm.discount(sum(x == 1 for x in width.values()), sum(x == 2 for x in width.values()))
+    table, table0 = lm.stirling(d, lm.EXACT), lm.stirling(d0, lm.EXACT)
+    context = lambda u: 0 if u == "" else max(int(lm.mix(np.array([hashed(u)]))[0]) >> 32, 1)
+    uniform, mean = 1 / (len(n) + 1), Counter()
+    for k in range(chains):
+        t, root, t0 = dict.fromkeys(c, 1), dict(width), dict.fromkeys(n, 1)
+
+        def totals():
+            per = Counter()
+            for (_, u), m in t.items():
+                per[u] += m
+            return per, sum(root.values()), sum(t0.values())
+
+        def base(w):
+            return (root.get(w, 0) - d0 * t0.get(w, 0) + (theta + d0 * all0) * uniform) / (theta + all_tables)
+
+        for sweep in range(1, sweeps + 1):
+            per, all_tables, all0 = totals()
+            salt = np.uint64([(seed * 1000 + sweep) * 1000 + k])
+            new = {}
+            for (w, u), m in c.items():
+                h = lm.fold(lm.fold(np.array([hashed(w)]), np.array([context(u)], np.uint64)), salt)
+                new[w, u] = int(lm.draw_tables(np.array([m]), np.array([(theta + d * per[u]) * base(w)]), d, table, h)[0])
+            t = new
+            root = Counter()
+            for (w, _), m in t.items():
+                root[w] += m
+            rest = np.array([(theta + d0 * all0) * uniform])
+            t0 = {w: int(lm.draw_tables(np.array([m]), rest, d0, table0, lm.fold(np.array([hashed(w)]), salt))[0]) for w, m in root.items()}
+        per, all_tables, all0 = totals()
+        for x in {x for xs in pairs.values() for x in xs}:
+            w, u = x
+            mean[x] += ((theta + d * per[u]) * base(w) + c.get(x, 0) - d * t.get(x, 0)) / (theta + customers[u]) / chains
+    return {d: sum(np.log10(mean[x]) for x in xs) for d, xs in pairs.items()}
+
+
+def test_language_model_scores_against_brute_force(docs, spark):
+    want = brute_scores([(d, t) for d, t, *_ in ROWS])
+    for slices in (1, 3, 16):
+        got = {r.doc_id: r.score for r in lm.score_documents(docs, slices=slices).collect()}
+        assert got == pytest.approx(want, rel=1e-6)
+
+
 def test_language_model_without_training(nothing, spark):
     assert lm.score_documents(nothing).count() == 0
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
@@ -526,7 +583,6 @@ def test_language_identification(spark, docs):
 
 
 def test_cosine_is_that_of_the_vectors():
-    import pyarrow as pa
 
     dim = 4096
     pairs, last = langid.letter_vectors(dim, 5)
@@ -540,7 +596,6 @@ def test_cosine_is_that_of_the_vectors():
 
 
 def test_quality_signals():
-    import pyarrow as pa
 
     for _, t, *_ in ROWS + [(0, "a b c a b c\n\nx\nx\n \n x\nx", None, None)]:
         found = quality.signals(Texts.of(pa.array([t, "q w e"])))
@@ -631,7 +686,6 @@ def test_licences_are_the_best_of_all_windows():
 
 @pytest.mark.parametrize("within", [True, False])
 def test_block_search_connects_what_links(within):
-    import pyarrow as pa
 
     rng = np.random.default_rng(7)
     base = rng.integers(0, 1 << 60, 100).astype(np.uint64)
