@@ -29,6 +29,7 @@ without training rows every probability is 1 / (V + 1) with V = 0; a null doc_id
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.text import Texts, fold, give_back, mix, sliced
-from graphloom.session import cut, shuffle_partitions
+from graphloom.session import cut, discard, shared_dir, shuffle_partitions
 
 END = np.uint64(0x5BD1E9955BD1E995)
 EXACT = 300
@@ -429,10 +430,17 @@ def score_documents(docs: DataFrame, chains: int = 2, sweeps: int = 2, folds: in
     spark = docs.sparkSession
     slices = slices or shuffle_partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blobs = cut(rows.mapInArrow(_blobs(slice_places(spark, slices), folds, held), BLOB).repartition(slices, "p"))
+    root, name = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}", f"tokens_{uuid.uuid4().hex}"
+    dealt = rows.mapInArrow(_blobs(slice_places(spark, slices), folds, held), BLOB).repartition(slices, "p")
+    # buckets are the partitions: passes read them without a shuffle of their own
+    dealt.write.bucketBy(slices, "p").option("path", root).saveAsTable(name)
+    blobs = spark.table(name)
     answers = spark.createDataFrame([], ANSWER)
     for number in range(sweeps + 1):
         asked = blobs.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(_ask(slices, theta, chains, seed), "q int, p int, data binary")
         answers = answers.unionAll(cut(asked.groupBy("q").applyInArrow(_add(number), ANSWER)))
     parts = blobs.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(_scores(slices, theta, chains, seed), "slice long, kind int, data binary")
-    return parts.groupBy("slice").applyInArrow(_texts(), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scores = cut(parts.groupBy("slice").applyInArrow(_texts(), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+    spark.sql(f"DROP TABLE {name}")
+    discard(spark, root)
+    return scores
