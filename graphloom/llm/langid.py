@@ -5,14 +5,14 @@ permuting by place (rotation by 2, 1, 0); a text or language bundles (adds) its
 n-gram vectors.  A document's language is the prototype with the largest cosine.
 
 Texts are never turned into vectors one by one: since a dot product is linear, a
-document's product with a prototype is the sum of its n-grams' products, and those
-form one table per prototype made by matrix products.  The document's own norm is
-taken as that of quasi-orthogonal n-grams, ``sqrt(dim * sum(count ** 2))``; it is
-the same for every language and so never changes the answer.
+document's product with a prototype is the sum of its distinct n-grams' products,
+which are made once for the n-grams of a batch.  The document's own norm is taken as
+that of quasi-orthogonal n-grams, ``sqrt(dim * sum(count ** 2))``; it is the same for
+every language and so never changes the answer.
 
-Letters are lower-cased; a-z and the other letters of the Latin-1 block have
-classes of their own, further letters share hashed classes, other characters
-separate words.  ``score`` is the cosine, cut to 0..1.
+Letters of every script are lower-cased and have a vector each, made from a hash of the
+code point; all other characters are one separator.  ``score`` is the cosine with that
+norm, cut to 0..1.
 
 Null texts and texts without a letter are ``und`` with score 0; ties go to the
 first language by name; without training rows all is ``und``.  Prototypes are
@@ -21,59 +21,80 @@ first language by name; without training rows all is ``und``.  Prototypes are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.text import Texts, sliced, widened
+from graphloom.llm.text import Texts, fold, sliced, widened
 
-CLASSES = 64
 UNKNOWN = "und"
+#: n-grams whose vectors are held at a time.
+BLOCK = 4096
 
 
-def letter_classes() -> np.ndarray:
-    """Class of each code point: 0 separates, 1-26 a-z, 27-56 U+00DF-U+00FF, the rest hashed to 57-63."""
-    table = np.zeros(0x110000, np.uint8)
-    for lo in range(0, 0x110000, 0x1000):
-        for c in range(lo, lo + 0x1000):
-            if c > 127 and chr(c).isalpha():
-                table[c] = 57 + (c * 2654435761 >> 7) % 7
-    table[97:123] = np.arange(1, 27)
-    accented = [c for c in range(0xDF, 0x100) if chr(c).isalpha()]
-    table[accented] = 27 + np.arange(len(accented)) % 30
+def letters() -> np.ndarray:
+    """True at the code points of letters."""
+    table = np.zeros(0x110000, bool)
+    table[[c for c in range(0x110000) if chr(c).isalpha()]] = True
     return table
 
 
-def letter_vectors(dim: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs, last): bound vectors of the first two places (CLASSES ** 2, dim), and of the third."""
-    base = np.random.default_rng(seed).choice(np.float32([-1, 1]), (CLASSES, dim))
-    first, second = np.roll(base, 2, 1), np.roll(base, 1, 1)
-    return (first[:, None, :] * second[None, :, :]).reshape(-1, dim), base
+def letter_bits(points: np.ndarray, dim: int, seed: int) -> np.ndarray:
+    """Bipolar vectors of code points, as bits (points, dim): a set bit is -1, and binding is exclusive or."""
+    words = np.arange(-(-dim // 64), dtype=np.uint64)[None, :]
+    drawn = fold(fold(points.astype(np.uint64), np.uint64([seed]))[:, None], words)
+    return np.unpackbits(drawn.view(np.uint8), axis=1)[:, :dim]
+
+
+def gram_blocks(grams: np.ndarray, dim: int, seed: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """Vectors of n-grams (n, 3 code points), a block at a time."""
+    points, place = np.unique(grams, return_inverse=True)
+    place, bits = place.reshape(grams.shape), letter_bits(points, dim, seed)
+    first, second = np.roll(bits, 2, 1), np.roll(bits, 1, 1)
+    for lo in range(0, len(grams), BLOCK):
+        at = slice(lo, min(lo + BLOCK, len(grams)))
+        a, b, c = place[at].T
+        bound = first[a]
+        bound ^= second[b]
+        bound ^= bits[c]
+        yield at, 1.0 - 2.0 * bound.astype(np.float32)
+
 
+def grams(texts: Texts, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams (n, 3 code points); then for each n-gram of each text: its text, its n-gram, its count; texts with a letter.
 
-def grams(texts: Texts, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(n-gram ids, text of each, texts with a letter); runs of separators count as one."""
+    Runs of separators, which are code point 0, count as one.
+    """
     points = np.frombuffer(texts.data.tobytes().decode().lower().encode("utf-32-le"), np.uint32)
     offs = texts.codepoint_offsets()
     if len(points) != offs[-1]:  # lower-casing lengthened some text: take them one at a time
         each = [t.lower() for t in _strings(texts)]
         points = np.frombuffer("".join(each).encode("utf-32-le"), np.uint32)
         offs = np.concatenate([[0], np.cumsum([len(t) for t in each])]).astype(np.int64)
-    code = table[points]
+    points = np.where(table[points], points, 0)
     doc = np.repeat(np.arange(len(texts)), np.diff(offs))
     letter = np.zeros(len(texts), bool)
-    letter[doc[code > 0]] = True
+    letter[doc[points > 0]] = True
     # a separator after a separator of the same text is dropped
-    keep = np.ones(len(code), bool)
-    keep[1:] = (code[1:] > 0) | (code[:-1] > 0) | (doc[1:] != doc[:-1])
-    code, doc = code[keep].astype(np.int32), doc[keep]
-    if len(code) < 3:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64), letter
-    ids = (code[:-2] * CLASSES + code[1:-1]) * CLASSES + code[2:]
+    keep = np.ones(len(points), bool)
+    keep[1:] = (points[1:] > 0) | (points[:-1] > 0) | (doc[1:] != doc[:-1])
+    points, doc = points[keep], doc[keep]
+    # letters of the batch by number, so that a text and its n-gram are one number
+    seen = np.flatnonzero(np.bincount(points, minlength=1))
+    number = np.zeros(int(points.max(initial=0)) + 1, np.uint64)
+    number[seen] = np.arange(len(seen))
+    code, base = number[points], np.uint64(max(len(seen), 1))
     whole = doc[2:] == doc[:-2]
-    return ids[whole], doc[2:][whole], letter
+    key = ((doc[2:].astype(np.uint64) * base + code[:-2]) * base + code[1:-1]) * base + code[2:]
+    key, times = np.unique(key[whole], return_counts=True)
+    of = (key // base**np.uint64(3)).astype(np.int64)
+    distinct, gram = np.unique(key % base**np.uint64(3), return_inverse=True)
+    parts = np.stack([distinct // base**np.uint64(i) % base for i in (2, 1, 0)], 1).astype(np.int64)
+    return seen[parts] if len(seen) else np.zeros((0, 3), np.int64), of, gram, times, letter
 
 
 def _strings(texts: Texts) -> list[str]:
@@ -85,20 +106,21 @@ def fit(train: DataFrame, dim: int = 1024, seed: int = 5) -> dict[str, np.ndarra
     """Prototype of each language of ``train(text, lang)``."""
 
     def partial(batches):
-        table = letter_classes()
-        pairs, last = letter_vectors(dim, seed)
-        counts: dict[str, np.ndarray] = {}
+        table = letters()
+        sums: dict[str, np.ndarray] = {}
         for batch in sliced(batches):
             lang = batch.column("lang").dictionary_encode()
             names = lang.dictionary.to_pylist()
-            ids, doc, _ = grams(Texts.of(batch.column("text")), table)
-            of = lang.indices.to_numpy(zero_copy_only=False)[doc]
-            for i, name in enumerate(names):
-                got = np.bincount(ids[of == i], minlength=CLASSES**3)
-                counts[name] = counts[name] + got if name in counts else got
-        if counts:
-            rows = [(np.asarray(c, np.float32).reshape(-1, CLASSES) @ last * pairs).sum(0, dtype=np.float64) for c in counts.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))], ["lang", "bundle"])
+            distinct, of, gram, times, _ = grams(Texts.of(batch.column("text")), table)
+            row = lang.indices.to_numpy(zero_copy_only=False)[of]
+            counts = np.bincount(row * len(distinct) + gram, times, len(names) * len(distinct)).reshape(len(names), -1)
+            got = np.zeros((len(names), dim))
+            for at, vectors in gram_blocks(distinct, dim, seed):
+                got += counts[:, at] @ vectors
+            for name, one in zip(names, got, strict=True):
+                sums[name] = sums[name] + one if name in sums else one
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([r.tolist() for r in sums.values()], pa.list_(pa.float64()))], ["lang", "bundle"])
 
     rows = train.select(F.col("text").cast("string"), F.col("lang").cast("string")).where("lang IS NOT NULL AND text IS NOT NULL")
     parts = rows.mapInArrow(partial, "lang string, bundle array<double>").select("lang", F.posexplode("bundle").alias("place", "value"))
@@ -115,20 +137,18 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = 1024
     unit = np.array([prototypes[x] / (np.linalg.norm(prototypes[x]) or 1.0) for x in langs], np.float32).reshape(len(langs), dim)
 
     def run(batches):
-        table = letter_classes()
-        pairs, last = letter_vectors(dim, seed)
-        weights = np.stack([(pairs @ (last * u).T).reshape(-1) for u in unit], 1) if langs else None  # n-gram id, language
+        table = letters()
         choice = pa.array([UNKNOWN, *langs])
         for batch in sliced(batches):
             n = batch.num_rows
             pick, score = np.zeros(n, np.int64), np.zeros(n)
             if langs:
-                ids, doc, letter = grams(Texts.of(batch.column("text")), table)
-                dots = np.stack([np.bincount(doc, weights[ids, i], minlength=n) for i in range(len(langs))], 1)
-                key = np.sort(doc << 18 | ids)
-                edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-                times = np.diff(np.append(edge, len(key))).astype(float)
-                square = np.bincount(key[edge] >> 18, times**2, minlength=n)
+                distinct, of, gram, times, letter = grams(Texts.of(batch.column("text")), table)
+                weights = np.zeros((len(distinct), len(langs)), np.float32)
+                for at, vectors in gram_blocks(distinct, dim, seed):
+                    weights[at] = vectors @ unit.T
+                dots = np.stack([np.bincount(of, weights[gram, i] * times, minlength=n) for i in range(len(langs))], 1)
+                square = np.bincount(of, times.astype(float) ** 2, minlength=n)
                 cosine = dots / np.sqrt(np.maximum(square, 1) * dim)[:, None]
                 pick = np.where(letter, cosine.argmax(1) + 1, 0)
                 score = np.where(letter, np.clip(cosine.max(1), 0, 1), 0.0)

@@ -582,14 +582,45 @@ def test_language_identification(spark, docs):
     assert {r.lang_pred for r in langid.identify(docs, {}).collect()} == {"und"}
 
 
-def test_cosine_is_that_of_the_vectors():
-
-    dim = 4096
-    pairs, last = langid.letter_vectors(dim, 5)
-    ids, doc, _ = langid.grams(Texts.of(pa.array(["the cat sat", "Ünter"])), langid.letter_classes())
-    assert len(ids[doc == 0]) == 9 and len(ids[doc == 1]) == 3
-    whole = sum(pairs[i // langid.CLASSES] * last[i % langid.CLASSES] for i in ids[doc == 0])
-    assert np.linalg.norm(whole) == pytest.approx(np.sqrt(dim * 9), rel=0.2)
+def vector(point, dim=1024, seed=5):
+    return 1.0 - 2.0 * langid.letter_bits(np.array([point]), dim, seed)[0]
+
+
+def brute_grams(text):
+    """Trigrams of code points, runs of other characters as one 0."""
+    points = []
+    for ch in (text or "").lower():
+        if ch.isalpha() or not points or points[-1]:
+            points.append(ord(ch) if ch.isalpha() else 0)
+    return Counter(zip(points, points[1:], points[2:], strict=False))
+
+
+def brute_bundle(counts):
+    return sum((n * np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c) for (a, b, c), n in counts.items()), np.zeros(1024))
+
+
+GREEK = "η γάτα και το ποντίκι στο σπίτι με μια ανοιχτή πόρτα " * 3
+RUSSIAN = "чёрная кошка и серая мышь в доме с открытой дверью там " * 3
+UKRAINIAN = "чорна кішка і сіра миша в будинку з відчиненими дверима там " * 3
+
+
+def test_languages_against_whole_vectors(spark):
+    """Prototypes, answers and cosines of five languages in three scripts are those of vectors of whole texts."""
+    known = {"el": GREEK, "en": ENGLISH, "fr": FRENCH, "ru": RUSSIAN, "uk": UKRAINIAN}
+    train = spark.createDataFrame([(t, x) for x, t in known.items()] * 2, "text string, lang string").repartition(3)
+    model = langid.fit(train)
+    whole = {x: 2 * brute_bundle(brute_grams(t)) for x, t in known.items()}
+    assert set(model) == set(whole) and all(np.allclose(model[x], whole[x]) for x in whole)
+    texts = {i: t[i * 7 : i * 7 + 60] for i, t in enumerate(known.values())} | {5: "12 İx Straße\n\nß 漢字かな", 6: "ab", 7: "a b"}
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(list(texts.items()), "doc_id int, text string"), model).collect()}
+    for i, text in texts.items():
+        counts = brute_grams(text)
+        norm = np.sqrt(1024 * max(sum(n * n for n in counts.values()), 1))
+        cosine = {x: brute_bundle(counts) @ v / np.linalg.norm(v) / norm for x, v in whole.items()}
+        assert got[i].score == pytest.approx(min(max(*cosine.values(), 0), 1), abs=1e-5)
+        if i < 5:
+            assert got[i].lang_pred == max(cosine, key=cosine.get) == list(known)[i]
+            assert np.linalg.norm(brute_bundle(counts)) == pytest.approx(norm, rel=0.2)
 
 
 # 8
