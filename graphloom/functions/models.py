@@ -69,6 +69,14 @@ def stock_questions(text: Column) -> Column:
     return F.transform(capitalised_entities(text), lambda e: F.concat(F.lit("What is "), e, F.lit("?")))
 
 
+@register("cuts")
+def middle_sentence(text: Column) -> Column:
+    """Where to cut a text: the first sentence that starts in its second half, with its first words as abstract."""
+    at = F.call_function("locate", F.lit(". "), text, F.floor(F.length(text) / 2).cast("int") + 1) + 1
+    mark = F.struct(at.cast("int").alias("at"), F.substring_index(F.ltrim(F.substr(text, at + 1, F.lit(80))), " ", 5).alias("abstract"))
+    return F.when(at > 1, F.array(mark)).otherwise(F.array().cast("array<struct<at:int,abstract:string>>"))
+
+
 @register("same_entity")
 def same_entity(a: Column, b: Column) -> Column:
     return phrase(a) == phrase(b)

@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.models import model
 from graphloom.functions.text import hash_id
+from graphloom.session import cut
 
 #: What ends a sentence.
 ENGLISH_ENDS, OTHER_ENDS = ".。？?！!\n", "。？！\n"
@@ -32,35 +34,34 @@ def packed(parts: Column, size: int, window: int) -> Column:
 
     The next chunk starts with the trailing sentences of the last one, as many as it
     takes to reach ``window`` characters; they count towards its size.  A longer
-    sentence is a chunk by itself.
+    sentence is a chunk by itself.  Only lengths and places are folded, and texts are
+    joined once, so the work is linear in the text.
     """
-    length = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
-    tail = lambda a: F.reverse(
-        F.aggregate(
-            F.reverse(a),
-            F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("n")),
-            lambda s, x: F.when(s["n"] >= window, s).otherwise(F.struct(F.concat(s["kept"], F.array(x)).alias("kept"), (s["n"] + F.length(x)).alias("n"))),
-            lambda s: s["kept"],
-        )
-    )
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("now"))
+    lengths = F.transform(parts, lambda x: F.length(x))
+    numbered = F.transform(parts, lambda x, i: F.struct(i.alias("i"), F.length(x).alias("n")))
+    none = F.struct(F.lit(0).alias("count"), F.lit(0).alias("chars"))
+    start = F.struct(F.lit(0).alias("first"), F.lit(0).alias("chars"), F.array().cast("array<struct<first:int,stop:int>>").alias("cuts"))
+
+    def tail(s, x):
+        """The sentences before x that it is carried with: none if they leave it no room."""
+        if window <= 0:
+            return none
+        back = F.reverse(F.slice(lengths, s["first"] + 1, x["i"] - s["first"]))
+        got = F.aggregate(back, none, lambda t, n: F.when(t["chars"] >= window, t).otherwise(F.struct((t["count"] + 1).alias("count"), (t["chars"] + n).alias("chars"))))
+        return F.transform(F.array(got), lambda t: F.when(t["chars"] + x["n"] > size, none).otherwise(t))[0]
 
-    def step(state, x):
-        full = (F.size(state["now"]) > 0) & (length(state["now"]) + F.length(x) > size)
-        # a carried tail that leaves no room for the sentence is dropped
-        carried = tail(state["now"]) if window > 0 else F.array().cast("array<string>")
-        carried = F.when(length(carried) + F.length(x) > size, F.array().cast("array<string>")).otherwise(carried)
-        return F.struct(
-            F.when(full, F.concat(state["done"], F.array(F.array_join(state["now"], "")))).otherwise(state["done"]).alias("done"),
-            F.when(full, F.concat(carried, F.array(x))).otherwise(F.concat(state["now"], F.array(x))).alias("now"),
-        )
+    def step(s, x):
+        cut_here = lambda t: F.struct((x["i"] - t["count"]).alias("first"), (t["chars"] + x["n"]).alias("chars"), F.concat(s["cuts"], F.array(F.struct(s["first"].alias("first"), x["i"].alias("stop")))).alias("cuts"))
+        full = (x["i"] > s["first"]) & (s["chars"] + x["n"] > size)
+        return F.when(full, F.transform(F.array(tail(s, x)), cut_here)[0]).otherwise(F.struct(s["first"].alias("first"), (s["chars"] + x["n"]).alias("chars"), s["cuts"].alias("cuts")))
 
-    return F.aggregate(parts, start, step, lambda s: F.when(F.size(s["now"]) > 0, F.concat(s["done"], F.array(F.array_join(s["now"], "")))).otherwise(s["done"]))
+    last = lambda s: F.when(F.size(parts) > 0, F.concat(s["cuts"], F.array(F.struct(s["first"].alias("first"), F.size(parts).alias("stop"))))).otherwise(s["cuts"])
+    return F.transform(F.aggregate(numbered, start, step, last), lambda c: F.array_join(F.slice(parts, c["first"] + 1, c["stop"] - c["first"]), ""))
 
 
 def _numbered(chunks: DataFrame, pieces: Column) -> DataFrame:
     """Piece 0 keeps the parent's id, others hash ``id#k``."""
-    keep = [c for c in chunks.columns if c not in ("id", "name", "content")]
+    keep = [c for c in chunks.columns if c not in ("id", "name", "content", "_parts")]
     rows = chunks.select("id", "name", *keep, F.posexplode(pieces).alias("k", "piece"))
     return rows.select(
         F.when(F.col("k") == 0, F.col("id")).otherwise(hash_id(F.concat_ws("#", "id", F.col("k").cast("string")))).alias("id"),
@@ -70,7 +71,7 @@ def _numbered(chunks: DataFrame, pieces: Column) -> DataFrame:
 
 def by_sentences(chunks: DataFrame, size: int = 500, window: int = 100, english: bool = True) -> DataFrame:
     """P1, P2 on ``chunks(id, name, content)``."""
-    return _numbered(chunks, packed(capped(sentences(F.col("content"), english), 2 * size), size, window))
+    return _numbered(chunks.withColumn("_parts", capped(sentences(F.col("content"), english), 2 * size)), packed(F.col("_parts"), size, window))
 
 
 def by_length(chunks: DataFrame, size: int, window: int) -> DataFrame:
@@ -131,6 +132,27 @@ def by_offsets(chunks: DataFrame, offsets: str = "offsets") -> DataFrame:
     return rows.select(hash_id(F.concat_ws("#", "id", F.col("k").cast("string"))).alias("id"), F.col("m.abstract").alias("name"), F.substr(F.col("content"), F.col("m.at") + 1, end - F.col("m.at")).alias("content"), F.col("id").alias("parent_id"))
 
 
+def by_meaning(chunks: DataFrame, size: int, model_name: str = "cuts") -> DataFrame:
+    """A model's cuts of ``chunks(id, name, content)``, again while a piece has ``size`` characters or more.
+
+    A piece for which the model names no place inside stays whole, whatever its
+    length; so every round makes pieces shorter and the loop ends.  What lies before
+    the first cut is a piece too.
+    """
+    cuts = lambda text: F.array_sort(F.array_distinct(F.filter(model(model_name)(text), lambda m: (m["at"] > 0) & (m["at"] < F.length(text)))))
+    done, level = None, chunks.select("id", "name", "content", F.col("id").alias("parent_id"))
+    while True:
+        level = cut(level.withColumn("offsets", F.when(F.length("content") >= size, cuts(F.col("content")))))
+        inside = F.coalesce(F.size("offsets"), F.lit(0)) > 0
+        kept = level.where(~inside).drop("offsets")
+        done = kept if done is None else done.unionByName(kept)
+        level = level.where(inside)
+        if not level.limit(1).count():
+            return done
+        head = F.array(F.struct(F.lit(0).alias("at"), F.col("name").alias("abstract")))
+        level = by_offsets(level.withColumn("offsets", F.concat(head, F.transform("offsets", lambda m: F.struct(m["at"].alias("at"), m["abstract"].alias("abstract"))))))
+
+
 # outlines (P7)
 
 
@@ -155,15 +177,19 @@ def outline_sections(titles: DataFrame, docs: DataFrame) -> DataFrame:
     """P7a, P7f: ``titles(doc_id, seq, title, level)`` located in ``docs(doc_id, content)``.
 
     A title counts at its first occurrence if that lies after all earlier titles';
-    a section reaches to the next title; its path follows the ancestors.
+    a section reaches to the next title; its path follows the ancestors.  A document's
+    titles are gathered first (they are parts of its text), so the text is joined once.
     """
-    rows = titles.join(docs, "doc_id").withColumn("pos", F.expr("locate(title, content)")).where("pos > 0")
-    order = Window.partitionBy("doc_id").orderBy("seq")
-    rows = rows.withColumn("_best", F.max("pos").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.where(F.col("_best").isNull() | (F.col("pos") > F.col("_best"))).drop("_best")
+    listed = titles.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "title", "level"))).alias("ts"))
+    rows = docs.select("doc_id", "content").join(listed, "doc_id")
+    found = F.filter(F.transform("ts", lambda x: F.struct(F.call_function("locate", x["title"], F.col("content")).alias("pos"), x["title"].alias("title"), x["level"].alias("level"))), lambda x: x["pos"] > 0)
+    none = F.array().cast("array<struct<pos:int,title:string,level:int>>")
+    later = lambda s, x: F.when((F.size(s) == 0) | (x["pos"] > F.try_element_at(s, F.lit(-1))["pos"]), F.concat(s, F.array(x))).otherwise(s)
+    rows = rows.withColumn("ts", F.aggregate(found, none, later))
+    end = lambda i: F.coalesce(F.try_element_at("ts", i + 2)["pos"], F.length("content") + 1)
+    cuts = F.transform("ts", lambda x, i: F.struct(x["pos"].alias("pos"), x["title"].alias("title"), x["level"].alias("level"), F.substr(F.col("content"), x["pos"], end(i) - x["pos"]).alias("content")))
+    rows = rows.select("doc_id", F.explode(cuts).alias("t")).select("doc_id", "t.*")
     along = Window.partitionBy("doc_id").orderBy("pos")
-    rows = rows.withColumn("_end", F.coalesce(F.lead("pos").over(along), F.length("content") + 1))
-    rows = rows.withColumn("content", F.expr("substring(content, pos, _end - pos)"))
     upto = along.rowsBetween(Window.unboundedPreceding, -1)
     ancestors = []
     deepest = titles.agg(F.max("level")).first()[0] or 0

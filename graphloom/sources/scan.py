@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.functions.text import abbreviated, hash_id
+from graphloom.session import cut
 
 
 def text_table(spark: SparkSession, path: str, header: bool = True, delimiter: str = ",") -> DataFrame:
@@ -115,6 +116,11 @@ def shard(rows: DataFrame, order: str, index: int, count: int) -> DataFrame:
 
     For parity only: plain scans leave this to Spark's partitions.
     """
-    width = max(1, -(-rows.count() // count))
-    numbered = rows.withColumn("_n", F.row_number().over(Window.orderBy(order)) - 1)
-    return numbered.where(F.floor(F.col("_n") / width) == index).drop("_n")
+    total = rows.count()
+    width = max(1, -(-total // count))
+    # rows are range-sorted; a partition's first number comes from the partitions before it
+    placed = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).select("*", F.monotonically_increasing_id().alias("_m"))
+    placed = cut(placed.select("*", F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND((1 << 33) - 1).alias("_i")))
+    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    before = sizes.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_before"))
+    return placed.join(F.broadcast(before), "_p").where(F.floor((F.col("_before") + F.col("_i")) / width) == index).drop("_m", "_p", "_i", "_before")
