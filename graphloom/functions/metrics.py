@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.functions.text import exact_match, token_f1
+from graphloom.functions.text import CJK, exact_match, token_f1
+
+TOKEN = re.compile(rf"[{CJK}]|[^\s{CJK}]+")
 
 
 def answer_scores(answers: DataFrame) -> DataFrame:
@@ -17,12 +21,19 @@ def answer_scores(answers: DataFrame) -> DataFrame:
     return best.agg(F.avg("em").alias("em"), F.avg("f1").alias("f1"), F.lit(0.0).alias("answer_similarity"))
 
 
-def recall_at(hits: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (3, 5)) -> DataFrame:
-    """Share of a question's gold titles among its first k hits, and among all, by equality.
+def recall_at(hits: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (3, 5), fuzzy: bool = False) -> DataFrame:
+    """Share of a question's gold titles among its first k hits, and among all.
 
-    ``hits(question_id, title, rank)``, ``gold(question_id, title)``.
+    ``hits(question_id, title, rank)``, ``gold(question_id, title)``.  Titles match if
+    they are equal; with ``fuzzy`` also if one contains the other (A8), which looks
+    through the question's hits, a ranked list of known length.
     """
-    found = gold.distinct().join(hits.groupBy("question_id", "title").agg(F.min("rank").alias("rank")), ["question_id", "title"], "left")
+    if fuzzy:
+        listed = hits.groupBy("question_id").agg(F.collect_set(F.struct("rank", F.col("title").cast("string").alias("title"))).alias("hs"))
+        near = F.filter("hs", lambda h: F.contains(h["title"], F.col("title").cast("string")) | F.contains(F.col("title").cast("string"), h["title"]))
+        found = gold.distinct().join(listed, "question_id", "left").withColumn("rank", F.array_min(F.transform(near, lambda h: h["rank"])))
+    else:
+        found = gold.distinct().join(hits.groupBy("question_id", "title").agg(F.min("rank").alias("rank")), ["question_id", "title"], "left")
     share = lambda hit: F.avg(F.when(hit, 1.0).otherwise(0.0))
     per = found.groupBy("question_id").agg(*[share(F.col("rank") <= k).alias(f"recall_{k}") for k in ks], share(F.col("rank").isNotNull()).alias("recall_all"))
     return per.agg(*[F.avg(f"recall_{k}").alias(f"recall_{k}") for k in (*ks, "all")])
@@ -37,10 +48,10 @@ def fuzzy_sets(pairs: DataFrame, left: str, right: str) -> DataFrame:
 
 @F.pandas_udf(T.DoubleType())
 def rouge_l(prediction: pd.Series, gold: pd.Series) -> pd.Series:
-    """A5: F of the longest common subsequence of white-space tokens; a sequential recurrence, so an Arrow UDF."""
+    """A5: F of the longest common subsequence of tokens: words, and single CJK characters; a sequential recurrence, so an Arrow UDF."""
 
     def one(a: str | None, b: str | None) -> float:
-        x, y = (a or "").split(), (b or "").split()
+        x, y = TOKEN.findall(a or ""), TOKEN.findall(b or "")
         if not x or not y:
             return 0.0
         row = [0] * (len(y) + 1)

@@ -77,6 +77,21 @@ def middle_sentence(text: Column) -> Column:
     return F.when(at > 1, F.array(mark)).otherwise(F.array().cast("array<struct<at:int,abstract:string>>"))
 
 
+@register("answer")
+def nearest_sentence(question: Column, context: Column) -> Column:
+    """The sentence of the context that shares most words with the question, the first of equals; null without any."""
+    asked = F.array_distinct(words(question))
+    cut = F.filter(F.transform(F.regexp_extract_all(context, F.lit(r"[^.!?\u3002\uff01\uff1f\n]+[.!?\u3002\uff01\uff1f]?"), F.lit(0)), lambda s: F.trim(s)), lambda s: s != "")
+    ranked = F.array_sort(F.transform(cut, lambda s, i: F.struct((-jaccard(asked, F.array_distinct(words(s)))).alias("far"), i.alias("i"), s.alias("s"))))
+    return F.try_element_at(ranked, F.lit(1))["s"]
+
+
+@register("judge")
+def is_answer(answer: Column) -> Column:
+    """Whether there is an answer that does not say that it knows none."""
+    return F.coalesce((F.trim(answer) != "") & ~F.lower(answer).rlike("i don't know|unknown|no answer"), F.lit(False))
+
+
 @register("same_entity")
 def same_entity(a: Column, b: Column) -> Column:
     return phrase(a) == phrase(b)

@@ -143,9 +143,22 @@ def boxed(value: Column) -> Column:
     return F.regexp_extract(value, r"\\boxed\{([^{}]*)\}", 1)
 
 
+def repaired_json(value: Column) -> Column:
+    """The outermost object or array of a text, with trailing commas, other languages' constants and curly quotes put right, and open brackets closed."""
+    body = F.regexp_extract(value, r"(?s)([\[{].*)", 1)
+    closed = F.regexp_extract(body, r"(?s)(.*[\]}])", 1)
+    body = F.when(closed != "", closed).otherwise(body)
+    for pattern, new in ((r"[“”]", '"'), (r"\bTrue\b", "true"), (r"\bFalse\b", "false"), (r"\bNone\b", "null"), (r",\s*([\]}])", "$1")):
+        body = F.regexp_replace(body, pattern, new)
+    missing = lambda opening, closing: F.greatest(F.lit(0), F.regexp_count(body, F.lit(opening)) - F.regexp_count(body, F.lit(closing)))
+    return F.concat(F.regexp_replace(body, r",\s*$", ""), F.repeat(F.lit("]"), missing(r"\[", r"\]")), F.repeat(F.lit("}"), missing(r"\{", r"\}")))
+
+
 def parsed(value: Column, schema: str) -> Column:
-    """JSON to a struct; fenced code is unwrapped and malformed text gives null."""
-    return F.from_json(F.regexp_replace(value, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", ""), schema, {"mode": "PERMISSIVE"})
+    """JSON to a struct; fenced code is unwrapped, malformed text is repaired, and null if that fails too."""
+    plain = F.regexp_replace(value, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", "")
+    valid = F.get_json_object(plain, "$").isNotNull()
+    return F.from_json(F.when(valid, plain).otherwise(repaired_json(plain)), schema, {"mode": "PERMISSIVE"})
 
 
 def compact_date(value: Column) -> Column:

@@ -58,7 +58,7 @@ def table_cells(tables: DataFrame) -> DataFrame:
 
 
 def table_graph(tables: DataFrame, mode: str = "graph") -> Graph:
-    """Mode chunk: Table nodes with sourceChunk; mode graph: rows, columns and keywords as nodes too."""
+    """Mode chunk: Table nodes with sourceChunk; mode row_col: a Chunk for each row and column too; mode graph: rows, columns and keywords as nodes."""
     extra = {"beforeText": F.col("before_text"), "afterText": F.col("after_text")} if "before_text" in tables.columns else {}
     nodes = as_nodes(tables, F.col("id"), "Table", F.col("name"), properties_of("content", **extra))
     parent = F.coalesce("parent_id", "id") if "parent_id" in tables.columns else F.col("id")
@@ -69,6 +69,9 @@ def table_graph(tables: DataFrame, mode: str = "graph") -> Graph:
     row_key, column_key = F.concat_ws("#row_", "table_id", F.col("row").cast("string")), F.concat_ws("#column_", "table_id", F.col("column").cast("string"))
     by_row = cells.groupBy("table_id", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("column", "header", "value"))), lambda x: F.concat_ws(": ", x["header"], x["value"])), "; ").alias("content"))
     by_column = cells.groupBy("table_id", "column").agg(F.first("header").alias("header"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "value"))), lambda x: x["value"]), "; ").alias("content"))
+    if mode == "row_col":
+        both = by_row.select("table_id", row_key.alias("id"), row_key.alias("name"), "content").unionByName(by_column.select("table_id", column_key.alias("id"), F.coalesce("header", column_key).alias("name"), "content"))
+        return Graph(nodes.unionByName(as_nodes(both, F.col("id"), "Chunk", F.col("name"), properties_of("content"))), source.unionByName(as_edges(both, F.col("id"), "Chunk", "sourceTable", F.col("table_id"), "Table")))
     keywords = by_column.where(F.coalesce(F.col("header"), F.lit("")) != "")
     nodes = (
         nodes.unionByName(as_nodes(by_row, row_key, "TableRow", row_key, properties_of("content")))
@@ -146,6 +149,13 @@ def nested_objects(entities: DataFrame) -> Graph:
     return Graph(merge_nodes(nodes.withColumn("seq", F.lit(0)), last=True), edges)
 
 
+def triple_units(facts: DataFrame) -> DataFrame:
+    """A unit for each triple of ``facts(chunk_id, s, p, o[, condition])``, in the shape that ``knowledge_units`` takes."""
+    text = F.concat_ws(" ", "s", "p", "o", *([F.col("condition")] if "condition" in facts.columns else []))
+    strings = lambda *c: F.array(*c).cast("array<string>")
+    return facts.select("chunk_id", text.alias("name"), text.alias("content"), F.lit(None).cast("string").alias("ontology"), strings().alias("related"), strings("s", "o").alias("core")).distinct()
+
+
 def knowledge_units(units: DataFrame) -> Graph:
     """``units(chunk_id, name, content, ontology, related array<string>, core array<string>)``.
 

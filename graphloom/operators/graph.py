@@ -220,6 +220,14 @@ def degree_summary(graph: Graph) -> DataFrame:
     return degrees(graph).agg(F.avg("degree").alias("avg_degree"), F.max("degree").alias("max_degree"), F.min("degree").alias("min_degree"))
 
 
+def external_graph(spark: SparkSession, nodes: str, edges: str) -> Graph:
+    """A graph from files of JSON lines; missing properties are empty, missing names are ids, ids of edges are made anew."""
+    n = spark.read.schema(NODE_SCHEMA).json(nodes).where("id IS NOT NULL AND label IS NOT NULL")
+    e = spark.read.schema(EDGE_SCHEMA).json(edges).where("from_id IS NOT NULL AND to_id IS NOT NULL AND label IS NOT NULL")
+    properties = F.coalesce("properties", empty_map())
+    return Graph(as_nodes(n, F.col("id"), F.col("label"), F.col("name"), properties), as_edges(e, F.col("from_id"), F.col("from_type"), F.col("label"), F.col("to_id"), F.col("to_type"), properties))
+
+
 def label_batches(nodes: DataFrame, size: int = 4096) -> DataFrame:
     """Number of the batch that a node is dumped in, by label."""
     order = Window.partitionBy("label").orderBy("id")

@@ -36,12 +36,20 @@ def parse_flow(text: str) -> tuple[list[str], dict[str, list[str]]]:
     return order, inputs
 
 
-def run_flow(text: str, components: dict[str, Component]) -> DataFrame:
-    """One lazy plan; hits of the components that feed no other are united."""
+def run_flow(text: str, components: dict[str, Component], breaks: dict[str, Callable[[DataFrame], bool]] | None = None) -> DataFrame:
+    """One lazy plan; hits of the components that feed no other are united.
+
+    ``breaks`` (C5): after a component whose test of its hits is true, the components
+    that come later in the order do not run; tests are bounded looks at the hits.
+    """
     order, inputs = parse_flow(text)
     made: dict[str, DataFrame] = {}
     for name in order:
         made[name] = components[name]([made[x] for x in inputs[name]])
+        if breaks and name in breaks and breaks[name](made[name]):
+            order = list(made)
+            inputs = {n: inputs[n] for n in order}
+            break
     fed = {x for needs in inputs.values() for x in needs}
     return reduce(DataFrame.unionByName, [made[n] for n in order if n not in fed])
 

@@ -12,12 +12,14 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.models import model
 from graphloom.operators.graph import Graph
+from graphloom.plans.expressions import lower
 from graphloom.plans.schema import Catalog
 
 TERM = re.compile(r"^(?P<alias>\w+)(?::(?P<types>[^\[\]]+))?(?:\[`?(?P<name>[^\]`]*)`?\])?(?:\[(?P<ids>[^\]]*)\])?$")
@@ -91,6 +93,10 @@ def parse_action(text: str) -> Action:
     if kind is None:
         raise LogicFormError(f"no action {m['name']}")
     out = Action(kind, alias=m["alias"])
+    if kind == "deduce" and "left_expr" in m["args"]:
+        out.args["binary"] = m["args"]
+        out.aliases = [x.split(".")[0] for x in parse_binary(m["args"]).left]
+        return out
     for part in split_arguments(m["args"]):
         key, eq, value = part.partition("=")
         if condition := CONDITION.match(part):
@@ -140,12 +146,40 @@ def standardised(action: Action, catalog: Catalog) -> Action:
     return action
 
 
+#: How a binary expression names its comparison, in both languages.
+COMPARISONS = {
+    "等于": "=", "不等于": "!=", "大于": ">", "大于等于": ">=", "小于": "<", "小于等于": "<=", "包含": "contains",
+    "equal": "=", "not_equal": "!=", "greater": ">", "greater_equal": ">=", "less": "<", "less_equal": "<=", "contains": "contains",
+    "=": "=", "==": "=", "!=": "!=", ">": ">", ">=": ">=", "<": "<", "<=": "<=",
+}
+BINARY_PART = re.compile(r"(left_expr|right_expr|op)\s*=(?!=)\s*(.*?)\s*(?=[,，]?\s*(?:left_expr|right_expr|op)\s*=(?!=)|$)", re.S)
+
+
+@dataclass
+class BinaryExpression:
+    """One or several aliases (or ``alias.prop``) compared with a value by ``op``, which is kept as written."""
+
+    left: list[str]
+    right: str | None
+    op: str
+
+
+def parse_binary(text: str) -> BinaryExpression:
+    """``left_expr=a[,b], right_expr=value, op=name``; commas inside the value belong to it."""
+    parts = {m[1]: m[2].strip().rstrip(",，").strip() for m in BINARY_PART.finditer(text.strip())}
+    if not parts.get("left_expr") or not parts.get("op"):
+        raise LogicFormError(f"a binary expression needs left_expr and op: {text}")
+    left = list(dict.fromkeys(x.strip().strip("`") for x in re.split("[,，]", parts["left_expr"]) if x.strip()))
+    return BinaryExpression(left, parts.get("right_expr") or None, parts["op"])
+
+
 class LogicFormRunner:
     """Bindings of a plan: each action's frame joins earlier ones on the aliases they share."""
 
     def __init__(self, graph: Graph, catalog: Catalog | None = None, types: dict[str, str] | None = None):
         self.graph, self.catalog, self.types = graph, catalog, types or {}
         self.frames: dict[str, DataFrame] = {}
+        self.numbers: dict[str, DataFrame] = {}
 
     def _nodes(self, term: Term) -> DataFrame:
         rows = self.graph.nodes
@@ -188,19 +222,61 @@ class LogicFormRunner:
         return self._where(rows, action)
 
     def _math(self, action: Action) -> DataFrame:
-        """L4: count, sum, avg, min, max of an alias's ids or a property ``alias.prop``."""
-        m = re.search(r"`?(\w+)(?:\.(\w+))?`?", action.args.get("content", ""))
+        """L4: count, sum, avg, min, max or sort of an alias's ids, of ``alias.prop``, or an expression of earlier results."""
+        content = action.args.get("content", "").strip("[] ")
         target = action.args.get("target", "count").strip("\"'` ").lower()
+        if target == "expression":
+            return self._computed(content.strip("\"'"), action.alias or "result")
+        m = re.fullmatch(r"`?(\w+)(?:\.(\w+))?`?(?:\.(\w+))?", content)
         made = {"count": F.countDistinct, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
-        if m is None or m[1] not in self.frames or target not in made:
-            raise LogicFormError("Math needs a bound alias and one of count, sum, avg, min, max")
-        column = F.expr(f"try_cast(`{m[1]}_properties`['{m[2]}'] AS double)") if m[2] else F.col(m[1])
-        keep = self.frames[m[1]].select(column.alias("x"), F.col(m[1]).alias("id")).distinct()
+        if m is None or m[1] not in self.frames or target not in (*made, "sort"):
+            raise LogicFormError("Math needs a bound alias and one of count, sum, avg, min, max, sort, expression")
+        prop = m[2] or m[3]
+        column = F.expr(f"try_cast(`{m[1]}_properties`['{prop}'] AS double)") if prop else F.col(m[1])
+        # sums and averages are over entities, whose kind is part of what they are
+        kind = [c for c in (f"{m[1]}_type",) if c in self.frames[m[1]].columns]
+        keep = self.frames[m[1]].select(column.alias("x"), F.col(m[1]).alias("id"), *kind).distinct()
+        if target == "sort":
+            return keep.where("x IS NOT NULL").select("id", F.col("x").alias(action.alias or "result")).orderBy(F.desc(action.alias or "result"), "id")
         return keep.agg(made[target]("x").alias(action.alias or "result"))
 
+    def _computed(self, text: str, alias: str) -> DataFrame:
+        """Arithmetic over results of earlier Math steps, which are frames of one row."""
+        names = list(dict.fromkeys(re.findall(r"`(\w+)`", text)))
+        unknown = [n for n in names if n not in self.numbers]
+        if not names or unknown:
+            raise LogicFormError(f"not results of earlier Math steps: {unknown or text}")
+        # one row each, so this joins single rows
+        row = reduce(lambda x, y: x.crossJoin(y), [self.numbers[n].select(n) for n in names])
+        return row.select(lower(text.replace("`", ""), F.col).alias(alias))
+
+    def compared(self, text: str) -> DataFrame:
+        """Rows of the bound alias for which a binary expression holds; of several, all must."""
+        found = parse_binary(text)
+        op = COMPARISONS.get(found.op)
+        if op is None or found.right is None:
+            raise LogicFormError(f"no comparison {found.op}, or nothing to compare with")
+        base = found.left[0].split(".")[0]
+        if base not in self.frames:
+            raise LogicFormError(f"not bound: {base}")
+        rows = self.frames[base]
+        for name in found.left:
+            alias, _, prop = name.partition(".")
+            if alias not in self.frames or f"{alias}_name" not in rows.columns:
+                raise LogicFormError(f"not bound in the rows of {base}: {alias}")
+            if op in (">", ">=", "<", "<="):
+                left = F.expr(f"try_cast(`{alias}_properties`['{prop}'] AS double)") if prop else F.expr(f"try_cast(`{alias}_name` AS double)")
+                right = F.lit(found.right).try_cast("double")
+            else:
+                left, right = (F.col(f"{alias}_properties").getItem(prop) if prop else F.col(f"{alias}_name")), F.lit(found.right)
+            rows = rows.where({"=": left == right, "!=": left != right, ">": left > right, ">=": left >= right, "<": left < right, "<=": left <= right, "contains": F.contains(left, right)}[op])
+        return rows
+
     def _deduce(self, action: Action) -> DataFrame:
-        """A pluggable predicate over an alias's names; default: the content contains the target."""
+        """A pluggable predicate over an alias's names; default: the content contains the target; or a binary expression."""
         op = action.args.get("op", "").strip("\"'` ")
+        if "binary" in action.args:
+            return self.compared(action.args["binary"])
         if op not in OPERATORS:
             raise LogicFormError(f"no deduction {op}")
         m = re.search(r"`(\w+)`", action.args.get("content", ""))
@@ -226,6 +302,8 @@ class LogicFormRunner:
                 out = self._bound(self._where(self._nodes(action.terms["s"]), action), action.terms["s"].alias)
             elif action.kind == "math":
                 out = self._math(action)
+                if action.args.get("target", "count").strip("\"'` ").lower() != "sort":
+                    self.numbers[action.alias or "result"] = out
             elif action.kind == "deduce":
                 out = self._deduce(action)
             else:  # L6

@@ -128,7 +128,7 @@ class Matcher:
         out: DataFrame | None = None
         bound: set[str] = set()
         for step in pattern.steps:
-            hop = self.hops(step)
+            hop = self.hops(step, pattern.nodes)
             if out is None:
                 out = hop
             else:
@@ -146,11 +146,13 @@ class Matcher:
             out = rows if out is None else out.join(rows, [c for c in (f"{var}_id", f"{var}_label") if c in out.columns])
         return out
 
-    def hops(self, step: Step) -> DataFrame:
+    def hops(self, step: Step, nodes: dict[str, list[str]] | None = None) -> DataFrame:
         edges = self.graph.edges.where(F.col("label").isin(step.labels)) if step.labels else self.graph.edges
         s, t = f"{step.source}_id", f"{step.target}_id"
         if (step.low, step.high) != (1, 1):
-            paths = variable_paths(edges, step.low, step.high, step.undirected)
+            # ends with labels prune before anything is expanded
+            ids = lambda var: self.scan(var, nodes[var]).select(F.col(f"{var}_id").alias("id")) if nodes and nodes.get(var) and "Entity" not in nodes[var] else None
+            paths = variable_paths(edges, step.low, step.high, step.undirected, ids(step.source), ids(step.target))
             return paths.select(F.col("start").alias(s), F.col("end").alias(t), F.col("labels").alias(f"{step.var}_labels"), F.col("hops").alias(f"{step.var}_hops"))
         own = [F.col("label").alias(f"{step.var}_label"), F.col("properties").alias(f"{step.var}_properties")]
         end = lambda var, side: [F.col(f"{side}_id").alias(f"{var}_id"), F.col(f"{side}_type").alias(f"{var}_label")]

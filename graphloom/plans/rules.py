@@ -1,26 +1,28 @@
 """Rules that derive relations and properties.
 
-    Define (s:Company)-[p:mainSupply]->(o:Company) {
-        Structure { (s)-[f:fundTrans]->(o) }
+    Define (s:Reader)-[p:regularOf]->(o:Library) {
+        Structure { (s)-[f:borrowed]->(o) }
         Constraint {
-            total = group(s).sum(f.transAmt)
-            part = group(s, o).sum(f.transAmt)
-            R1("share"): part / total > 0.5
+            all = group(s).count(f.id)
+            here = group(s, o).count(f.id)
+            R1("share"): here / all > 0.5
         }
-        Action { createEdgeInstance(src=s, dst=o, type=leadTo) }
+        Action { createEdgeInstance(src=s, dst=o, type=knows) }
     }
 
 Constraint lines are assignments or conditions, all of them joined by and.
-``group(keys).sum|count|avg|min|max(x)`` is a total beside the detail rows: a window
-over the match rows, which are counted as they are (bag semantics).
+``group(keys).sum|count|avg|min|max(x)`` is a total beside the detail rows, which are
+counted as they are (bag semantics).  Totals are combined before their shuffle and
+joined back, so no task holds all rows of a hot key.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import Graph, as_edges, as_nodes, distinct_edges
@@ -98,26 +100,36 @@ class RuleEngine:
             prop = name.partition(".")[2]
             return column.cast(self.types[prop]) if prop in self.types else column
 
+        # rows that totals are made of, while no condition or assignment has changed what they would see
+        base, fresh = rows, set()
         for line in rule.lines:
             line = re.sub(r"^R\w*\s*\([^)]*\)\s*:\s*", "", line)
-            groups: dict[str, Column] = {}
-
-            def windowed(m: re.Match, groups=groups) -> str:
-                keys = [resolve(k.strip()) for k in m["keys"].split(",")]
-                name = f"_g{len(groups)}"
-                groups[name] = AGGREGATES[m["agg"]](resolve(m["arg"])).over(Window.partitionBy(*keys))
-                return name
-
-            text = GROUP.sub(windowed, line)
-            for name, column in groups.items():
-                rows = rows.withColumn(name, column)
+            found = list(GROUP.finditer(line))
+            groups = {f"_g{i}": m for i, m in enumerate(found)}
+            text = line
+            for name, m in groups.items():
+                text = text.replace(m[0], name, 1)
+            if found:
+                used = {x.strip() for m in found for x in (*m["keys"].split(","), m["arg"])}
+                if base is None or used & fresh:
+                    base, fresh = rows, set()
+                by_keys: dict[str, list[tuple[str, re.Match]]] = {}
+                for name, m in groups.items():
+                    by_keys.setdefault(",".join(k.strip() for k in m["keys"].split(",")), []).append((name, m))
+                for keys, parts in by_keys.items():
+                    columns = [resolve(k) for k in keys.split(",")]
+                    totals = base.groupBy(*[c.alias(f"_k{i}") for i, c in enumerate(columns)]).agg(*[AGGREGATES[m["agg"]](resolve(m["arg"])).alias(n) for n, m in parts])
+                    same = reduce(lambda x, y: x & y, [c.eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(columns)])
+                    rows = rows.join(totals, same).drop(*[f"_k{i}" for i in range(len(columns))])
             look = lambda n, groups=groups: F.col(n) if n in groups else resolve(n)
             m = re.match(r"^(\w+)\s*=(?!=)\s*(.*)$", text)
             if m:
                 rows = rows.withColumn(f"_v_{m[1]}", lower(m[2], look, self.params, self.now))
                 assigned.add(m[1])
+                fresh.add(m[1])
             else:
                 rows = rows.where(lower(text, look, self.params, self.now))
+                base = None
             rows = rows.drop(*groups)
         return rows
 
