@@ -52,6 +52,15 @@ class Texts:
         raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
         return cls(raw[offs[0] : offs[-1]], offs - offs[0])
 
+    @classmethod
+    def of_bytes(cls, column: pa.Array) -> Texts:
+        """A large_binary column without nulls."""
+        n = len(column)
+        _, offs, data = column.buffers()
+        offs = np.frombuffer(offs, np.int64)[column.offset : column.offset + n + 1]
+        raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        return cls(raw[offs[0] : offs[-1]], offs - offs[0])
+
     def __len__(self) -> int:
         return len(self.offs) - 1
 
