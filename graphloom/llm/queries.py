@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import fingerprint, langid, licences, linededup, lm, mixing, ngram_join, packing, pieces, quality, tokencount
+from graphloom.llm import fingerprint, langid, licences, linededup, lm, mixing, ngram_join, packing, pieces, quality, tokencount, trie
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_segments", "licences", "best_licence", "best_dice")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"), trie.rebuilt).drop("n_ends")
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -85,12 +89,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_token_counts,
         op10_license_scan,
+        op11_prefix_trie,
         op13_sentencepiece,
     )
 }
 
 LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+#: Bit by bit, since DuckDB has no function of this name.
+CRC32 = "xor(list_reduce(list_transform(range(1, length({0}) + 1), lambda i: ascii(substr({0}, i, 1))::BIGINT), lambda s, c: list_reduce([xor(s, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, x: xor(v >> 1, (v & 1) * 3988292384)), 4294967295), 4294967295)"
 
 #: SQL is given where it can express a query on whole tables.
 SQL: dict[str, str] = {
@@ -118,4 +125,17 @@ k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(
 d AS (SELECT key, min(doc_id) AS owner FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
 m AS (SELECT k.*, coalesce(doc_id <> owner, FALSE) AS dropped FROM k LEFT JOIN d USING (key))
 SELECT doc_id, count(*) AS n_lines, CAST(sum(dropped::INTEGER) AS BIGINT) AS n_dropped, sha256(coalesce(string_agg(CASE WHEN NOT dropped THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256 FROM m GROUP BY doc_id""",
+    "op11_prefix_trie": rf"""WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, m) - 1 AS j, m, len({WORDS.format("text")}) AS w
+  FROM (SELECT conv_id, turn, text, md5(length(role) || ':' || role || text) AS m FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL))),
+k AS (SELECT c, count(*) AS n, {CRC32.format("CAST(c AS VARCHAR)")} % 4 AS h FROM t GROUP BY c),
+g AS (SELECT k.c, k.h, least(k.h, coalesce(b.n, 0)) AS p FROM k LEFT JOIN k b ON b.c = k.c - k.c % 20),
+r AS (SELECT t.c, j - h + p + 1 AS d, m, w FROM t JOIN g USING (c) WHERE j >= h UNION ALL SELECT g.c, j + 1, m, w FROM g JOIN t ON t.c = g.c - g.c % 20 WHERE j < g.h),
+p AS (SELECT c, d, w, string_agg(m, '') OVER (PARTITION BY c ORDER BY d) AS key FROM r UNION ALL SELECT c, 0, 0, '' FROM g),
+n AS (SELECT key, d, min(c) AS c, count(*) AS n, any_value(w) AS w FROM p GROUP BY key, d),
+k2 AS (SELECT left(key, 32 * (d - 1)) AS key, count(*) AS kids FROM n WHERE d > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN k2 USING (key)),
+s AS (SELECT left(key, 32 * i) AS key, CAST(sum((kids = 0)::INTEGER) AS BIGINT) AS leaves, CAST(sum((n - 1) * w) AS BIGINT) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS i FROM f) GROUP BY 1),
+e AS (SELECT key, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM (SELECT c, max_by(key, d) AS key FROM p GROUP BY c) GROUP BY key)
+SELECT f.c AS conv_id, f.d AS depth, u.c AS parent_conv_id, f.n AS n_convs, f.kids AS n_children, leaves AS n_leaves, saved AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM f JOIN s USING (key) LEFT JOIN n u ON f.d > 0 AND u.key = left(f.key, 32 * (f.d - 1)) LEFT JOIN e ON e.key = f.key""",
 }
