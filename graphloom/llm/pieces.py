@@ -3,9 +3,11 @@
 A model whose pieces never hold a whitespace marker after another character cannot
 merge across the start of a marked word, so a text may be cut there: a chunk is a run
 of markers and what follows them.  Texts are taken in slices.  A slice sends its
-distinct chunks once, numbered by frequency, and each document as its chunks' numbers;
-over all slices every distinct chunk is segmented once, its ids are joined back to the
-slices that hold it, and the numbers are replaced by ids at their positions.
+distinct chunks once, numbered by frequency, to the buckets of the table of distinct
+chunks, and each document as its chunks' numbers.  A bucket segments each of its
+chunks once; the ids go back to the slices that hold the chunk, where they take the
+numbers' places.  Buckets are chosen by hash, so a task's share of the table falls
+with the number of shuffle partitions.
 
 Only models with identity normalisation, a dummy prefix, kept white space and without
 pieces that cross a marker are cut like this; others are refused.  Markers in a text
@@ -26,18 +28,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructType
+from pyspark.sql.types import StructType
 
 from graphloom.llm.bpe import resolve
-from graphloom.llm.text import Texts, dictionary, ragged, sliced, widened
+from graphloom.llm.text import Texts, dictionary, hash_each, ragged, sliced, widened
 from graphloom.session import shuffle_partitions
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Bytes of text in a slice; ids in a batch that is given back.
 SLICE, BATCH_IDS = 16 << 20, 1 << 20
+#: Chunks that a bucket's table holds; one that outgrows this starts anew, and may segment a chunk twice.
+REMEMBERED = 2_000_000
+UNSTABLE = "a slice lacks chunks: the table was read in another order; cut it first"
 
 
 def processor(model: str):
@@ -98,10 +104,37 @@ def _slices(batches):
         yield texts, name.digest(), batch
 
 
-def _dictionaries(batches):
-    for texts, name, _ in _slices(batches):
-        uniq = chunks(texts)[1]
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(uniq), pa.binary()), pa.array(np.arange(len(uniq), dtype=np.int32)), uniq.cast(pa.binary())], ["slice", "number", "chunk"])
+def _packed(data, lengths: np.ndarray) -> bytes:
+    """Lengths and data of several strings, compressed."""
+    widths = numbers_to_bytes(lengths)[0].tobytes()
+    return zstandard.compress(len(widths).to_bytes(8, "little") + widths + bytes(data), 1)
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, bytes]:
+    raw = zstandard.decompress(blob)
+    at = 8 + int.from_bytes(raw[:8], "little")
+    return bytes_to_numbers(np.frombuffer(raw, np.uint8)[8:at]), raw[at:]
+
+
+def _dictionaries(buckets: int):
+    """A row for each slice and bucket of chunks: the numbers of the chunks, as steps, and the chunks."""
+
+    def run(batches):
+        for texts, name, _ in _slices(batches):
+            uniq = chunks(texts)[1]
+            bucket = (hash_each(uniq) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            held = Texts.of_bytes(pc.take(uniq, pa.array(order)).cast(pa.large_binary()))
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            rows = []
+            for b in np.flatnonzero(np.diff(edges)).tolist():
+                lo, hi = edges[b], edges[b + 1]
+                steps = numbers_to_bytes(np.diff(order[lo:hi], prepend=-1) - 1)[0].tobytes()
+                rows.append((name, b, steps, _packed(held.data[held.offs[lo] : held.offs[hi]], np.diff(held.offs[lo : hi + 1]))))
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["slice", "bucket", "steps", "held"])
+
+    return run
 
 
 def _numbered(batches):
@@ -114,20 +147,33 @@ def _numbered(batches):
 
 
 def _segmented(model: str):
+    """The ids of the chunks of each row; a chunk that the bucket has met is not segmented again."""
+
     def run(batches):
         sp = processor(model)
-        bare = [sp.piece_to_id(MARK)]
+        known = {b"": np.array([sp.piece_to_id(MARK)], np.int32).tobytes()}
         for batch in batches:
-            texts = [c.decode() for c in batch.column("chunk").to_pylist()]
-            ids = [got if text else bare for text, got in zip(texts, sp.encode(texts, num_threads=1), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(ids, pa.list_(pa.int32()))], ["chunk", "ids"])
+            payload = []
+            for blob in batch.column("held"):
+                lengths, data = _unpacked(blob.as_py())
+                ends = np.cumsum(lengths).tolist()
+                found = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+                if len(known) > REMEMBERED:
+                    known = {b"": known[b""]}
+                new = [c for c in dict.fromkeys(found) if c not in known]
+                for chunk, ids in zip(new, sp.encode([c.decode() for c in new], num_threads=1), strict=True):
+                    known[chunk] = np.array(ids, np.int32).tobytes()
+                ids = [known[c] for c in found]
+                values = np.frombuffer(b"".join(ids), np.int32)
+                payload.append(_packed(numbers_to_bytes(values)[0], np.fromiter(map(len, ids), np.int64, len(ids)) // 4))
+            yield pa.RecordBatch.from_arrays([batch.column("slice"), batch.column("steps"), pa.array(payload, pa.binary())], ["slice", "steps", "ids"])
 
     return run
 
 
 def _placed(batches):
     """Documents of each slice, which follow its dictionary in the sorted rows."""
-    name, rest, starts, lengths, values = None, [], None, None, None
+    name, rest, table = None, [], None
     for batch in batches:
         names = batch.column("slice").to_pylist()
         edges = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
@@ -135,23 +181,32 @@ def _placed(batches):
             if lo == hi:
                 continue
             if names[lo] != name:
-                name, rest, starts = names[lo], [], None
+                name, rest, table = names[lo], [], None
             part = batch.slice(lo, hi - lo)
-            words = pc.is_null(part.column("numbers"))
-            if starts is None:
-                rest.append(part.filter(words).select(["number", "ids"]))
-            docs = part.filter(pc.invert(words))
-            if not docs.num_rows:
-                continue
-            if starts is None:
-                table = pa.Table.from_batches(rest)
-                number, at = np.unique(table.column("number").to_numpy(), return_index=True)
-                if not np.array_equal(number, np.arange(len(number))):
-                    raise RuntimeError("a slice lacks chunks: the table was read in another order; cut it first")
-                ids = table.column("ids").combine_chunks().take(pa.array(at))
-                values, lengths = ids.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
-                starts, rest = np.cumsum(lengths) - lengths, []
-            yield from _with_ids(docs, values, starts, lengths)
+            held = pc.is_valid(part.column("steps"))
+            words = part.filter(held)
+            # two slices of the same texts have one name: their rows are the same
+            rest += zip(words.column("steps").to_pylist(), words.column("ids").to_pylist(), strict=True)
+            docs = part.filter(pc.invert(held))
+            if docs.num_rows:
+                table = table or _dictionary_of(rest)
+                yield from _with_ids(docs, *table)
+
+
+def _dictionary_of(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids, and where those of each chunk start and how many they are."""
+    numbers, lengths, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for steps, blob in dict.fromkeys(rows):
+        numbers.append(np.cumsum(bytes_to_numbers(np.frombuffer(steps, np.uint8)) + 1) - 1)
+        sizes, data = _unpacked(blob)
+        lengths.append(sizes)
+        values.append(bytes_to_numbers(np.frombuffer(data, np.uint8)))
+    number, size = np.concatenate(numbers), np.concatenate(lengths)
+    starts, count = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+    if not np.array_equal(np.sort(number), np.arange(len(number))):
+        raise RuntimeError(UNSTABLE)
+    starts[number], count[number] = np.cumsum(size) - size, size
+    return np.concatenate(values), starts, count
 
 
 def _with_ids(docs, values, starts, lengths):
@@ -164,7 +219,7 @@ def _with_ids(docs, values, starts, lengths):
         part = Texts.of_bytes(column.slice(at, to - at))
         chunk = bytes_to_numbers(part.data)
         if len(chunk) and int(chunk.max()) >= len(lengths):
-            raise RuntimeError("a slice lacks chunks: the table was read in another order; cut it first")
+            raise RuntimeError(UNSTABLE)
         ids = values[ragged(starts[chunk], lengths[chunk])]
         # chunks that end before each byte, then ids before each document
         before = np.concatenate([[0], np.cumsum(part.data < 128)])[part.offs]
@@ -179,14 +234,14 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     parts = shuffle_partitions(docs.sparkSession)
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "ids")]
     rows = docs.select(F.struct(F.lit(0).alias("__row"), *kept).alias("row"), F.col("text").cast("string").alias("text"))
-    row = rows.schema["row"].dataType
-    numbered = rows.mapInArrow(_numbered, StructType([*StructType.fromDDL("slice binary"), rows.schema["row"], *StructType.fromDDL("numbers binary")]))
-    held = rows.select("text").mapInArrow(_dictionaries, "slice binary, number int, chunk binary").repartition(parts, "chunk")
-    table = held.select("chunk").distinct().mapInArrow(_segmented(model), "chunk binary, ids array<int>")
-    words = held.join(table, "chunk").select("slice", "number", "ids", F.lit(None).cast(row).alias("row"), F.lit(None).cast("binary").alias("numbers"))
-    both = words.unionByName(numbered.select("slice", F.lit(None).cast("int").alias("number"), F.lit(None).cast("array<int>").alias("ids"), "row", "numbers"))
-    both = both.repartition(parts, "slice").sortWithinPartitions("slice", F.col("number").asc_nulls_last())
-    found = both.mapInArrow(_placed, StructType([rows.schema["row"], *StructType().add("ids", ArrayType(IntegerType()))]))
+    row = rows.schema["row"]
+    numbered = rows.mapInArrow(_numbered, StructType([*StructType.fromDDL("slice binary"), row, *StructType.fromDDL("numbers binary")]))
+    held = rows.select("text").mapInArrow(_dictionaries(parts), "slice binary, bucket int, steps binary, held binary")
+    words = held.repartition(parts, "bucket").select("slice", "steps", "held").mapInArrow(_segmented(model), "slice binary, steps binary, ids binary")
+    none = F.lit(None).cast("binary")
+    both = words.select("*", F.lit(None).cast(row.dataType).alias("row"), none.alias("numbers")).unionByName(numbered.select("slice", none.alias("steps"), none.alias("ids"), "row", "numbers"))
+    both = both.repartition(parts, "slice").sortWithinPartitions("slice", F.col("steps").isNull())
+    found = both.mapInArrow(_placed, StructType([row, *StructType.fromDDL("ids array<int>")]))
     return found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("text", "ids")], "ids")
 
 
