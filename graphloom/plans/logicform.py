@@ -194,7 +194,8 @@ class LogicFormRunner:
 
     def _bound(self, rows: DataFrame, alias: str) -> DataFrame:
         if alias in self.frames:
-            rows = rows.join(self.frames[alias].select(alias).distinct(), alias, "left_semi")
+            on = [c for c in (alias, f"{alias}_type") if c in rows.columns and c in self.frames[alias].columns]
+            rows = rows.join(self.frames[alias].select(*on).distinct(), on, "left_semi")
         return rows
 
     def _where(self, rows: DataFrame, action: Action) -> DataFrame:

@@ -19,13 +19,13 @@ joined back, so no task holds all rows of a hot key.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import Graph, as_edges, as_nodes, distinct_edges
+from graphloom.operators.graph import EDGE_COLUMNS, ENDS, NODE_COLUMNS, Graph, as_edges, as_nodes, distinct_edges
 from graphloom.plans.expressions import lower
 from graphloom.plans.patterns import Matcher, Pattern, parse_paths
 from graphloom.session import cut
@@ -84,13 +84,14 @@ class RuleEngine:
     def __init__(self, graph: Graph, types: dict[str, str] | None = None, concepts: DataFrame | None = None, now: str | None = None, params: dict | None = None):
         self.graph, self.types, self.concepts, self.now, self.params = graph, types or {}, concepts, now, params or {}
 
-    def matches(self, rule: Rule) -> DataFrame:
-        """Match rows that satisfy the constraints, with the assigned names as columns."""
-        for var, labels in rule.head.nodes.items():
-            if var in rule.structure.nodes:
-                rule.structure.nodes[var] = rule.structure.nodes[var] or labels
-        matcher = Matcher(self.graph, self.concepts, self.params, self.now)
-        rows = matcher.bind(rule.structure)
+    def matches(self, rule: Rule, edges: dict[str, DataFrame] | None = None, nodes: dict[str, DataFrame] | None = None) -> DataFrame:
+        """Match rows that satisfy the constraints, with the assigned names as columns.
+
+        ``edges`` and ``nodes`` stand for the graph's where a variable of the structure is named.
+        """
+        labels = {v: known or rule.head.nodes.get(v, []) for v, known in rule.structure.nodes.items()}
+        matcher = Matcher(self.graph, self.concepts, self.params, self.now, edges, nodes)
+        rows = matcher.bind(replace(rule.structure, nodes=labels))
         assigned: set[str] = set()
 
         def resolve(name: str) -> Column:
@@ -133,9 +134,9 @@ class RuleEngine:
             rows = rows.drop(*groups)
         return rows
 
-    def edges(self, rule: Rule) -> DataFrame:
+    def edges(self, rule: Rule, rows: DataFrame | None = None) -> DataFrame:
         """The derived relation, once per pair of ends; a concept target ``Type/concept`` is its id."""
-        rows, step = self.matches(rule), rule.derived
+        rows, step = self.matches(rule) if rows is None else rows, rule.derived
         relation = step.labels[0] if step.labels else step.var
         target = rule.head.nodes[step.target]
         concept = next((x for x in target if "/" in x), None)
@@ -159,9 +160,9 @@ class RuleEngine:
             out = got if out is None else out.unionByName(got)
         return out.distinct()
 
-    def acted(self, rule: Rule) -> Graph:
+    def acted(self, rule: Rule, rows: DataFrame | None = None) -> Graph:
         """The nodes and edges that a rule's actions create from its matches."""
-        rows = self.matches(rule)
+        rows = self.matches(rule) if rows is None else rows
         value = lambda text: lower(text, lambda n: F.col(f"_v_{n}") if f"_v_{n}" in rows.columns else Matcher(self.graph).resolve(n), self.params, self.now)
         out = Graph.empty(self.graph.nodes.sparkSession)
         for what, args in rule.actions:
@@ -175,29 +176,154 @@ class RuleEngine:
         return out
 
 
-def ordered(rules: dict[str, Rule]) -> list[str]:
-    """Rule names such that a rule comes after those whose relations it uses; a cycle is an error."""
-    makes = {(r.derived.labels or [r.derived.var])[0]: n for n, r in rules.items()}
-    needs = {n: {makes[x] for s in r.structure.steps for x in s.labels if x in makes} - {n} for n, r in rules.items()}
-    out: list[str] = []
-    while needs:
-        ready = sorted((n for n, d in needs.items() if d <= set(out)), key=lambda n: (-rules[n].priority, n))
-        if not ready:
-            raise RuleError(f"rules depend on each other: {sorted(needs)}")
-        out += ready
-        for n in ready:
-            del needs[n]
+# derivation to the end
+
+
+def makes(rule: Rule) -> set[tuple[str, str]]:
+    """What a rule adds: ("edge", label) of its head and actions, ("node", label) of its actions."""
+    out = {("edge", (rule.derived.labels or [rule.derived.var])[0])} if has_head(rule) else set()
+    return out | {("node", a.get("type", "Others")) if what == "createNodeInstance" else ("edge", a.get("type", "leadTo")) for what, a in rule.actions}
+
+
+def has_head(rule: Rule) -> bool:
+    """Whether the head's relation is derived: both ends are matched, or the target is a concept."""
+    step = rule.derived
+    concept = any("/" in x for x in rule.head.nodes[step.target])
+    return step.source in rule.structure.nodes and (concept or step.target in rule.structure.nodes)
+
+
+def feeds(made: set[tuple[str, str]], rule: Rule) -> bool:
+    """Whether a rule may match what has been added."""
+    edges, nodes = ({x for kind, x in made if kind == k} for k in ("edge", "node"))
+    steps = any(not s.labels or edges & set(s.labels) for s in rule.structure.steps) if edges else False
+    labels = [known or rule.head.nodes.get(v, []) for v, known in rule.structure.nodes.items()]
+    member = "belongTo" in edges and any("/" in x for known in labels for x in known)
+    return steps or member or bool(nodes) and any(not known or "Entity" in known or nodes & {x.split("/")[0] for x in known} for known in labels)
+
+
+def totals(rule: Rule) -> bool:
+    """Whether a rule needs all rows at once, so that it must not depend on itself."""
+    return any(GROUP.search(line) for line in rule.lines)
+
+
+def strata(rules: dict[str, Rule]) -> list[list[str]]:
+    """Groups of rules that depend on each other, each after the groups that it uses; within what is free, higher priority first."""
+    direct = {n: {m for m, other in rules.items() if feeds(makes(other), rule)} for n, rule in rules.items()}
+    reach = {n: set(d) for n, d in direct.items()}
+    for k in rules:  # transitive
+        for n in rules:
+            if k in reach[n]:
+                reach[n] |= reach[k]
+    groups = {n: frozenset({n} | {m for m in reach[n] if n in reach[m]}) for n in rules}
+    for n, rule in rules.items():
+        if totals(rule) and direct[n] & groups[n] and n in reach[n]:
+            raise RuleError(f"the totals of {n} depend on what it derives")
+    out: list[list[str]] = []
+    done: set[str] = set()
+    waiting = set(groups.values())
+    while waiting:
+        ready = [g for g in waiting if set().union(*(reach[n] for n in g)) - g <= done]
+        first = min(ready, key=lambda g: (-max(rules[n].priority for n in g), sorted(g)))
+        waiting.remove(first)
+        done |= first
+        out.append(sorted(first))
     return out
 
 
-def derive_all(graph: Graph, rules: dict[str, Rule], **options) -> Graph:
-    """The graph with all derived relations, in order of dependence."""
-    for name in ordered(rules):
-        edges = RuleEngine(graph, **options).edges(rules[name])
-        graph = Graph(graph.nodes, graph.edges.unionByName(edges))
+def ordered(rules: dict[str, Rule]) -> list[str]:
+    """Rule names such that a rule comes after those whose relations it uses; a cycle is an error."""
+    groups = strata(rules)
+    for group in groups:
+        if len(group) > 1:
+            raise RuleError(f"rules depend on each other: {group}")
+    return [n for group in groups for n in group]
+
+
+def produced(engine: RuleEngine, rule: Rule, edges: dict[str, DataFrame] | None = None, nodes: dict[str, DataFrame] | None = None) -> Graph:
+    """The head's relation and what the actions create, from matches that use the given edges or nodes."""
+    rows = engine.matches(rule, edges, nodes)
+    out = engine.acted(rule, rows)
+    return Graph(out.nodes, out.edges.unionByName(engine.edges(rule, rows))) if has_head(rule) else out
+
+
+class Delta:
+    """What the last round has added, and rules evaluated over it: semi-naive derivation.
+
+    A match that is new uses at least one new edge or node, so each place of a
+    structure that may hold one is evaluated with the delta there and the whole graph
+    elsewhere.  Paths of several edges and concepts are evaluated whole.
+    """
+
+    def __init__(self, new: Graph, made: set[tuple[str, str]]):
+        self.new, self.made = new, made
+
+    def evaluated(self, engine: RuleEngine, rule: Rule) -> list[Graph]:
+        edges, nodes = ({x for kind, x in self.made if kind == k} for k in ("edge", "node"))
+        labels = {v: known or rule.head.nodes.get(v, []) for v, known in rule.structure.nodes.items()}
+        whole = any((s.low, s.high) != (1, 1) and (not s.labels or edges & set(s.labels)) for s in rule.structure.steps)
+        if whole or "belongTo" in edges and any("/" in x for known in labels.values() for x in known):
+            return [produced(engine, rule)]
+        out = [produced(engine, rule, edges={s.var: self.new.edges}) for s in rule.structure.steps if edges and (not s.labels or edges & set(s.labels))]
+        return out + [produced(engine, rule, nodes={v: self.new.nodes}) for v, known in labels.items() if nodes and (not known or "Entity" in known or nodes & {x.split("/")[0] for x in known})]
+
+
+def derive_all(graph: Graph, rules: dict[str, Rule], most: int = 100, **options) -> Graph:
+    """The graph with all that rules derive, to the end: rules may use what they and others derive.
+
+    Groups of rules go in order of dependence.  A group that depends on itself is
+    repeated on what is new (``Delta``) until nothing is; each round's new edges and
+    nodes are a table in the shared folder.  Derived edges count once by ends and
+    label, derived nodes once by id and label.
+    """
+    for group in strata(rules):
+        made = set().union(*(makes(rules[n]) for n in group))
+        again = [n for n in group if feeds(made, rules[n])]
+        if not again:
+            engine = RuleEngine(graph, **options)
+            graph = _added(graph, reduce(Graph.plus, [produced(engine, rules[n]) for n in group]), made)[0]
+            continue
+        # what the group can match, made once
+        work = _matched(graph, [rules[n] for n in group], made)
+        engine = RuleEngine(work, **options)
+        parts = [produced(engine, rules[n]) for n in group]
+        for _ in range(most):
+            work, new = _added(work, reduce(Graph.plus, parts), made, keep=True)
+            if not new.edges.limit(1).count() and not new.nodes.limit(1).count():
+                break
+            graph = graph.plus(new)
+            engine, delta = RuleEngine(work, **options), Delta(new, made)
+            parts = [part for n in again for part in delta.evaluated(engine, rules[n])]
+        else:
+            raise RuleError(f"no end within {most} rounds: {group}")
     return graph
 
 
+def _matched(graph: Graph, rules: list[Rule], made: set[tuple[str, str]]) -> Graph:
+    """The part of the graph that rules can match or make, in the shared folder."""
+    labels = [known or r.head.nodes.get(v, []) for r in rules for v, known in r.structure.nodes.items()]
+    steps = [s.labels for r in rules for s in r.structure.steps]
+    nodes, edges = graph.nodes, graph.edges
+    if all(labels) and not any("Entity" in known for known in labels):
+        wanted = {x.split("/")[0] for known in labels for x in known} | {x for kind, x in made if kind == "node"}
+        nodes = nodes.where(F.col("label").isin(sorted(wanted)))
+    if all(steps):
+        wanted = {x for known in steps for x in known} | {x for kind, x in made if kind == "edge"} | {"belongTo"}
+        edges = edges.where(F.col("label").isin(sorted(wanted)))
+    return Graph(cut(nodes), cut(edges))
+
+
+def _added(graph: Graph, found: Graph, made: set[tuple[str, str]], keep: bool = False) -> tuple[Graph, Graph]:
+    """The graph with what it lacks of ``found``, and that; ``keep`` writes it to the shared folder."""
+    edges, nodes = (sorted(x for kind, x in made if kind == k) for k in ("edge", "node"))
+    new_edges, new_nodes = found.edges.limit(0), found.nodes.limit(0)
+    if edges:
+        new_edges = found.edges.dropDuplicates(ENDS).join(graph.edges.where(F.col("label").isin(edges)).select(*ENDS), ENDS, "left_anti").select(*EDGE_COLUMNS)
+    if nodes:
+        new_nodes = found.nodes.dropDuplicates(["id", "label"]).join(graph.nodes.where(F.col("label").isin(nodes)).select("id", "label"), ["id", "label"], "left_anti").select(*NODE_COLUMNS)
+    new = Graph(cut(new_nodes) if keep else new_nodes, cut(new_edges) if keep else new_edges)
+    return graph.plus(new), new
+
+
 def fixpoint(seed: DataFrame, step, keys: list[str], most: int = 50) -> DataFrame:
     """``step(new rows)`` until nothing is new; each round is cut in the shared folder."""
     known = new = cut(seed.select(*keys).distinct())
@@ -209,10 +335,13 @@ def fixpoint(seed: DataFrame, step, keys: list[str], most: int = 50) -> DataFram
     raise RuleError(f"no fixpoint within {most} rounds")
 
 
-def reasoning(graph: Graph, subject: str | None = None, predicate: str | None = None, obj: str | None = None) -> DataFrame:
-    """Facts by any of subject, predicate and object."""
-    rows = graph.edges
-    for column, value in (("from_id", subject), ("label", predicate), ("to_id", obj)):
-        if value is not None:
-            rows = rows.where(F.col(column) == value)
-    return rows.select(F.col("from_id").alias("s"), F.col("label").alias("p"), F.col("to_id").alias("o"))
+def reasoning(graph: Graph, subject: str | tuple[str, str] | None = None, predicate: str | None = None, obj: str | tuple[str, str] | None = None) -> DataFrame:
+    """Facts (s, s_type, p, o, o_type) by any of subject, predicate and object; an end is an id of any label, or (id, label)."""
+    rows = graph.edges if predicate is None else graph.edges.where(F.col("label") == predicate)
+    for side, end in (("from", subject), ("to", obj)):
+        if end is not None:
+            identifier, label = end if isinstance(end, tuple) else (end, None)
+            rows = rows.where(F.col(f"{side}_id") == identifier)
+            if label is not None:
+                rows = rows.where(F.col(f"{side}_type") == label)
+    return rows.select(F.col("from_id").alias("s"), F.col("from_type").alias("s_type"), F.col("label").alias("p"), F.col("to_id").alias("o"), F.col("to_type").alias("o_type"))

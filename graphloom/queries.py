@@ -578,8 +578,26 @@ SELECT s, o, 1 AS hops FROM p1 UNION ALL SELECT s, o, 2 FROM p2 UNION ALL SELECT
 def path_var_1_3(spark, d):
     rows = t(spark, d, "nation")
     edges = as_edges(rows, F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), "Nation", "partOf", F.concat(F.lit("r"), F.col("n_regionkey").cast("string")), "Region")
-    starts = spark.createDataFrame([("n1",)], "id string")
-    return patterns.variable_paths(edges, 1, 3, True, starts).select(F.col("start").alias("s"), F.col("end").alias("o"), "hops")
+    starts = spark.createDataFrame([("n1", "Nation")], "id string, label string")
+    return patterns.variable_paths(edges, 1, 3, True, starts).select(F.col("start.id").alias("s"), F.col("end.id").alias("o"), "hops")
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, s_nationkey AS n, n_regionkey AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT CAST(a.k AS VARCHAR) AS s, CAST(b.k AS VARCHAR) AS o, CAST(CASE WHEN a.n = b.n THEN 2 ELSE 4 END AS INTEGER) AS hops FROM s a JOIN s b ON a.r = b.r AND a.k <> b.k""")
+def path_var_places(spark, d):
+    """Suppliers of one region, by paths that meet half-way; nodes of four labels share their ids."""
+    rows = patterns.Matcher(place_graph(spark, d)).bind(patterns.parse("MATCH (s:Supplier)-[p:locatedIn|partOf*1..4]-(o:Supplier) RETURN s, o"))
+    return rows.select(F.col("s_id").alias("s"), F.col("o_id").alias("o"), F.col("p_hops").alias("hops"))
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS s, CAST(n_regionkey AS VARCHAR) AS o, s_name || ' locatedIn ' || n_name || '; ' || n_name || ' partOf ' || r_name AS sentence
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def path_texts(spark, d):
+    """Paths as sentences."""
+    g = place_graph(spark, d)
+    ends = [g.nodes.where(F.col("label") == x).select("id", "label") for x in ("Supplier", "Region")]
+    paths = patterns.variable_paths(g.edges, 2, 2, False, *ends)
+    return patterns.path_sentences(paths, g.nodes).select(F.col("start.id").alias("s"), F.col("end.id").alias("o"), "sentence")
 
 
 @query("SELECT 's' || s_suppkey AS s, 'r' || n_regionkey AS o, CAST(2 AS INTEGER) AS hops FROM supplier JOIN nation ON s_nationkey = n_nationkey")
@@ -599,6 +617,27 @@ def path_exists_filter(spark, d):
     return patterns.existing(rows, g.edges, "n", "partOf", "2").select("c_id")
 
 
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS s, n_name AS nation FROM customer JOIN nation n ON c_nationkey = n_nationkey
+WHERE c_acctbal > 1000 AND EXISTS (SELECT 1 FROM region WHERE r_regionkey = n_regionkey AND r_name IN ('ASIA', 'EUROPE'))
+AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal < 0 AND EXISTS (SELECT 1 FROM customer x WHERE x.c_nationkey = n_nationkey AND x.c_acctbal < -900))""")
+def path_exists_text(spark, d):
+    """Sub-patterns in a condition, one inside the other."""
+    text = """MATCH (c:Customer)-[:locatedIn]->(n:Nation)
+        WHERE c.balance > 1000 AND EXISTS { (n)-[:partOf]->(r:Region) WHERE r.name in ('ASIA', 'EUROPE') }
+        AND NOT EXISTS { (x:Supplier)-[:locatedIn]->(n) WHERE x.balance < 0 AND EXISTS { (y:Customer)-[:locatedIn]->(n) WHERE y.balance < -900 } }
+        RETURN c.id AS s, n.name AS nation"""
+    return patterns.Matcher(place_graph(spark, d)).run(text)
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS s FROM customer WHERE c_acctbal > 9000 OR NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)""")
+def path_exists_or(spark, d):
+    """A sub-pattern under or."""
+    o = t(spark, d, "orders")
+    orders = as_nodes(o, F.col("o_orderkey"), "Order", properties=properties_of(amount=F.col("o_totalprice")))
+    g = Graph(customers(spark, d).unionByName(orders), as_edges(o, F.col("o_custkey"), "Customer", "placed", F.col("o_orderkey"), "Order"))
+    return patterns.Matcher(g).run("MATCH (c:Customer) WHERE c.balance > 9000 OR NOT EXISTS { (c)-[:placed]->(o:Order) WHERE o.amount > 100000 } RETURN c.id AS s")
+
+
 @query("SELECT CAST(c_custkey AS VARCHAR) AS s, CAST(s_suppkey AS VARCHAR) AS o FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_mktsegment = 'FURNITURE'")
 def pattern_shared(spark, d):
     return patterns.Matcher(place_graph(spark, d)).run("MATCH (s:Customer)-[:locatedIn]->(n:Nation), (n)<-[:locatedIn]-(o:Supplier) WHERE s.segment == 'FURNITURE' RETURN s, o")
@@ -729,6 +768,40 @@ def rule_on_rule(spark, d):
     return rules.derive_all(place_graph(spark, d), known, types={"balance": "double"}).edges.where("label IN ('local', 'nearby')").select("from_id", "label", "to_id")
 
 
+@query("""WITH RECURSIVE n AS (SELECT o_orderkey AS k, o_custkey AS c, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS next FROM orders),
+r AS (SELECT k AS s, next AS o FROM n WHERE next IS NOT NULL UNION SELECT r.s, n.next FROM r JOIN n ON n.k = r.o WHERE n.next IS NOT NULL)
+SELECT CAST(s AS VARCHAR) AS s, CAST(o AS VARCHAR) AS o FROM r""")
+def rule_recursive(spark, d):
+    """A relation that is defined by itself, twice in one rule: all later orders of the customer."""
+    o = t(spark, d, "orders")
+    after = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    chain = o.select("o_orderkey", after.alias("next")).where("next IS NOT NULL")
+    g = Graph(as_nodes(o, F.col("o_orderkey"), "Order"), as_edges(chain, F.col("o_orderkey"), "Order", "next", F.col("next"), "Order"))
+    known = {
+        "first": rules.parse_rule("Define (s:Order)-[p:before]->(o:Order) { Structure { (s)-[:next]->(o) } Constraint { } }"),
+        "far": rules.parse_rule("Define (s:Order)-[p:before]->(o:Order) { Structure { (s)-[:before]->(m:Order)\n (m)-[:before]->(o) } Constraint { } }"),
+    }
+    return rules.derive_all(g, known).edges.where("label = 'before'").select(F.col("from_id").alias("s"), F.col("to_id").alias("o"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT 'Nation' AS k, n_nationkey AS i FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < -500
+UNION SELECT CASE WHEN k = 'Nation' THEN 'Region' ELSE 'Nation' END, CASE WHEN k = 'Nation' THEN n_regionkey ELSE n_nationkey END FROM e JOIN nation ON (k = 'Nation' AND n_nationkey = i) OR (k = 'Region' AND n_regionkey = i))
+SELECT 'Customer' AS from_type, CAST(c_custkey AS VARCHAR) AS from_id, 'NationAlert' AS to_type, CAST(c_nationkey AS VARCHAR) AS to_id FROM customer WHERE c_acctbal < -500
+UNION ALL SELECT 'NationAlert', CAST(n_nationkey AS VARCHAR), 'RegionAlert', CAST(n_regionkey AS VARCHAR) FROM e JOIN nation ON k = 'Nation' AND n_nationkey = i
+UNION ALL SELECT 'RegionAlert', CAST(n_regionkey AS VARCHAR), 'NationAlert', CAST(n_nationkey AS VARCHAR) FROM e JOIN nation ON k = 'Region' AND n_regionkey = i""")
+def rule_lead_to_end(spark, d):
+    """Actions that create what other rules start from, in a circle, until nothing is new."""
+    about = "createNodeInstance(id={0}, type={1}Alert)\n createEdgeInstance(src={0}, dst={0}, srcType={1}Alert, dstType={1}, type=about)"
+    leads = "createEdgeInstance(src={0}, dst={1}, srcType={2}, dstType={3}Alert, type=leadTo)"
+    known = {
+        "start": f"Define (s:Customer)-[p:leadTo]->(x:NationAlert) {{ Structure {{ (s)-[:locatedIn]->(n:Nation) }} Constraint {{ s.balance < -500 }} Action {{ {about.format('n', 'Nation')}\n {leads.format('s', 'n', 'Customer', 'Nation')} }} }}",
+        "up": f"Define (a:NationAlert)-[p:leadTo]->(x:RegionAlert) {{ Structure {{ (a)-[:about]->(n:Nation)\n (n)-[:partOf]->(r:Region) }} Constraint {{ }} Action {{ {about.format('r', 'Region')}\n {leads.format('a', 'r', 'NationAlert', 'Region')} }} }}",
+        "down": f"Define (a:RegionAlert)-[p:leadTo]->(x:NationAlert) {{ Structure {{ (a)-[:about]->(r:Region)\n (n:Nation)-[:partOf]->(r) }} Constraint {{ }} Action {{ {about.format('n', 'Nation')}\n {leads.format('a', 'n', 'RegionAlert', 'Nation')} }} }}",
+    }
+    found = rules.derive_all(place_graph(spark, d), {n: rules.parse_rule(x) for n, x in known.items()}, types={"balance": "double"})
+    return found.edges.where("label = 'leadTo'").select("from_type", "from_id", "to_type", "to_id")
+
+
 @query("SELECT 'Alert' AS label, CAST(c_custkey AS VARCHAR) AS id, NULL AS to_id FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'owesIn', CAST(c_custkey AS VARCHAR), CAST(c_nationkey AS VARCHAR) FROM customer WHERE c_acctbal < 0")
 def rule_actions(spark, d):
     """Nodes and edges that a rule creates."""
