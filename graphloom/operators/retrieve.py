@@ -76,26 +76,19 @@ def self_cognition(queries: DataFrame) -> DataFrame:
     return queries.withColumn("self_question", model("is_self_question")(F.col("text")))
 
 
-def ppr_chunks(graph: Graph, linked: DataFrame, texts: DataFrame, k: int, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+def ppr_chunks(graph: Graph, linked: DataFrame, texts: DataFrame, k: int, damping: float = 0.85, least: float = 1e-6) -> DataFrame:
     """T4: PageRank from each query's linked entities; the last of the k hits gives way to the best text hit if that is absent.
 
-    One rank vector per query, all in one set of joins: ``linked(query_id, id)``,
-    ``texts(query_id, id, score, rank)``.
+    ``linked(query_id, id, label)``, or of all labels of an id without ``label``;
+    ``texts(query_id, id, score, rank)``.  Residuals are pushed from each query's
+    entities (``search.pushed_pagerank``), so only their neighbourhoods are visited.
     """
-    edges = graph.edges.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
-    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
-    flow = search.cut(both.join(both.groupBy("src").agg(F.sum("w").alias("t")), "src").select("src", "dst", (F.col("w") / F.col("t")).alias("share")))
-    starts = linked.select("query_id", "id").distinct()
-    reset = search.cut(starts.withColumn("reset", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("query_id"))))
-    ranks = reset.select("query_id", "id", F.col("reset").alias("score"))
-    for i in range(rounds):
-        came = ranks.join(flow, ranks.id == flow.src).select("query_id", F.col("dst").alias("id"), (damping * F.col("score") * F.col("share")).alias("score"))
-        back = reset.select("query_id", "id", ((1 - damping) * F.col("reset")).alias("score"))
-        ranks = came.unionByName(back).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
-        if i % 5 == 4:
-            ranks = search.cut(ranks)
-    chunks = graph.nodes.where(F.col("label") == "Chunk").select("id")
-    hits = top(ranks.join(chunks, "id", "left_semi"), k)
+    key = lambda i, label: F.struct(F.col(i).alias("id"), F.col(label).alias("label")).cast("struct<id:string,label:string>")
+    edges = graph.edges.select(key("from_id", "from_type").alias("src"), key("to_id", "to_type").alias("dst"))
+    if "label" not in linked.columns:
+        linked = linked.join(graph.nodes.select("id", "label").distinct(), "id")
+    ranks = search.pushed_pagerank(edges, linked.select("query_id", key("id", "label").alias("id")), damping, least)
+    hits = top(ranks.where(F.col("id.label") == "Chunk").select("query_id", F.col("id.id").alias("id"), "score"), k)
     return with_text_hit(hits, texts, k)
 
 
@@ -177,7 +170,8 @@ def triple_text(s: Column, p: Column, o: Column) -> Column:
 def fuzzy_chunks(graph: Graph, starts: DataFrame, question: str, texts: DataFrame, k: int) -> DataFrame:
     """Ends of fuzzy triples start the PageRank of T4."""
     found = fuzzy_one_hop(graph, starts, question)
-    ends = found.select(F.explode(F.array("s_id", "o_id")).alias("id")).distinct().withColumn("query_id", F.lit(question))
+    ends = found.select(F.explode(F.array(F.struct(F.col("s_id").alias("id"), F.col("s_type").alias("label")), F.struct(F.col("o_id").alias("id"), F.col("o_type").alias("label")))).alias("x"))
+    ends = ends.select("x.id", "x.label").distinct().withColumn("query_id", F.lit(question))
     return ppr_chunks(graph, ends, texts, k)
 
 

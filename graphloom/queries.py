@@ -6,6 +6,7 @@ are nodes, foreign keys are edges, line items are payments with sub-properties.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,12 +15,14 @@ from pyspark.sql import functions as F
 from graphloom.functions import metrics, models
 from graphloom.functions import text as tx
 from graphloom.functions.vectors import as_doubles, cosine
-from graphloom.operators import extract, fusion, mapping, retrieve, search, split
+from graphloom.operators import extract, fusion, indexes, mapping, retrieve, search, split
 from graphloom.operators import graph as gr
 from graphloom.operators.graph import Graph, as_edges, as_nodes, properties_of
+from graphloom.operators.store import GraphStore
 from graphloom.plans import patterns, rules, solve
 from graphloom.plans.flow import build_unstructured
 from graphloom.plans.logicform import LogicFormRunner
+from graphloom.session import shared_dir
 from graphloom.sources import read, scan
 from graphloom.streaming import incremental
 
@@ -435,6 +438,37 @@ def bm25_topk(spark, d):
     return search.bm25(index, stats, queries, 5).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
+def index_path(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(BM25.replace("FROM documents)", "FROM documents WHERE source IS DISTINCT FROM 'src3')") + "SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 5")
+def bm25_stored(spark, d):
+    """A stored index: built, refreshed with more documents, some of them deleted, searched with pruned blocks."""
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    index = indexes.TextIndex.build(docs.where("id % 2 = 0").select("id", "text"), index_path(spark, "text-index"))
+    index.refresh(docs.where("id % 2 <> 0").select("id", "text"))
+    index.delete(docs.where("source = 'src3'").select("id"))
+    queries = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return index.search(queries, 5).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ({BATCH}) WHERE rank <= 5")
+def vec_stored_all(spark, d):
+    """A stored index of vectors that probes all its cells: the exact scan."""
+    rows, queries = vectors(spark, d)
+    index = indexes.VectorIndex.build(rows.where("id % 3 <> 0").select("id", "vec"), index_path(spark, "vector-index"))
+    index.refresh(rows.where("id % 3 = 0").select("id", "vec"))
+    return index.search(queries, 5, probes=1024).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def vec_stored_topk(spark, d):
+    """As many cells as the index has measured for its recall; tests compare with the exact scan."""
+    rows, queries = vectors(spark, d)
+    return indexes.VectorIndex.build(rows, index_path(spark, "vector-index")).search(queries, 10)
+
+
 @query("""WITH n AS (SELECT DISTINCT name FROM (SELECT array_to_string(string_split(text, ' ')[1:3], ' ') AS name FROM benchmark) WHERE length(name) > 8),
 k AS (SELECT name, ' ' || array_to_string(regexp_split_to_array(lower(name), '[^\\p{L}\\p{N}#]+'), ' ') || ' ' AS key FROM n),
 x AS (SELECT doc_id, ' ' || array_to_string(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}#]+'), ' ') || ' ' AS words FROM documents)
@@ -487,12 +521,55 @@ def ppr_sql(rounds: int, damping: float, reset: str, directed: bool) -> str:
     return f"WITH {', '.join(p.replace(' AS (', ' AS MATERIALIZED (', 1) for p in parts)} SELECT id, round(score, 8) AS score FROM r{rounds}"
 
 
+@query("""WITH c AS (SELECT *, c_custkey % 7 = 0 AS gone, c_acctbal < 0 AS new FROM customer)
+SELECT 'Customer' AS label, CAST(c_custkey AS VARCHAR) AS id, CASE WHEN new THEN 'owing ' || c_name ELSE c_name END AS name, CASE WHEN new THEN 'yes' END AS owes, c_mktsegment AS segment, CAST(NOT gone AS INTEGER) AS edges FROM c WHERE NOT gone
+UNION ALL SELECT 'Supplier', CAST(s_suppkey AS VARCHAR), s_name, NULL, NULL, 1 FROM supplier UNION ALL SELECT 'Nation', CAST(n_nationkey AS VARCHAR), n_name, NULL, NULL, 1 FROM nation UNION ALL SELECT 'Region', CAST(r_regionkey AS VARCHAR), r_name, NULL, NULL, 0 FROM region""")
+def graph_store_merges(spark, d):
+    """A stored graph: written, some nodes changed, others deleted with their edges, compacted and read again."""
+    g = place_graph(spark, d)
+    store = GraphStore(spark, index_path(spark, "graph"), "Places", fan_in=2)
+    store.upsert(g)
+    owing = g.nodes.where("label = 'Customer' AND CAST(properties['balance'] AS DOUBLE) < 0")
+    store.upsert(Graph(owing.select("id", F.concat(F.lit("owing "), "name").alias("name"), "label", F.create_map(F.lit("owes"), F.lit("yes")).alias("properties")), g.edges.limit(0)))
+    store.delete(g.nodes.where("label = 'Customer' AND CAST(id AS BIGINT) % 7 = 0").select("id", "label"))
+    store.compact()
+    again = store.read()
+    out = again.edges.groupBy(F.col("from_id").alias("id"), F.col("from_type").alias("label")).agg(F.count(F.lit(1)).cast("int").alias("edges"))
+    named = again.nodes.join(out, ["id", "label"], "left")
+    return named.select("label", "id", "name", F.col("properties")["owes"].alias("owes"), F.col("properties")["segment"].alias("segment"), F.coalesce("edges", F.lit(0)).alias("edges"))
+
+
 @query(ppr_sql(8, 0.5, "id IN ('r0', 'n1')", False))
 def ppr_undirected(spark, d):
     edges, ids = small_graph(spark, d)
     return search.pagerank(edges, ids, ids.where("id IN ('r0', 'n1')"), 0.5, 8).select("id", F.round("score", 8).alias("score"))
 
 
+@query(f"WITH e AS ({EDGES}) SELECT q AS query_id, id, TRUE AS near FROM (SELECT DISTINCT unnest([src, dst]) AS id FROM e), (VALUES ('a'), ('b')) x(q)")
+def ppr_pushed(spark, d):
+    """Pushed scores of two queries against the rounds of all vertices: not above, and within the stated bound below."""
+    edges, ids = small_graph(spark, d)
+    starts = spark.createDataFrame([("a", "r0"), ("a", "n1"), ("b", "s1")], "query_id string, id string")
+    pushed = search.pushed_pagerank(edges, starts, 0.5, 1e-4)
+    exact = [search.pagerank(edges, ids, starts.where(F.col("query_id") == q).select("id"), 0.5, 30).withColumn("query_id", F.lit(q)) for q in ("a", "b")]
+    both = exact[0].unionByName(exact[1]).withColumnRenamed("score", "exact").join(pushed, ["query_id", "id"], "left")
+    gap = F.col("exact") - F.coalesce("score", F.lit(0.0))
+    return both.select("query_id", "id", ((gap > -1e-8) & (gap <= F.coalesce("bound", F.lit(1e-4)) + 1e-8)).alias("near"))
+
+
+@query("""WITH h AS (SELECT s.s_suppkey AS q, n.n_nationkey AS id, 1.0 AS score FROM supplier s JOIN nation n ON s_nationkey = n_nationkey)
+SELECT CAST(q AS VARCHAR) AS query_id, CAST(id AS VARCHAR) AS id, 1 AS rank FROM h""")
+def ppr_chunk_hits(spark, d):
+    """The chunk that each supplier is nearest to: nations stand for chunks, and share ids with suppliers."""
+    g = place_graph(spark, d)
+    chunked = F.when(F.col("label") == "Nation", "Chunk").otherwise(F.col("label"))
+    edges = g.edges.where("from_type <> 'Customer'").withColumn("to_type", F.when(F.col("to_type") == "Nation", "Chunk").otherwise(F.col("to_type"))).withColumn("from_type", F.when(F.col("from_type") == "Nation", "Chunk").otherwise(F.col("from_type")))
+    g = Graph(g.nodes.withColumn("label", chunked), edges)
+    linked = g.nodes.where("label = 'Supplier'").select(F.col("id").alias("query_id"), "id", "label")
+    texts = spark.createDataFrame([], "query_id string, id string, score double, rank int")
+    return retrieve.ppr_chunks(g, linked, texts, 1, least=1e-3).select("query_id", "id", F.col("rank").cast("int").alias("rank"))
+
+
 @query(ppr_sql(6, 0.85, "id IN ('n0', 's1')", True))
 def ppr_directed(spark, d):
     edges, ids = small_graph(spark, d)
