@@ -4,9 +4,11 @@ A shared random walk turns a text into a longer string: at step j the current
 character c is written, and the walk goes on to the next character if the random bit
 ``R[c, j]`` is 1.  All texts share R, so two texts that differ by few edits fall into
 step again, and the edit distance becomes a Hamming distance of the embedded strings.
+R has ``CLASSES`` rows; a character beyond U+007F walks by a row that a hash of its code
+point chooses, so such characters may walk alike, but what is sampled tells them apart.
 
-The fingerprint keeps ``SAMPLES`` sampled places of the embedded string, four hashed
-bits each.  Places are drawn evenly over the whole length, consistently: sample s
+The fingerprint keeps ``SAMPLES`` sampled places of the embedded string, four bits of
+a hash of the place's code point and the sample each.  Places are drawn evenly over the whole length, consistently: sample s
 takes the last record of a random sequence before the string's end, so strings of
 nearly equal length share most places.  ``near_pairs`` bands the sampled bits and
 verifies what meets in a band.
@@ -32,13 +34,13 @@ from graphloom.llm.text import mix, sliced, widened
 from graphloom.session import cut, shuffle_partitions
 
 SAMPLES, CLASSES, PERIOD = 128, 256, 4096
+#: The hash of the place without a character, beyond all code points.
+NOTHING = np.uint64(1 << 32)
 NULL_ID = -(1 << 63)
 #: Classes of a bucket that are compared with each other at a time, on average.
 BLOCK_ROWS = 1024
 #: Buckets that are broadcast at most; more are joined by shuffle.
 BROADCAST_BANDS = 1_000_000
-#: Class of the places of a text without characters.
-PAD = 0
 
 
 class Walk:
@@ -53,7 +55,7 @@ class Walk:
         for j in range(PERIOD - 2, -1, -1):
             step[:, j] = np.where(bits[:, j], 1, step[:, j + 1] + 1)
         self.step = step.reshape(-1)
-        self.nibble = rng.integers(0, 16, (SAMPLES, CLASSES)).astype(np.uint8)
+        self.salt = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
         self.records = []
         for _ in range(SAMPLES):
             places, j = [0], 0
@@ -66,7 +68,6 @@ class Walk:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         kind = np.where(points < 128, points, (128 + (mix(points.astype(np.uint64)) & np.uint64(127)).astype(np.uint32))).astype(np.uint32)
-        kind = np.where(kind == PAD, 1, kind)
         shifted = kind * np.uint32(PERIOD)
         offs = np.concatenate([[0], np.cumsum(lengths)])
         order = np.argsort(-lengths, kind="stable")
@@ -85,13 +86,12 @@ class Walk:
         end[order] = place
         picks = np.stack([r[np.searchsorted(r, np.maximum(end, 1), "left") - 1] for r in self.records], 1)
         out = np.empty((len(texts), SAMPLES), np.uint8)
-        which = np.arange(SAMPLES)
         for n, (lo, hi) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
             if hi > lo:
                 char = lo + np.searchsorted(starts[lo:hi], picks[n], "right") - 1
-                out[n] = self.nibble[which, kind[char]]
+                out[n] = mix(points[char].astype(np.uint64) ^ self.salt) >> np.uint64(60)
             else:
-                out[n] = self.nibble[which, PAD]
+                out[n] = mix(NOTHING ^ self.salt) >> np.uint64(60)
         packed = out[:, ::2] << 4 | out[:, 1::2]
         return [row.tobytes().hex() for row in packed]
 

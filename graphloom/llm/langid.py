@@ -69,12 +69,10 @@ def grams(texts: Texts, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
     Runs of separators, which are code point 0, count as one.
     """
-    points = np.frombuffer(texts.data.tobytes().decode().lower().encode("utf-32-le"), np.uint32)
-    offs = texts.codepoint_offsets()
-    if len(points) != offs[-1]:  # lower-casing lengthened some text: take them one at a time
-        each = [t.lower() for t in _strings(texts)]
-        points = np.frombuffer("".join(each).encode("utf-32-le"), np.uint32)
-        offs = np.concatenate([[0], np.cumsum([len(t) for t in each])]).astype(np.int64)
+    # a final sigma is told from others by what follows, so no text may follow another
+    each = [t.lower() for t in _strings(texts)]
+    points = np.frombuffer("".join(each).encode("utf-32-le"), np.uint32)
+    offs = np.concatenate([[0], np.cumsum([len(t) for t in each])]).astype(np.int64)
     points = np.where(table[points], points, 0)
     doc = np.repeat(np.arange(len(texts)), np.diff(offs))
     letter = np.zeros(len(texts), bool)
