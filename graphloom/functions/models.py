@@ -37,13 +37,15 @@ def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """Signed hashing of words to a unit vector; blank text is embedded as ``none``."""
     shown = F.when(F.trim(F.coalesce(text, F.lit(""))) == "", F.lit("none")).otherwise(text)
     tokens = F.filter(F.split(F.lower(shown), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    cells = F.transform(tokens, lambda w: F.pmod(F.xxhash64(w), F.lit(2 * dim)))
-    counts = F.transform(
+    held = F.array(F.transform(tokens, lambda w: F.pmod(F.xxhash64(w), F.lit(2 * dim))))
+    count = lambda cells: F.transform(
         F.sequence(F.lit(0), F.lit(dim - 1)),
         lambda i: (F.size(F.filter(cells, lambda c: c == i)) - F.size(F.filter(cells, lambda c: c == i + dim))).cast("double"),
     )
-    size = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(size > 0, x / size).otherwise(0.0))
+    counts = F.element_at(F.transform(held, count), 1)
+    # arrays of one element name what is used more than once, so it is made once
+    sized = F.transform(F.array(counts), lambda c: F.struct(c.alias("c"), F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x)).alias("n")))
+    return F.element_at(F.transform(sized, lambda s: F.transform(s["c"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(0.0))), 1)
 
 
 @register("rerank")
@@ -86,6 +88,13 @@ def nearest_sentence(question: Column, context: Column) -> Column:
     return F.try_element_at(ranked, F.lit(1))["s"]
 
 
+@register("rewrite")
+def without_question_words(text: Column) -> Column:
+    """Other wordings of a question: what is left without its question words, and each part between commas and ``and``."""
+    bare = F.trim(F.regexp_replace(text, r"(?i)^\s*(?:(?:who|what|which|where|when|how|why|is|are|was|were|does|do|did|the)\b\s*)+", ""))
+    return F.array_except(F.array_distinct(F.concat(F.array(bare), F.transform(F.split(bare, r"(?i),|\band\b"), lambda x: F.trim(x)))), F.array(text, F.lit("")))
+
+
 @register("judge")
 def is_answer(answer: Column) -> Column:
     """Whether there is an answer that does not say that it knows none."""

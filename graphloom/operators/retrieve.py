@@ -54,6 +54,37 @@ def linked_entities(named: DataFrame, fallback: DataFrame | None = None, describ
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def link_mentions(graph: Graph, mentions: DataFrame, k_of: dict[str, int] | None = None, k: int = 1, least: float = 0.7, excluded: list[str] | None = None, described: str | None = None) -> DataFrame:
+    """(query_id, mention, id, label, score, rank) of ``mentions(query_id, mention, type)``, from their text.
+
+    An entity scores 1 by its name in any case, else the cosine of the embedded names or,
+    with the property ``described``, of its description; the score is adjusted to the
+    wanted type (E2; a null type is none); of equal scores equal names come first.  A mention gets ``k_of`` its type, or ``k``.
+    Each distinct name is embedded once; only those are compared with mentions.
+    """
+    nodes = graph.nodes.where(~F.col("label").isin(excluded)) if excluded else graph.nodes
+    wanted = mentions.select("query_id", "mention", F.col("type").alias("wanted")).distinct()
+    asked = search.vectorized(wanted.select("mention").distinct(), "mention", "qvec").where("qvec IS NOT NULL").select(F.col("mention").alias("query_id"), "qvec")
+    named = nodes.select("id", "label", F.col("name").alias("text"))
+    texts = named if described is None else named.unionByName(nodes.select("id", "label", F.col("properties").getItem(described).alias("text")).where("text IS NOT NULL"))
+    once = search.vectorized(texts.select("text").distinct(), "text", "vec").where("vec IS NOT NULL").select(F.col("text").alias("id"), "vec")
+    deep = max([k, *(k_of or {}).values()])
+    # several entities may share a text, so as many texts suffice
+    near = search.top_vectors_batch(search.cut(once), asked, deep).select(F.col("query_id").alias("mention"), F.col("id").alias("text"), "score")
+    exact = wanted.select("mention").distinct().join(named.select(F.lower("text").alias("low"), "text").distinct(), F.lower("mention") == F.col("low")).select("mention", "text", F.lit(1.0).alias("score"))
+    both = near.withColumn("same", F.lit(0)).unionByName(exact.withColumn("same", F.lit(1)))
+    hits = both.join(texts, "text").groupBy("mention", "id", "label").agg(F.max("score").alias("score"), F.max("same").alias("same"))
+    rows = wanted.join(hits, "mention")
+    embed = model("embed")
+    kinds = search.cut(rows.where("wanted IS NOT NULL AND wanted <> label").select("wanted", "label").distinct()).withColumn("similar", cosine(embed(F.col("wanted")), embed(F.col("label"))))
+    rows = rows.join(kinds, ["wanted", "label"], "left").withColumn("score", type_adjusted(F.col("score"), F.col("label"), F.col("wanted"), F.coalesce("similar", F.lit(0.0)))).where(F.col("score") >= least)
+    most = F.lit(k)
+    for kind, n in (k_of or {}).items():
+        most = F.when(F.col("wanted") == kind, n).otherwise(most)
+    order = Window.partitionBy("query_id", "mention", "wanted").orderBy(F.desc(F.round("score", 9)), F.desc("same"), "id", "label")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("query_id", "mention", "id", "label", "score", "rank")
+
+
 def type_adjusted(score: Column, label: Column, wanted: Column, similarity: Column) -> Column:
     """Full score for the wanted type, 0.3 of it without one, else by the types' similarity (0.3 below 0.6)."""
     return score * F.when(label == wanted, 1.0).when(wanted.isNull(), 0.3).otherwise(F.when(similarity < 0.6, 0.3).otherwise(similarity))
@@ -130,6 +161,27 @@ def atomic_query_chunks(graph: Graph, hits: DataFrame, contents: DataFrame, leas
     return found.withColumn("part", F.lit(0)).unionByName(rest.withColumn("part", F.lit(1)))
 
 
+def rewritten_hits(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score): ``rows(id, vec)`` by each question of ``queries(query_id, text)`` and by its other wordings, the best score of each."""
+    asked = queries.select("query_id", F.explode(F.array_distinct(F.concat(F.array("text"), model("rewrite")(F.col("text"))))).alias("text"))
+    vectors = search.vectorized(asked.select("text").distinct(), "text", "qvec").where("qvec IS NOT NULL").select(F.col("text").alias("query_id"), "qvec")
+    found = search.top_vectors_batch(search.cut(rows), vectors, k).select(F.col("query_id").alias("text"), "id", "score")
+    return asked.join(found, "text").groupBy("query_id", "id").agg(F.max("score").alias("score"))
+
+
+def triple_neighbours(graph: Graph, queries: DataFrame, k: int, least: float = 0.7) -> DataFrame:
+    """(query_id, s_id, s_type, rel, o_id, o_type, score): edges whose triple text is near a text of ``queries(query_id, text)``."""
+    names = graph.nodes.select("id", "label", "name")
+    edges = graph.edges.select("from_id", "from_type", F.col("label").alias("rel"), "to_id", "to_type").distinct()
+    for side in ("from", "to"):
+        edges = edges.join(names.select(F.col("id").alias(f"{side}_id"), F.col("label").alias(f"{side}_type"), F.col("name").alias(f"{side}_name")), [f"{side}_id", f"{side}_type"], "left")
+    edges = edges.withColumn("text", triple_text(F.coalesce("from_name", "from_id"), F.col("rel"), F.coalesce("to_name", "to_id")))
+    once = search.vectorized(edges.select("text").distinct(), "text", "vec").select(F.col("text").alias("id"), "vec")
+    asked = search.vectorized(queries.select("query_id", "text"), "text", "qvec").where("qvec IS NOT NULL").select("query_id", "qvec")
+    near = search.top_vectors_batch(search.cut(once), asked, k).where(F.col("score") >= least).select("query_id", F.col("id").alias("text"), "score")
+    return near.join(edges, "text").select("query_id", F.col("from_id").alias("s_id"), F.col("from_type").alias("s_type"), "rel", F.col("to_id").alias("o_id"), F.col("to_type").alias("o_type"), "score")
+
+
 # paths (G1, G2, G4, G6)
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.models import model
 from graphloom.operators.graph import Graph
+from graphloom.operators.retrieve import link_mentions
 from graphloom.plans.expressions import lower
 from graphloom.plans.schema import Catalog
 
@@ -293,8 +294,31 @@ class LogicFormRunner:
 
     def run(self, plan: str) -> DataFrame:
         """The frame of the last action."""
+        return self.act([action for _, action in parse_plan(plan)])
+
+    def linked(self, plan: str, **options) -> DataFrame:
+        """The frame of the last action, where terms are bound by linking their names (E1), not by equal names.
+
+        A name that no entity is near enough to binds nothing.  ``options`` are those of
+        ``retrieve.link_mentions``; a term keeps at most the k entities that it is linked to.
+        """
+        actions = [action for _, action in parse_plan(plan)]
+        named = [t for a in actions for x, t in a.terms.items() if x in "so" and t.name and not t.ids]
+        if named:
+            rows = [(t.alias, t.name, t.types[0] if len(t.types) == 1 and t.types[0] != "Entity" else None) for t in named]
+            mentions = self.graph.nodes.sparkSession.createDataFrame(rows, "query_id string, mention string, type string")
+            # k a mention of the plan
+            found = link_mentions(self.graph, mentions, **options).collect()
+            for term in named:
+                hits = [r for r in found if (r.query_id, r.mention) == (term.alias, term.name)]
+                term.ids = [r.id for r in hits] or [""]
+                term.types = sorted({r.label for r in hits}) or term.types
+                term.name = None
+        return self.act(actions)
+
+    def act(self, actions: list[Action]) -> DataFrame:
         out: DataFrame | None = None
-        for _, action in parse_plan(plan):
+        for action in actions:
             if self.catalog:
                 action = standardised(action, self.catalog)
             if action.kind == "spo":

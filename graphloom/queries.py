@@ -19,9 +19,10 @@ from graphloom.operators import extract, fusion, indexes, mapping, retrieve, sea
 from graphloom.operators import graph as gr
 from graphloom.operators.graph import Graph, as_edges, as_nodes, properties_of
 from graphloom.operators.store import GraphStore
-from graphloom.plans import patterns, rules, solve
+from graphloom.plans import patterns, rules, solve, surface
 from graphloom.plans.flow import build_unstructured
 from graphloom.plans.logicform import LogicFormRunner
+from graphloom.plans.memo import Memo
 from graphloom.session import shared_dir
 from graphloom.sources import read, scan
 from graphloom.streaming import incremental
@@ -1054,3 +1055,80 @@ def payment_shares(spark, d):
     pay = payments(spark, d).groupBy(F.col("srcId").alias("s"), F.col("dstId").alias("o")).agg(F.sum("transAmt").alias("part"))
     share = F.col("part") / F.sum("part").over(Window.partitionBy("s"))
     return pay.withColumn("share", share).where("share > 0.1").select("s", "o", F.round("part", 2).alias("part"), F.round("share", 6).alias("share"))
+
+
+# 2.19 memo, SQL surface and streams
+
+
+@query("""SELECT DISTINCT sha256(text) AS text_key, CAST(len(text) AS BIGINT) AS chars, CAST(ceil(len(text) / 400.0) AS BIGINT) AS pieces FROM documents WHERE text IS NOT NULL AND text <> ''""")
+def memo_pieces(spark, d):
+    """A remembered stage: half of the documents, then all; the second run cuts only what is new."""
+    docs = t(spark, d, "documents").where("text IS NOT NULL AND text <> ''")
+    memo = Memo(spark, index_path(spark, "memo"))
+    cut = lambda rows: rows.select("input_key", F.sha2("text", 256).alias("text_key"), F.length("text").cast("long").alias("chars"), F.ceil(F.length("text") / 400.0).cast("long").alias("pieces"))
+    memo.run("pieces", docs.where("doc_id % 2 = 0"), cut, {"size": 400}, on=["text"])
+    return memo.run("pieces", docs, cut, {"size": 400}, on=["text"]).drop("input_key")
+
+
+@query("""SELECT r_name AS region, c_mktsegment AS segment, CAST(count(*) AS BIGINT) AS n, CAST(sum((c_acctbal < 0)::INTEGER) AS BIGINT) AS owing FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL
+UNION ALL SELECT 'near ' || n_name, 'Customer', count(*), 0 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey = 3 GROUP BY ALL""")
+def sql_surface(spark, d):
+    """A stored graph queried by SQL text alone: typed views and a table function."""
+    store = GraphStore(spark, index_path(spark, "graph"))
+    store.upsert(place_graph(spark, d))
+    surface.register(spark, store.read(), "places_", {"Customer": {"segment": "string", "balance": "double"}})
+    return spark.sql("""SELECT r.name AS region, c.segment, count(*) AS n, sum(CAST(c.balance < 0 AS INT)) AS owing
+        FROM places_customer c JOIN places_edges e ON e.from_type = 'Customer' AND e.from_id = c.id AND e.label = 'locatedIn'
+        JOIN places_edges p ON p.from_type = 'Nation' AND p.from_id = e.to_id AND p.label = 'partOf' JOIN places_nodes r ON r.label = 'Region' AND r.id = p.to_id GROUP BY ALL
+        UNION ALL SELECT 'near ' || n.name, h.label, count(*), 0 FROM places_nodes n JOIN places_one_hop('3', 'Nation') h WHERE n.id = '3' AND n.label = 'Nation' AND h.label = 'Customer' GROUP BY ALL""")
+
+
+@query("SELECT user_id AS id, count(*) AS n FROM (SELECT user_id FROM events GROUP BY user_id) GROUP BY user_id")
+def stream_first_rows(spark, d):
+    """A log replayed file by file: each user is built once, by keys that are the stream's state."""
+    source, out, state = (index_path(spark, n) for n in ("log", "built", "state"))
+    events = t(spark, d, "events").select("user_id", "event_id")
+    for name in ("a", "b"):  # the same rows twice
+        events.repartition(3).write.mode("append").parquet(source)
+        incremental.build_incrementally(incremental.log_stream(spark, source, events.schema, 2), "user_id", lambda rows: rows.select(F.col("user_id").alias("id")), out, state)
+    return spark.read.option("recursiveFileLookup", True).parquet(out).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+
+
+# linking and retrieval from text
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS query_id, 'Supplier' AS label, CAST(s_suppkey AS VARCHAR) AS id, CAST(1 AS INTEGER) AS rank FROM supplier
+UNION ALL SELECT 'r' || r_regionkey, 'Region', CAST(r_regionkey AS VARCHAR), 1 FROM region""")
+def link_mentions_by_text(spark, d):
+    """Names written otherwise than in the graph, wanted types given or not."""
+    g = place_graph(spark, d)
+    s = t(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("query_id"), F.lower("s_name").alias("mention"), F.lit("Supplier").alias("type"))
+    r = t(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("query_id"), F.lower("r_name").alias("mention"), F.lit(None).cast("string").alias("type"))
+    return retrieve.link_mentions(g, s.unionByName(r), least=0.25).select("query_id", "label", "id", F.col("rank").cast("int").alias("rank"))
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 3")
+def exact_retriever_linked(spark, d):
+    """A logic form whose region is named loosely: linked, then two exact hops."""
+    region = t(spark, d, "region").where("r_regionkey = 3").first()["r_name"]
+    plan = f"Step1: Nations?\nAction1: get_spo(s=n1:Nation, p=p1:partOf, o=r1:Region[{region.lower()}])\nStep2: Suppliers?\nAction2: get_spo(s=s1:Supplier, p=p2:locatedIn, o=n1:Nation)\nStep3: Which?\nAction3: output(s1)"
+    return LogicFormRunner(place_graph(spark, d)).linked(plan).select("id", "name")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS query_id, CAST(n_nationkey AS VARCHAR) AS s_id, 'partOf' AS rel, CAST(n_regionkey AS VARCHAR) AS o_id FROM nation")
+def triple_text_neighbours(spark, d):
+    """Each nation's region asked by a triple's words, in another order."""
+    g = place_graph(spark, d)
+    asked = t(spark, d, "nation").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("string").alias("query_id"), F.concat_ws(" ", F.lower("r_name"), F.lit("partof"), F.lower("n_name")).alias("text"))
+    near = Graph(g.nodes, g.edges.where("label = 'partOf'"))
+    # the vectors of the default model are small, so that other words may fall together
+    return retrieve.triple_neighbours(near, asked, 5, 0.999).where("s_id = query_id").select("query_id", "s_id", "rel", "o_id")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS query_id, n_name AS id FROM nation")
+def rewritten_questions(spark, d):
+    """A name asked for in a question is found by one of the question's other wordings."""
+    nations = t(spark, d, "nation")
+    rows = search.vectorized(nations.select(F.col("n_name").alias("id")), "id", "vec")
+    asked = nations.select(F.col("n_nationkey").cast("string").alias("query_id"), F.concat(F.lit("Where is the "), F.lower("n_name"), F.lit(" and everything else that was written about this subject?")).alias("text"))
+    return retrieve.rewritten_hits(rows, asked, 3).join(nations.select(F.col("n_nationkey").cast("string").alias("query_id"), F.col("n_name").alias("id")), ["query_id", "id"]).where("score > 0.999").select("query_id", "id")

@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.operators.graph import Graph
+from graphloom.operators.store import GraphStore
 from graphloom.session import shared_dir
+from graphloom.sources.manifest import Manifest
 
 
 def log_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1, pattern: str | None = None) -> DataFrame:
@@ -44,22 +47,53 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
-def build_incrementally(stream: DataFrame, key: str, build: Callable[[DataFrame], DataFrame], out: str, state: str) -> None:
-    """Runs ``build`` on rows whose key no earlier run has processed, and remembers their keys.
+def first_rows(stream: DataFrame, key: str, time: str | None = None, late: str | None = None) -> DataFrame:
+    """The first row of each key; the keys are state of the stream, held by partition of the key and looked up, never reread.
 
-    ``build``'s rows are written before the keys, both under the batch number, so a
-    repeated batch overwrites itself and nothing is lost or doubled.
+    With ``time`` and ``late`` a key is forgotten when the watermark has passed it by
+    ``late``, so state is bounded by what arrives in that time; rows later than that go.
+    """
+    if time is not None:
+        return stream.withWatermark(time, late or "1 day").dropDuplicatesWithinWatermark([key])
+    return stream.dropDuplicates([key])
+
+
+def build_incrementally(stream: DataFrame, key: str, build: Callable[[DataFrame], DataFrame], out: str, state: str, time: str | None = None, late: str | None = None) -> None:
+    """Runs ``build`` on rows whose key no earlier row has had, in any earlier run of the same ``state`` folder.
+
+    Keys are the stream's state (``first_rows``), kept on disk with its checkpoint; the rows
+    of a batch are written under its number, so a batch that is repeated after a failure
+    overwrites itself and nothing is lost or doubled.
     """
     spark = stream.sparkSession
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+
+        def step(batch: DataFrame, number: int) -> None:
+            build(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+        rows = first_rows(stream, key, time, late)
+        rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{state}/stream").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(provider)
+        else:
+            spark.conf.set(provider, before)
+
+
+def add_to_graph(store: GraphStore, to_graph: Callable[[DataFrame], Graph], root: str) -> Callable[[DataFrame, int], None]:
+    """A step for ``foreachBatch`` that upserts each batch's graph; ``root`` remembers the batches that are done.
+
+    An upsert of the same batch changes nothing, so a batch that fails between the two is repeated safely.
+    """
 
     def step(batch: DataFrame, number: int) -> None:
-        rows = batch.dropDuplicates([key])
-        keys = f"{state}/keys"
-        there = spark._jvm.org.apache.hadoop.fs.Path(keys)
-        if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
-            done = spark.read.option("recursiveFileLookup", True).parquet(keys).where(F.col("batch") < number)
-            rows = rows.join(done.select(key), key, "left_anti")
-        build(rows).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        rows.select(key, F.lit(number).alias("batch")).write.mode("overwrite").parquet(f"{keys}/b{number}")
-
-    stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{state}/offsets").trigger(availableNow=True).start().awaitTermination()
+        done = Manifest(batch.sparkSession, root)
+        version = done.version()
+        if done.read(version).get("batch", -1) < number:
+            store.upsert(to_graph(batch))
+            done.write({"batch": number}, version)
+
+    return step

@@ -141,3 +141,25 @@ def test_facts_by_id_and_label(spark):
     assert rules.reasoning(g, subject="5").count() == 2
     assert [r.o for r in rules.reasoning(g, subject=("5", "Nation")).collect()] == ["2"]
     assert EDGE_SCHEMA
+
+
+def test_linking_from_text(spark):
+    from graphloom.operators import retrieve
+    from graphloom.plans.logicform import LogicFormRunner
+
+    nodes = [("1", "Ann Lee", "Person", {"about": "paints large murals"}), ("2", "Ann Lee", "Firm", {}), ("3", "Bob", "Person", {}), ("4", "Oslo", "City", {})]
+    g = Graph(spark.createDataFrame(nodes, NODE_SCHEMA), as_edges(spark.createDataFrame([("1", "4"), ("3", "4")], "s string, o string"), F.col("s"), "Person", "lives", F.col("o"), "City"))
+    mentions = spark.createDataFrame([("q", "ANN LEE", "Person"), ("q", "ann lee", None), ("q", "large murals", "Person"), ("q", "nobody here", "Person")], "query_id string, mention string, type string")
+    found = lambda **o: {(r.mention, r.id, r["rank"]) for r in retrieve.link_mentions(g, mentions, **o).collect()}
+    # a name of the wrong type or of no wanted type counts for less
+    assert found(least=0.8) == {("ANN LEE", "1", 1)}
+    assert found(least=0.3) >= {("ANN LEE", "1", 1), ("ann lee", "1", 1)}
+    assert ("ann lee", "2", 2) in found(least=0.3, k=2)
+    assert ("large murals", "1", 1) in found(described="about", least=0.5, k=3) or ("large murals", "1", 2) in found(described="about", least=0.5, k=3)
+    assert found(excluded=["Person"]) == set()
+    assert {m for m, _, r in found(least=0.2, k_of={"Person": 2}) if r == 2} <= {"ANN LEE", "large murals", "nobody here"}
+    runner = LogicFormRunner(g)
+    plan = "get_spo(s=s1:Person, p=p1:lives, o=o1:City[oslo])\nget(s1)"
+    assert runner.run(plan).count() == 0
+    assert {r.id for r in LogicFormRunner(g).linked(plan).collect()} == {"1", "3"}
+    assert LogicFormRunner(g).linked(plan.replace("oslo", "paris")).count() == 0
