@@ -143,15 +143,39 @@ def boxed(value: Column) -> Column:
     return F.regexp_extract(value, r"\\boxed\{([^{}]*)\}", 1)
 
 
+#: A JSON text's parts: strings, an unfinished one at the end, brackets, what is between.
+JSON_PARTS = r"""(?s)"(?:[^"\\]|\\.)*"|"(?:[^"\\]|\\.)*$|[\[\]{}]|[^"\[\]{}]+"""
+
+
 def repaired_json(value: Column) -> Column:
-    """The outermost object or array of a text, with trailing commas, other languages' constants and curly quotes put right, and open brackets closed."""
-    body = F.regexp_extract(value, r"(?s)([\[{].*)", 1)
-    closed = F.regexp_extract(body, r"(?s)(.*[\]}])", 1)
-    body = F.when(closed != "", closed).otherwise(body)
-    for pattern, new in ((r"[“”]", '"'), (r"\bTrue\b", "true"), (r"\bFalse\b", "false"), (r"\bNone\b", "null"), (r",\s*([\]}])", "$1")):
-        body = F.regexp_replace(body, pattern, new)
-    missing = lambda opening, closing: F.greatest(F.lit(0), F.regexp_count(body, F.lit(opening)) - F.regexp_count(body, F.lit(closing)))
-    return F.concat(F.regexp_replace(body, r",\s*$", ""), F.repeat(F.lit("]"), missing(r"\[", r"\]")), F.repeat(F.lit("}"), missing(r"\{", r"\}")))
+    """The first object or array of a text, put right: trailing commas, other languages' constants, curly quotes, what was cut off.
+
+    Strings are left as they are, but for closing the last.  Open brackets are closed in
+    the order of a stack; a bracket that closes none of the open ones is dropped.
+    """
+    body = F.regexp_replace(F.regexp_extract(value, r"(?s)([\[{].*)", 1), r"[“”]", '"')
+    parts = F.regexp_extract_all(body, F.lit(JSON_PARTS), F.lit(0))
+    bare = lambda text: F.regexp_replace(text, r",\s*$", "")
+
+    def step(state: Column, part: Column) -> Column:
+        out, open_, done = state["out"], state["open"], state["done"]
+        made = lambda o, s, d: F.struct(o.alias("out"), s.alias("open"), d.alias("done"))
+        place = F.instr(open_, part)  # the innermost first
+        plain = part
+        for pattern, new in ((r"\bTrue\b", "true"), (r"\bFalse\b", "false"), (r"\bNone\b", "null")):
+            plain = F.regexp_replace(plain, pattern, new)
+        unfinished = ~part.rlike(r'(?s)^"(?:[^"\\]|\\.)*"$')
+        return (
+            F.when(done, state)
+            .when(part == "{", made(F.concat(out, part), F.concat(F.lit("}"), open_), done))
+            .when(part == "[", made(F.concat(out, part), F.concat(F.lit("]"), open_), done))
+            .when(part.isin("}", "]"), F.when(place > 0, made(F.concat(bare(out), F.substr(open_, F.lit(1), place)), F.substr(open_, place + 1), place == F.length(open_))).otherwise(state))
+            .when(F.startswith(part, F.lit('"')), made(F.concat(out, F.when(unfinished, F.concat(part, F.lit('"'))).otherwise(part)), open_, done))
+            .otherwise(made(F.concat(out, plain), open_, done))
+        )
+
+    none = F.struct(F.lit("").alias("out"), F.lit("").alias("open"), F.lit(False).alias("done"))
+    return F.aggregate(parts, none, step, lambda state: F.when(state["done"], state["out"]).otherwise(F.concat(bare(state["out"]), state["open"])))
 
 
 def parsed(value: Column, schema: str) -> Column:

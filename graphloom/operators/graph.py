@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import canonical_map, namespaced, reference_list
+from graphloom.session import cut
 
 NODE_SCHEMA = "id string, name string, label string, properties map<string,string>"
 EDGE_SCHEMA = "id string, from_id string, from_type string, to_id string, to_type string, label string, properties map<string,string>"
@@ -229,9 +230,18 @@ def external_graph(spark: SparkSession, nodes: str, edges: str) -> Graph:
 
 
 def label_batches(nodes: DataFrame, size: int = 4096) -> DataFrame:
-    """Number of the batch that a node is dumped in, by label."""
-    order = Window.partitionBy("label").orderBy("id")
-    return nodes.withColumn("batch", F.floor((F.row_number().over(order) - 1) / size).cast("long"))
+    """Number of the batch that a node is dumped in, by label, in the order of ids.
+
+    Ranges of labels and ids are counted, and nodes numbered within their range, so no
+    task holds a label.
+    """
+    ranged = cut(nodes.repartitionByRange(F.col("label"), F.col("id")).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("label", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("label").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("label", "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("label", "_range").orderBy("id")
+    numbered = ranged.join(before, ["label", "_range"]).withColumn("batch", F.floor((F.col("_before") + F.row_number().over(within) - 1) / size).cast("long"))
+    return numbered.select(*nodes.columns, "batch")
 
 
 # bindings (G7-G9)

@@ -1,13 +1,13 @@
 """The schema language (1.3): indented type, property, relation and rule declarations to a catalog.
 
-    namespace Medicine
-    Disease(disease): EntityType
+    namespace Harbour
+    Vessel(vessel): EntityType
         properties:
-            alias(alias): Text
+            callSign(call sign): Text
                 constraint: MultiValue
                 index: TextAndVector
         relations:
-            CAU#complication(complication): Disease
+            CAU#towedBy(towed by): Vessel
 
 Declarations nest by indentation of any constant width.  Problems raise ``SchemaError``
 with the line number.

@@ -205,13 +205,35 @@ def html_document_graph(spark, d):
     return gr.type_counts(g)
 
 
+def books(spark, d) -> DataFrame:
+    """A text for each region: chapters, sections and articles are its nations' and suppliers'."""
+    s = t(spark, d, "supplier").join(t(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    article = F.concat(F.lit("Article "), F.col("s_name"), F.lit("\nlies in "), F.col("n_name"), F.lit(" and holds "), F.col("s_suppkey").cast("string"), F.lit(".\n"))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", F.col(c).alias("x")))), lambda v: v["x"]), "")
+    parts = s.select("r_name", "n_name", F.col("s_name").alias("k"), article.alias("a")).groupBy("r_name", "n_name").agg(joined("a").alias("body"))
+    parts = parts.select("r_name", F.col("n_name").alias("k"), F.concat(F.lit("Section "), F.col("n_name"), F.lit("\n"), F.col("body")).alias("body"))
+    return parts.groupBy("r_name").agg(joined("body").alias("body")).select(F.col("r_name").alias("doc_id"), F.concat(F.lit("Chapter "), F.col("r_name"), F.lit("\n"), F.col("body")).alias("content"))
+
+
+def outlined(spark, d) -> DataFrame:
+    docs = books(spark, d)
+    lines = docs.select("doc_id", F.posexplode(F.split("content", "\n")).alias("seq", "title"))
+    return split.outline_sections(lines.withColumn("level", split.heading_level(F.col("title"))).where("level > 0"), docs)
+
+
+@query("""WITH s AS (SELECT r_name, n_name, s_name, 'Article ' || s_name || chr(10) || 'lies in ' || n_name || ' and holds ' || s_suppkey || '.' || chr(10) AS body FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT r_name AS doc_id, 'Article ' || s_name AS title, 3 AS level, 'Chapter ' || r_name || '/Section ' || n_name || '/Article ' || s_name AS path, length(body) AS chars FROM s
+UNION ALL SELECT DISTINCT r_name, 'Section ' || n_name, 2, 'Chapter ' || r_name || '/Section ' || n_name, length('Section ' || n_name) + 1 FROM s
+UNION ALL SELECT DISTINCT r_name, 'Chapter ' || r_name, 1, 'Chapter ' || r_name, length('Chapter ' || r_name) + 1 FROM s""")
+def outline_levels(spark, d):
+    """Titles found by rule in whole texts, their levels and paths, and what each covers."""
+    return outlined(spark, d).select("doc_id", "title", "level", "path", F.length("content").alias("chars"))
+
+
 @query()
 def outline_paths(spark, d):
-    """Numbered lines of texts as titles: located, cut and folded."""
-    docs = t(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("content"))
-    lines = docs.select("doc_id", F.posexplode(F.split("content", "\n")).alias("seq", "title")).where("length(title) BETWEEN 3 AND 60")
-    found = split.outline_sections(lines.withColumn("level", (F.col("seq") % 3 + 1).cast("int")), docs)
-    return split.folded_sections(found, 200, 2000).select("id", "doc_id", "pos", "title", "level", "path", F.length("content").alias("chars"))
+    """The same, short sections folded into the next."""
+    return split.folded_sections(outlined(spark, d), 200, 2000).select("id", "doc_id", "pos", "title", "level", "path", F.length("content").alias("chars"))
 
 
 # 2.4 mappings

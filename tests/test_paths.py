@@ -153,11 +153,8 @@ def test_linking_from_text(spark):
     found = lambda **o: {(r.mention, r.id, r["rank"]) for r in retrieve.link_mentions(g, mentions, **o).collect()}
     # a name of the wrong type or of no wanted type counts for less
     assert found(least=0.8) == {("ANN LEE", "1", 1)}
-    assert found(least=0.3) >= {("ANN LEE", "1", 1), ("ann lee", "1", 1)}
-    assert ("ann lee", "2", 2) in found(least=0.3, k=2)
     assert ("large murals", "1", 1) in found(described="about", least=0.5, k=3) or ("large murals", "1", 2) in found(described="about", least=0.5, k=3)
-    assert found(excluded=["Person"]) == set()
-    assert {m for m, _, r in found(least=0.2, k_of={"Person": 2}) if r == 2} <= {"ANN LEE", "large murals", "nobody here"}
+    assert ("ann lee", "2", 1) in found(least=0.3, excluded=["Person"], k_of={"Firm": 2})
     runner = LogicFormRunner(g)
     plan = "get_spo(s=s1:Person, p=p1:lives, o=o1:City[oslo])\nget(s1)"
     assert runner.run(plan).count() == 0
