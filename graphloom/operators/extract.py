@@ -5,11 +5,13 @@ Model answers are columns; where none is given a deterministic default is used.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.models import model
-from graphloom.functions.text import camel_case, hash_id, phrase
+from graphloom.functions.text import camel_case, hash_id, phrase, reference_list
 from graphloom.operators.graph import Graph, as_edges, as_nodes, merge_nodes, properties_of
 from graphloom.session import cut
 
@@ -131,6 +133,42 @@ def co_occurrences(entities: DataFrame) -> DataFrame:
     return pairs.where("s IS NOT NULL")
 
 
+def schema_constrained(entities: DataFrame, events: DataFrame | None, relations: DataFrame | None, known: dict[str, dict[str, str]]) -> Graph:
+    """What a schema allows of ``entities`` and ``events(chunk_id, name, type, properties)`` and ``relations(chunk_id, fields)``.
+
+    ``known[type]`` has the target of each property.  Other types and properties go; a
+    property whose target is a type of the schema becomes a node for each of its values
+    and an edge.  A relation has five fields, subject, its type, predicate, object, its
+    type; others are not taken.  Ends that nothing describes are nodes of their type;
+    every node has a source edge to its chunks; of equal nodes later values win.
+    """
+    things = entities if events is None else entities.unionByName(events)
+    key = phrase(F.col("name"))
+    rows = things.where(F.col("type").isin(list(known))).withColumn("key", key).where("key <> ''")
+    allowed = F.create_map(*[x for t, ps in known.items() for x in (F.lit(t), F.array(*[F.lit(p) for p in ps]) if ps else F.array().cast("array<string>"))])
+    kept = rows.withColumn("properties", F.map_filter(F.coalesce("properties", F.create_map().cast("map<string,string>")), lambda k, v: v.isNotNull() & F.array_contains(allowed[F.col("type")], k)))
+    targets = [(t, p, o) for t, ps in known.items() for p, o in ps.items() if o in known]
+    is_link = lambda p: reduce(lambda a, b: a | b, [(F.col("type") == t) & (p == q) for t, q, _ in targets], F.lit(False))
+    links = kept.select("chunk_id", "key", "type", F.explode("properties").alias("p", "v")).where(is_link(F.col("p")))
+    aim = reduce(lambda c, x: c.when((F.col("type") == x[0]) & (F.col("p") == x[1]), F.lit(x[2])), targets, F.when(F.lit(False), F.lit("")))
+    links = links.withColumn("o_type", aim).select("chunk_id", F.col("key").alias("s"), F.col("type").alias("s_type"), "p", F.explode(reference_list(F.col("v"))).alias("o_name"), "o_type")
+    links = links.withColumn("o", phrase(F.col("o_name"))).where("o <> ''")
+    if relations is not None:
+        f = lambda i: F.col("fields")[i]
+        five = relations.where(F.size("fields") == 5).select("chunk_id", phrase(f(0)).alias("s"), f(0).alias("s_name"), f(1).alias("s_type"), camel_case(f(2)).alias("p"), f(3).alias("o_name"), f(4).alias("o_type"), phrase(f(3)).alias("o"))
+        five = five.where("s <> '' AND o <> '' AND p <> ''").where(F.col("s_type").isin(list(known)) & F.col("o_type").isin(list(known)))
+        links = links.withColumn("s_name", F.lit(None).cast("string")).unionByName(five.select("chunk_id", "s", "s_type", "p", "o_name", "o_type", "o", "s_name"))
+    else:
+        links = links.withColumn("s_name", F.lit(None).cast("string"))
+    plain = kept.withColumn("properties", F.map_filter("properties", lambda k, v: ~is_link(k)))
+    described = as_nodes(plain, F.col("key"), F.col("type"), F.col("name"), F.col("properties")).withColumn("seq", F.lit(1))
+    loose = links.select(F.explode(F.array(F.struct(F.col("s").alias("key"), F.col("s_type").alias("type"), F.coalesce("s_name", "s").alias("name")), F.struct(F.col("o").alias("key"), F.col("o_type").alias("type"), F.col("o_name").alias("name")))).alias("x"), "chunk_id").select("chunk_id", "x.*")
+    nodes = merge_nodes(described.unionByName(as_nodes(loose, F.col("key"), F.col("type"), F.col("name")).withColumn("seq", F.lit(0))), last=True)
+    edges = as_edges(links.select("s", "s_type", "p", "o", "o_type").distinct(), F.col("s"), F.col("s_type"), F.col("p"), F.col("o"), F.col("o_type"))
+    held = kept.select("chunk_id", "key", "type").unionByName(loose.select("chunk_id", "key", "type")).distinct()
+    return Graph(nodes, edges.unionByName(as_edges(held, F.col("key"), F.col("type"), "source", F.col("chunk_id"), "Chunk")))
+
+
 def nested_objects(entities: DataFrame) -> Graph:
     """``entities(id, type, properties map<string,string>)`` whose JSON-object values become nodes of their own, however deep."""
     nodes, edges, level = None, None, entities.select("id", "type", F.coalesce(F.col("properties"), F.create_map().cast("map<string,string>")).alias("properties"))

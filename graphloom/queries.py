@@ -20,7 +20,7 @@ from graphloom.operators import graph as gr
 from graphloom.operators.graph import Graph, as_edges, as_nodes, properties_of
 from graphloom.operators.store import GraphStore
 from graphloom.plans import patterns, rules, solve, surface
-from graphloom.plans.flow import build_unstructured
+from graphloom.plans.flow import IndexManager, build_unstructured
 from graphloom.plans.logicform import LogicFormRunner
 from graphloom.plans.memo import Memo
 from graphloom.session import shared_dir
@@ -1154,3 +1154,42 @@ def rewritten_questions(spark, d):
     rows = search.vectorized(nations.select(F.col("n_name").alias("id")), "id", "vec")
     asked = nations.select(F.col("n_nationkey").cast("string").alias("query_id"), F.concat(F.lit("Where is the "), F.lower("n_name"), F.lit(" and everything else that was written about this subject?")).alias("text"))
     return retrieve.rewritten_hits(rows, asked, 3).join(nations.select(F.col("n_nationkey").cast("string").alias("query_id"), F.col("n_name").alias("id")), ["query_id", "id"]).where("score > 0.999").select("query_id", "id")
+
+
+@query("""SELECT 'Customer' AS a, 'nation' AS p, 'Nation' AS b, count(*) AS n FROM customer UNION ALL SELECT 'Order', 'customer', 'Customer', count(*) FROM orders UNION ALL SELECT 'Supplier', 'locatedIn', 'Nation', count(*) FROM supplier
+UNION ALL SELECT 'Customer', NULL, NULL, count(*) FROM customer UNION ALL SELECT 'Order', NULL, NULL, count(*) FROM orders UNION ALL SELECT 'Supplier', NULL, NULL, count(*) FROM supplier UNION ALL SELECT 'Nation', NULL, NULL, count(*) FROM nation""")
+def schema_constrained_graph(spark, d):
+    """Entities, events and relations of five fields, kept as far as a schema allows them."""
+    n = t(spark, d, "nation")
+    c = t(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    entities = c.select(F.col("n_name").alias("chunk_id"), F.col("c_name").alias("name"), F.lit("Customer").alias("type"), properties_of(segment=F.col("c_mktsegment"), nation=F.col("n_name"), unknown=F.lit("x")).alias("properties"))
+    strange = c.select(F.col("n_name").alias("chunk_id"), F.col("c_name").alias("name"), F.lit("Stranger").alias("type"), properties_of(segment=F.col("c_mktsegment")).alias("properties"))
+    o = t(spark, d, "orders").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    events = o.select(F.col("o_orderstatus").alias("chunk_id"), F.col("o_orderkey").cast("string").alias("name"), F.lit("Order").alias("type"), properties_of(customer=F.col("c_name"), status=F.col("o_orderstatus")).alias("properties"))
+    s = t(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    five = s.select(F.col("n_name").alias("chunk_id"), F.array(F.col("s_name"), F.lit("Supplier"), F.lit("located in"), F.col("n_name"), F.lit("Nation")).alias("fields"))
+    relations = five.unionByName(s.select(F.col("n_name").alias("chunk_id"), F.array("s_name", "n_name").alias("fields")))
+    known = {"Customer": {"segment": "Text", "nation": "Nation"}, "Order": {"customer": "Customer"}, "Supplier": {}, "Nation": {}}
+    g = extract.schema_constrained(entities.unionByName(strange), events, relations, known)
+    edges = g.edges.where("label <> 'source'").groupBy(F.col("from_type").alias("a"), F.col("label").alias("p"), F.col("to_type").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    none = F.lit(None).cast("string")
+    return edges.unionByName(g.nodes.groupBy(F.col("label").alias("a")).agg(F.count(F.lit(1)).alias("n")).select("a", none.alias("p"), none.alias("b"), "n"))
+
+
+@query("SELECT s_suppkey AS query_id, CAST(s_suppkey AS VARCHAR) AS id FROM supplier")
+def external_text_match(spark, d):
+    """An external graph's suppliers named inside a text."""
+    s = t(spark, d, "supplier")
+    nodes = as_nodes(s, F.col("s_suppkey"), "Supplier", F.col("s_name")).unionByName(as_nodes(t(spark, d, "customer"), F.col("c_custkey"), "Customer", F.col("c_name")))
+    asked = s.select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("what "), F.regexp_replace("s_name", "#", " no "), F.lit(" sold")).alias("text"))
+    return search.external_text_matches(nodes, asked, 1, ["Supplier"]).select("query_id", "id")
+
+
+@query("SELECT n_name AS query_id, n_name AS id FROM nation")
+def index_manager_hits(spark, d):
+    """Chunks built into two indexes, found through both: each nation's own text among the first."""
+    n = t(spark, d, "nation").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    chunks = n.select(F.col("n_name").alias("id"), F.col("n_name").alias("name"), F.concat(F.initcap("n_name"), F.lit(" lies in "), F.initcap("r_name"), F.lit(".")).alias("content"), F.lit("TEXT").alias("type"))
+    manager = IndexManager(("chunk", "atomic_query"))
+    asked = n.select(F.col("n_name").alias("query_id"), F.concat(F.lit("What is "), F.initcap("n_name"), F.lit("?")).alias("text"))
+    return manager.retrieve(manager.build(chunks), asked, 5).where("id = query_id").select("query_id", "id")
