@@ -14,6 +14,7 @@ Letters of every script are lower-cased and have a vector each, made from a hash
 code point; all other characters are one separator.  ``score`` is the cosine with that
 norm, cut to 0..1.
 
+Very long texts count whole; repeated rows count and are answered each by itself.
 Null texts and texts without a letter are ``und`` with score 0; ties go to the
 first language by name; without training rows all is ``und``.  Prototypes are
 ``dim`` numbers a language, summed on executors; only they reach the driver.

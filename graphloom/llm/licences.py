@@ -16,6 +16,7 @@ of files, and the full licences in ``licence_texts``.
 ``n_segments`` counts the sentences, lines, paragraphs (blocks between blank lines) and
 the whole, where these differ.
 
+Very long texts are scanned whole.
 Null and empty texts have no segments and no licence; repeated rows are each scanned;
 ties between templates go to the first name; an empty table gives no rows.
 """

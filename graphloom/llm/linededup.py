@@ -11,6 +11,7 @@ A key is dropped from every document but the first that holds it, so all lines o
 a key stay in the smallest doc_id.  Keys are 128-bit hashes; a line is compared
 stripped of ``[\\x20\\x09-\\x0D]`` and with A-Z lower-cased.
 
+Very long texts are split whole; of equal lines the smallest doc_id keeps all of its own.
 Null or empty texts are one empty line, which is never dropped; rows with equal
 doc_id count as one document; a null doc_id comes before all others; an empty
 table gives no rows.

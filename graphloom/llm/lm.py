@@ -22,7 +22,8 @@ passes through the driver.  Tokens travel once, as packed blobs, to a table in t
 shared folder; each pass reads it and repeats the seatings before from the answers.
 Sums of a text come back by the slice of input it is in.
 
-Null and empty texts are one end token; repeated rows count and score each by itself;
+Very long texts are cut into tokens whole, in slices of documents, and scored by sums;
+null and empty texts are one end token; repeated rows count and score each by itself;
 without training rows every probability is 1 / (V + 1) with V = 0; a null doc_id trains
 (its remainder is taken as not held out); an empty table gives no rows.
 """

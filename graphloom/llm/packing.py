@@ -6,8 +6,9 @@ alone; the rest goes, longest first, to the sequence with the lowest estimated
 cost (``linear * n + quadratic * n * n`` per piece, attention staying within a
 piece) that still has room, cut where the room ends.  A block opens
 ``ceil(ids / capacity)`` sequences, so its padding is under one sequence,
-and memory is bounded by the block.  Nothing is shuffled: a lost task is redone
-from its input split with the same result.
+and memory is bounded by the block, or by one longer document.  Nothing is shuffled: a
+lost task is redone from its input split with the same result.  Of equal lengths the
+earlier row goes first, of equal costs the earlier sequence takes it.
 
 Nulls and empty texts are documents of the end id alone; repeated rows and
 repeated doc_ids are packed as often as they occur; an empty table gives no rows.

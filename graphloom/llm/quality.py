@@ -8,6 +8,7 @@ and kept at a calibrated probability of at least ``threshold``.  Beside the mode
 two fixed rules (``base_failed``) reject texts of under 50 words and texts of which
 over half the words stand in repeated three-word windows.
 
+Very long texts are judged whole; repeated rows are judged each by itself.
 Null texts have no words and fail; ties at the threshold are kept; without labelled
 rows of both kinds the model keeps everything that the rules keep; repeated labels of
 a document count once each.
