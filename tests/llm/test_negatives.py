@@ -56,8 +56,7 @@ def mined(spark, rows, every):
     return sorted(map(tuple, got.collect()), key=str)
 
 
-@pytest.mark.parametrize("rows, every", [(AWKWARD, 10), (made(400, 8, 2, 1.0), 5)])
-@pytest.mark.parametrize("sizes", [(4096, 1 << 20, 16384, 512), (7, 1 << 20, 9, 4)])
+@pytest.mark.parametrize("rows, every, sizes", [(AWKWARD, 10, (7, 1 << 20, 9, 4)), (made(400, 8, 2, 1.0), 5, (4096, 1 << 20, 16384, 512)), (made(120, 8, 3, 1.0), 5, (16, 1 << 20, 16, 4))])
 def test_against_brute_force(spark, monkeypatch, rows, every, sizes):
     for name, value in zip(("ROWS", "BYTES", "PORTION", "BLOCK"), sizes, strict=True):
         monkeypatch.setattr(negatives, name, value)
