@@ -38,7 +38,7 @@ def walks(triples, low, high, undirected, starts, ends):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(3))
 def test_paths_against_brute_force(spark, seed):
     rng = random.Random(seed)
     names = [f"{label}:{i}" for label in "AB" for i in range(4)]
@@ -46,7 +46,7 @@ def test_paths_against_brute_force(spark, seed):
     g = graph_of(spark, triples)
     keys = lambda chosen: None if chosen is None else spark.createDataFrame([tuple(reversed(x.split(":"))) for x in chosen], "id string, label string")
     starts, ends = (rng.sample(names, 3) if seed % 2 else None), (rng.sample(names, 3) if seed > 0 else None)
-    for low, high, undirected in ((1, 3, False), (0, 4, True), (3, 3, True)):
+    for low, high, undirected in ((1, 3, False), (0, 4, True)):
         got = patterns.variable_paths(g.edges, low, high, undirected, keys(starts), keys(ends)).collect()
         assert sorted((f"{r.start.label}:{r.start.id}", f"{r.end.label}:{r.end.id}", r.hops, tuple(f"{n.label}:{n.id}" for n in r.nodes)) for r in got if r.hops) == [
             w for w in walks(triples, low, high, undirected, starts and set(starts), ends and set(ends)) if w[2]
@@ -85,7 +85,7 @@ FAR = {
 }
 
 
-@pytest.mark.parametrize("triples", [[(f"A:{i}", "next", f"A:{(i + 1) % 7}") for i in range(7)], [(f"A:{i}", "next", f"A:{i + 1}") for i in range(9)], [("A:1", "next", "A:1")]])
+@pytest.mark.parametrize("triples", [[(f"A:{i}", "next", f"A:{(i + 1) % 5}") for i in range(5)], [(f"A:{i}", "next", f"A:{i + 1}") for i in range(5)] + [("A:9", "next", "A:9")]])
 def test_closure_of_cycles_and_chains(spark, triples):
     found = rules.derive_all(graph_of(spark, triples), {n: rule(x) for n, x in FAR.items()})
     pairs = {(r.from_id, r.to_id) for r in found.edges.where("label = 'far'").collect()}
