@@ -21,22 +21,38 @@ def answer_scores(answers: DataFrame) -> DataFrame:
     return best.agg(F.avg("em").alias("em"), F.avg("f1").alias("f1"), F.lit(0.0).alias("answer_similarity"))
 
 
-def recall_at(hits: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (3, 5), fuzzy: bool = False) -> DataFrame:
+def recall_at(hits: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (3, 5), fuzzy: bool = False, groups: DataFrame | None = None) -> DataFrame:
     """Share of a question's gold titles among its first k hits, and among all.
 
     ``hits(question_id, title, rank)``, ``gold(question_id, title)``.  Titles match if
     they are equal; with ``fuzzy`` also if one contains the other (A8), which looks
     through the question's hits, a ranked list of known length.
+
+    With ``groups(question_id, group)``, gold is (group, title), the titles of all the
+    group's questions: they are counted once a group, not once a question.
     """
+    key = "question_id" if groups is None else "group"
+    gold = gold.select(key, "title").distinct()
+    asked = gold.select("question_id").distinct() if groups is None else groups.select("question_id", "group").distinct().join(gold.select("group").distinct(), "group", "left_semi")
     if fuzzy:
         listed = hits.groupBy("question_id").agg(F.collect_set(F.struct("rank", F.col("title").cast("string").alias("title"))).alias("hs"))
         near = F.filter("hs", lambda h: F.contains(h["title"], F.col("title").cast("string")) | F.contains(F.col("title").cast("string"), h["title"]))
-        found = gold.distinct().join(listed, "question_id", "left").withColumn("rank", F.array_min(F.transform(near, lambda h: h["rank"])))
+        met = asked.join(listed, "question_id").join(gold, key).withColumn("rank", F.array_min(F.transform(near, lambda h: h["rank"])))
+    else:
+        met = hits.groupBy("question_id", "title").agg(F.min("rank").alias("rank")).join(asked, "question_id").join(gold, [key, "title"], "left_semi")
+    counted = lambda hit: F.sum(F.when(hit, 1).otherwise(0))
+    each = [f"recall_{k}" for k in (*ks, "all")]
+    # titles of several groups of a question count once
+    met = met.groupBy("question_id", "title").agg(F.min("rank").alias("rank"))
+    met = met.groupBy("question_id").agg(*[counted(F.col("rank") <= k).alias(f"recall_{k}") for k in ks], counted(F.col("rank").isNotNull()).alias("recall_all"))
+    several = None if groups is None else asked.groupBy("question_id").agg(F.count(F.lit(1)).alias("in")).where("in > 1")
+    if several is None:
+        of = gold.groupBy("question_id").agg(F.count(F.lit(1)).alias("of"))
     else:
-        found = gold.distinct().join(hits.groupBy("question_id", "title").agg(F.min("rank").alias("rank")), ["question_id", "title"], "left")
-    share = lambda hit: F.avg(F.when(hit, 1.0).otherwise(0.0))
-    per = found.groupBy("question_id").agg(*[share(F.col("rank") <= k).alias(f"recall_{k}") for k in ks], share(F.col("rank").isNotNull()).alias("recall_all"))
-    return per.agg(*[F.avg(f"recall_{k}").alias(f"recall_{k}") for k in (*ks, "all")])
+        own = asked.join(gold.groupBy("group").agg(F.count(F.lit(1)).alias("of")), "group").join(several, "question_id", "left_anti").select("question_id", "of")
+        of = own.unionByName(asked.join(several, "question_id", "left_semi").join(gold, "group").select("question_id", "title").distinct().groupBy("question_id").agg(F.count(F.lit(1)).alias("of")))
+    per = of.join(met, "question_id", "left").select(*[(F.coalesce(c, F.lit(0)) / F.col("of")).alias(c) for c in each])
+    return per.agg(*[F.avg(c).alias(c) for c in each])
 
 
 def fuzzy_sets(pairs: DataFrame, left: str, right: str) -> DataFrame:
