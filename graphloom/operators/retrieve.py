@@ -60,29 +60,39 @@ def link_mentions(graph: Graph, mentions: DataFrame, k_of: dict[str, int] | None
     An entity scores 1 by its name in any case, else the cosine of the embedded names or,
     with the property ``described``, of its description; the score is adjusted to the
     wanted type (E2; a null type is none); of equal scores equal names come first.  A mention gets ``k_of`` its type, or ``k``.
-    Each distinct name is embedded once; only those are compared with mentions.
+    Equal names are found by a join.  Only mentions that have too few of the wanted type are
+    compared by vectors, with each distinct text, embedded once.
     """
     nodes = graph.nodes.where(~F.col("label").isin(excluded)) if excluded else graph.nodes
-    wanted = mentions.select("query_id", "mention", F.col("type").alias("wanted")).distinct()
-    asked = search.vectorized(wanted.select("mention").distinct(), "mention", "qvec").where("qvec IS NOT NULL").select(F.col("mention").alias("query_id"), "qvec")
+    most = F.lit(k)
+    for kind, n in (k_of or {}).items():
+        most = F.when(F.col("wanted") == kind, n).otherwise(most)
+    asked_for = mentions.select("query_id", "mention", F.col("type").alias("wanted")).distinct()
+    wanted = search.cut(asked_for.select("mention", "wanted").distinct().withColumn("most", most))
     named = nodes.select("id", "label", F.col("name").alias("text"))
     texts = named if described is None else named.unionByName(nodes.select("id", "label", F.col("properties").getItem(described).alias("text")).where("text IS NOT NULL"))
-    once = search.vectorized(texts.select("text").distinct(), "text", "vec").where("vec IS NOT NULL").select(F.col("text").alias("id"), "vec")
-    deep = max([k, *(k_of or {}).values()])
-    # several entities may share a text, so as many texts suffice
-    near = search.top_vectors_batch(search.cut(once), asked, deep).select(F.col("query_id").alias("mention"), F.col("id").alias("text"), "score")
     exact = wanted.select("mention").distinct().join(named.select(F.lower("text").alias("low"), "text").distinct(), F.lower("mention") == F.col("low")).select("mention", "text", F.lit(1.0).alias("score"))
-    both = near.withColumn("same", F.lit(0)).unionByName(exact.withColumn("same", F.lit(1)))
-    hits = both.join(texts, "text").groupBy("mention", "id", "label").agg(F.max("score").alias("score"), F.max("same").alias("same"))
+    same = search.cut(exact.join(texts, "text").groupBy("mention", "id", "label").agg(F.max("score").alias("score")).withColumn("same", F.lit(1)))
+    # nothing comes before equal names of the wanted type: who has enough of them needs no vectors
+    held = same.groupBy("mention", "label").agg(F.count(F.lit(1)).alias("n"))
+    enough = wanted.join(held, "mention").where("wanted IS NULL OR wanted = label").groupBy("mention", "wanted", "most").agg(F.sum("n").alias("n")).where("n >= most").select(F.col("mention").alias("m"), F.col("wanted").alias("w"))
+    rest = search.cut(wanted.join(enough, (F.col("mention") == F.col("m")) & F.col("wanted").eqNullSafe(F.col("w")), "left_anti").select("mention").distinct())
+    hits = same
+    if rest.limit(1).count():
+        asked = search.vectorized(rest, "mention", "qvec").where("qvec IS NOT NULL").select(F.col("mention").alias("query_id"), "qvec")
+        once = search.vectorized(texts.select("text").distinct(), "text", "vec").where("vec IS NOT NULL").select(F.col("text").alias("id"), "vec")
+        # several entities may share a text, so as many texts suffice
+        near = search.top_vectors_batch(search.cut(once), asked, max([k, *(k_of or {}).values()])).select(F.col("query_id").alias("mention"), F.col("id").alias("text"), "score")
+        found = near.join(texts, "text").select("mention", "id", "label", "score", F.lit(0).alias("same"))
+        hits = same.unionByName(found).groupBy("mention", "id", "label").agg(F.max("score").alias("score"), F.max("same").alias("same"))
     rows = wanted.join(hits, "mention")
     embed = model("embed")
     kinds = search.cut(rows.where("wanted IS NOT NULL AND wanted <> label").select("wanted", "label").distinct()).withColumn("similar", cosine(embed(F.col("wanted")), embed(F.col("label"))))
     rows = rows.join(kinds, ["wanted", "label"], "left").withColumn("score", type_adjusted(F.col("score"), F.col("label"), F.col("wanted"), F.coalesce("similar", F.lit(0.0)))).where(F.col("score") >= least)
-    most = F.lit(k)
-    for kind, n in (k_of or {}).items():
-        most = F.when(F.col("wanted") == kind, n).otherwise(most)
-    order = Window.partitionBy("query_id", "mention", "wanted").orderBy(F.desc(F.round("score", 9)), F.desc("same"), "id", "label")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("query_id", "mention", "id", "label", "score", "rank")
+    order = Window.partitionBy("mention", "wanted").orderBy(F.desc(F.round("score", 9)), F.desc("same"), "id", "label")
+    best = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("most")).select(F.col("mention").alias("m"), F.col("wanted").alias("w"), "id", "label", "score", "rank")
+    # mentions are ranked once, whoever asks for them
+    return asked_for.join(best, (F.col("mention") == F.col("m")) & F.col("wanted").eqNullSafe(F.col("w"))).select("query_id", "mention", "id", "label", "score", "rank")
 
 
 def type_adjusted(score: Column, label: Column, wanted: Column, similarity: Column) -> Column:

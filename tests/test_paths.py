@@ -160,3 +160,15 @@ def test_linking_from_text(spark):
     assert runner.run(plan).count() == 0
     assert {r.id for r in LogicFormRunner(g).linked(plan).collect()} == {"1", "3"}
     assert LogicFormRunner(g).linked(plan.replace("oslo", "paris")).count() == 0
+
+
+def test_equal_names_need_no_vectors(spark, monkeypatch):
+    from graphloom.operators import retrieve, search
+
+    nodes = spark.createDataFrame([(str(i), f"Shop {i % 3}", ("Shop", "Firm")[i % 2], {}) for i in range(12)], NODE_SCHEMA)
+    mentions = spark.createDataFrame([(f"q{i}", "sHOP 1", kind) for i, kind in enumerate(["Shop", "Firm", None, "Shop"])], "query_id string, mention string, type string")
+    with_vectors = {tuple(r) for r in retrieve.link_mentions(Graph(nodes, None), mentions, least=0.25, k=20).select("query_id", "id", "label", F.round("score", 6)).where("label = 'Shop'").collect()}
+    assert {("q0", "10", "Shop", 1.0), ("q2", "4", "Shop", 0.3)} < with_vectors
+    monkeypatch.setattr(search, "top_vectors_batch", lambda *a: 1 / 0)
+    rows = {tuple(r) for r in retrieve.link_mentions(Graph(nodes, None), mentions, least=0.25, k=2).select("query_id", "id", "rank").collect()}
+    assert rows == {("q0", "10", 1), ("q0", "4", 2), ("q1", "1", 1), ("q1", "7", 2), ("q2", "1", 1), ("q2", "10", 2), ("q3", "10", 1), ("q3", "4", 2)}
