@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from graphloom.functions.models import model
 from graphloom.functions.text import hash_id
@@ -14,6 +16,8 @@ from graphloom.session import cut
 
 #: What ends a sentence.
 ENGLISH_ENDS, OTHER_ENDS = ".。？?！!\n", "。？！\n"
+#: Sections that a task passes on at a time.
+CUTS = 4096
 
 
 def sentences(text: Column, english: bool = True) -> Column:
@@ -173,22 +177,55 @@ def unified_levels(titles: DataFrame) -> DataFrame:
     return keyed.join(first, ["doc_id", "keyword"]).withColumn("level", F.col("first_level")).drop("first_level", "keyword")
 
 
+def _cuts(content: str, titles: list[dict]) -> list[tuple]:
+    """(pos, title, level, section) of the titles that count, in one pass over the text.
+
+    An automaton of the distinct titles tells where each occurs first.
+    """
+    import ahocorasick
+
+    first: dict[str, int] = {"": 1}
+    automaton = ahocorasick.Automaton()
+    for title in {x["title"] for x in titles} - {None, ""}:
+        automaton.add_word(title, title)
+    if len(automaton):
+        automaton.make_automaton()
+        for last, title in automaton.iter(content):
+            first.setdefault(title, last - len(title) + 2)
+    found: list[tuple] = []
+    for x in titles:
+        pos = first.get(x["title"], 0)
+        if pos > (found[-1][0] if found else 0):
+            found.append((pos, x["title"], x["level"]))
+    ends = [pos for pos, _, _ in found[1:]] + [len(content) + 1]
+    return [(*x, content[x[0] - 1 : end - 1]) for x, end in zip(found, ends, strict=False)]
+
+
 def outline_sections(titles: DataFrame, docs: DataFrame) -> DataFrame:
     """P7a, P7f: ``titles(doc_id, seq, title, level)`` located in ``docs(doc_id, content)``.
 
     A title counts at its first occurrence if that lies after all earlier titles';
     a section reaches to the next title; its path follows the ancestors.  A document's
-    titles are gathered first (they are parts of its text), so the text is joined once.
+    titles are gathered first (they are parts of its text), so the text is joined once,
+    and all of them are found in one pass over it.
     """
     listed = titles.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "title", "level"))).alias("ts"))
     rows = docs.select("doc_id", "content").join(listed, "doc_id")
-    found = F.filter(F.transform("ts", lambda x: F.struct(F.call_function("locate", x["title"], F.col("content")).alias("pos"), x["title"].alias("title"), x["level"].alias("level"))), lambda x: x["pos"] > 0)
-    none = F.array().cast("array<struct<pos:int,title:string,level:int>>")
-    later = lambda s, x: F.when((F.size(s) == 0) | (x["pos"] > F.try_element_at(s, F.lit(-1))["pos"]), F.concat(s, F.array(x))).otherwise(s)
-    rows = rows.withColumn("ts", F.aggregate(found, none, later))
-    end = lambda i: F.coalesce(F.try_element_at("ts", i + 2)["pos"], F.length("content") + 1)
-    cuts = F.transform("ts", lambda x, i: F.struct(x["pos"].alias("pos"), x["title"].alias("title"), x["level"].alias("level"), F.substr(F.col("content"), x["pos"], end(i) - x["pos"]).alias("content")))
-    rows = rows.select("doc_id", F.explode(cuts).alias("t")).select("doc_id", "t.*")
+    kinds = {"doc_id": rows.schema["doc_id"].dataType, "pos": IntegerType(), "title": StringType(), "level": titles.schema["level"].dataType, "content": StringType()}
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                content, listed = batch.column("content")[i].as_py(), batch.column("ts")[i].as_py()
+                if content is None:
+                    continue
+                for at in range(0, len(cuts := _cuts(content, listed)), CUTS):
+                    some = cuts[at : at + CUTS]
+                    ids = batch.column("doc_id").take(pa.array([i] * len(some)))
+                    types = [pa.int32(), pa.string(), batch.column("ts").type.value_type.field("level").type, pa.string()]
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(list(c), k) for c, k in zip(zip(*some, strict=True), types, strict=True))], list(kinds))
+
+    rows = rows.mapInArrow(run, StructType([StructField(n, k) for n, k in kinds.items()]))
     along = Window.partitionBy("doc_id").orderBy("pos")
     upto = along.rowsBetween(Window.unboundedPreceding, -1)
     ancestors = []

@@ -182,6 +182,35 @@ def test_outline_of_many_levels(spark):
     assert got["Title 8"] == "/".join(titles) and got["Title 1"] == "Title 1"
 
 
+def test_outline_places_as_column_functions(spark):
+    """Titles repeated, inside each other, out of order, absent, empty and null, in texts beyond ASCII."""
+    texts = {"a": "ab abc b\U0001f600 abc cd \u4e2d b", "b": "", "c": None, "d": "x"}
+    names = ["ab", "abc", "b", "\U0001f600", "cd", "\u4e2d", "zz", "", None, "x"]
+    listed = [(d, i, names[(i * step + ord(d)) % 10], i % 3 + 1) for d in texts for step in (1, 3) for i in range(10)]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, content string")
+    rows = spark.createDataFrame(listed, "doc_id string, seq int, title string, level int")
+    want = set()
+    for d, text in texts.items():
+        kept = []
+        for _, title, level in sorted(((s, t, lv) for x, s, t, lv in listed if x == d), key=lambda x: (x[0], x[1] is not None, x[1] or "", x[2])):
+            pos = text.find(title) + 1 if text is not None and title is not None else 0
+            if pos > (kept[-1][0] if kept else 0):
+                kept.append((pos, title, level))
+        want |= {(d, pos, t, lv, text[pos - 1 : end - 1]) for (pos, t, lv), end in zip(kept, [k[0] for k in kept[1:]] + [len(text or "") + 1], strict=False)}
+    assert {tuple(r) for r in split.outline_sections(rows, docs).select("doc_id", "pos", "title", "level", "content").collect()} == want and want
+
+
+def test_outline_of_many_titles_takes_one_pass():
+    """30,000 titles of a text of 1.5 MB."""
+    import time
+
+    titles = [{"title": f"Article {i:06d}", "level": 3} for i in range(30_000)]
+    text = "\n".join(f"{x['title']}\n{'body ' * 7}" for x in titles)
+    since = time.monotonic()
+    cuts = split._cuts(text, titles)
+    assert len(cuts) == 30_000 and "".join(c[3] for c in cuts) == text and time.monotonic() - since < 10
+
+
 def test_bindings(spark):
     a = spark.createDataFrame([("s", "1", "one", "", "")], "alias string, biz_id string, name string, type string, description string")
     b = spark.createDataFrame([("s", "1", "", "T", ""), ("s", "2", "two", "T", "")], a.schema)
