@@ -6,6 +6,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from graphloom.functions.text import hash_id
 from graphloom.operators.graph import Graph, as_edges, as_nodes, properties_of
 
 SECTION_SCHEMA = "doc_id string, ordinal int, kind string, level int, title string, path string, content string, before_text string, after_text string"
+#: Characters of texts whose sections a task holds at a time.
+HELD_CHARS = 1 << 18
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -186,16 +189,26 @@ def fold_parts(parts: list[tuple[str, int, str]], depth: int = 3) -> list[dict]:
 
 
 def sections(docs: DataFrame, i: str, text: str, form: str = "markdown", depth: int = 3) -> DataFrame:
-    """One row per section or table of each document."""
+    """One row per section or table of each document; a task holds those of about ``HELD_CHARS`` of text."""
     parse = {"markdown": markdown_parts, "html": html_parts}[form]
     columns = [c.split()[0] for c in SECTION_SCHEMA.split(", ")]
+    types = [pa.int32() if c in ("ordinal", "level") else pa.string() for c in columns]
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in zip(columns, types, strict=True)], columns)
 
     def run(batches):
         for batch in batches:
-            rows = [{"doc_id": d, **row} for d, t in zip(batch["doc_id"], batch["text"], strict=True) for row in fold_parts(parse(t), depth)]
-            yield pd.DataFrame(rows, columns=columns)
+            rows, held = [], 0
+            for d, t in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+                content = t.as_py()
+                rows += [{"doc_id": d.as_py(), **row} for row in fold_parts(parse(content), depth)]
+                held += len(content or "")
+                if held >= HELD_CHARS:
+                    yield made(rows)
+                    rows, held = [], 0
+            if rows:
+                yield made(rows)
 
-    return docs.select(F.col(i).cast("string").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInPandas(run, SECTION_SCHEMA)
+    return docs.select(F.col(i).cast("string").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SECTION_SCHEMA)
 
 
 def section_chunks(found: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,6 +183,18 @@ def test_outline_of_many_levels(spark):
     assert got["Title 8"] == "/".join(titles) and got["Title 1"] == "Title 1"
 
 
+def test_sections_of_many_pages_leave_in_parts(spark, monkeypatch):
+    """A task gives out the sections of a few pages before it reads the next."""
+    made, docs = [], spark.createDataFrame([("d", "x")], "id string, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: made.append(run) or self)
+    read.sections(docs, "id", "text", "html")
+    page = "<h1>Head</h1><p>" + "word " * 2000 + "</p>"
+    pages = pa.RecordBatch.from_pydict({"doc_id": [str(i) for i in range(200)] + [None], "text": [page] * 199 + ["", None]})
+    parts = list(made[0](iter([pages])))
+    assert max(p.num_rows for p in parts) < 60
+    assert [i for p in parts for i in p.column("doc_id").to_pylist()][:199] == [str(i) for i in range(199)]
+
+
 def test_outline_places_as_column_functions(spark):
     """Titles repeated, inside each other, out of order, absent, empty and null, in texts beyond ASCII."""
     texts = {"a": "ab abc b\U0001f600 abc cd \u4e2d b", "b": "", "c": None, "d": "x"}
