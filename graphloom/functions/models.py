@@ -38,9 +38,10 @@ def hashed_embedding(text: Column, dim: int = 64) -> Column:
     shown = F.when(F.trim(F.coalesce(text, F.lit(""))) == "", F.lit("none")).otherwise(text)
     tokens = F.filter(F.split(F.lower(shown), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     held = F.array(F.transform(tokens, lambda w: F.pmod(F.xxhash64(w), F.lit(2 * dim))))
+    # how many tokens fall into a cell is told by what is left without them
     count = lambda cells: F.transform(
         F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: (F.size(F.filter(cells, lambda c: c == i)) - F.size(F.filter(cells, lambda c: c == i + dim))).cast("double"),
+        lambda i: (F.size(F.array_remove(cells, i + dim)) - F.size(F.array_remove(cells, i))).cast("double"),
     )
     counts = F.element_at(F.transform(held, count), 1)
     # arrays of one element name what is used more than once, so it is made once

@@ -220,8 +220,8 @@ def fuzzy_one_hop(graph: Graph, starts: DataFrame, question: str, k: int = 15, l
     rows = rows.where(~F.col("rel").startswith("_") & ~F.col("rel").isin("id", "source", "similar"))
     names = graph.nodes.select(F.col("id").alias("s_id"), F.col("label").alias("s_type"), F.col("name").alias("s_name"))
     rows = rows.join(names, ["s_id", "s_type"], "left").withColumn("text", triple_text(F.coalesce("s_name", "s_id"), F.col("rel"), F.col("o_name")))
-    embed = model("embed")
-    scored = rows.withColumn("score", cosine(embed(F.col("text")), embed(F.lit(question)))).where(F.col("score") >= least)
+    made = search.with_embedded(search.vectorized(rows, "text", "_vec"), question, "_query")
+    scored = made.withColumn("score", cosine(F.col("_vec"), F.col("_query"))).where(F.col("score") >= least).select(*rows.columns, "score")
     return scored.orderBy(F.desc("score"), "text").limit(k)
 
 
