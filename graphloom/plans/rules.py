@@ -19,6 +19,7 @@ joined back, so no task holds all rows of a hot key.
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.graph import EDGE_COLUMNS, ENDS, NODE_COLUMNS, Graph, as_edges, as_nodes, distinct_edges
 from graphloom.plans.expressions import lower
-from graphloom.plans.patterns import Matcher, Pattern, parse_paths
-from graphloom.session import cut
+from graphloom.plans.patterns import Matcher, Pattern, many_to_many, parse_paths
+from graphloom.session import cut, shared_dir, shuffle_partitions
 
 HEADER = re.compile(r"(?is)^\s*Define\s*(?P<head>\(.*?\)\s*-\s*\[.*?\]\s*->\s*\(.*?\))\s*\{(?P<body>.*)\}\s*$")
 GROUP = re.compile(r"group\(\s*(?P<keys>[\w\s,]+?)\s*\)\s*\.\s*(?P<agg>sum|count|avg|min|max)\(\s*(?P<arg>[\w.]+)\s*\)")
@@ -267,13 +268,79 @@ class Delta:
         return out + [produced(engine, rule, nodes={v: self.new.nodes}) for v, known in labels.items() if nodes and (not known or "Entity" in known or nodes & {x.split("/")[0] for x in known})]
 
 
+def composes(rule: Rule) -> bool:
+    """Whether a rule does no more than join its relation with itself, between nodes of the same labels: it is transitive."""
+    head, steps = rule.derived, rule.structure.steps
+    if rule.lines or rule.actions or len(steps) != 2 or len(rule.structure.nodes) != 3:
+        return False
+    relation = (head.labels or [head.var])[0]
+    if not all(s.labels == [relation] and (s.low, s.high) == (1, 1) and not s.undirected for s in steps):
+        return False
+    labels = [known or rule.head.nodes.get(v, []) for v, known in rule.structure.nodes.items()]
+    if any("/" in x for known in [*labels, *rule.head.nodes.values()] for x in known) or any(set(known) != set(labels[0]) for known in labels):
+        return False
+    return any((a.source, a.target, b.target) == (head.source, b.source, head.target) for a, b in (steps, steps[::-1]))
+
+
+def closure(edges: DataFrame, most: int = 100) -> DataFrame:
+    """(from_id, from_type, to_id, to_type, far) of all that ``edges`` of these ends lead to; ``far`` is the least number of edges.
+
+    A round joins the pairs that are 2 ** k edges apart with all pairs that are at most as
+    far: that gives each pair of up to twice the distance from one place of each of its
+    shortest paths, and its distance.  Pairs lie in buckets of their first end, by which they are
+    joined and told from known ones, so only what a round finds is moved, once.
+    """
+    spark = edges.sparkSession
+    parts, start, ends = shuffle_partitions(spark), ENDS[:2], ENDS[:4]
+    names: list[str] = []
+    at = lambda name: f"{shared_dir(spark)}/{name}"
+
+    def bucketed(rows: DataFrame) -> DataFrame:
+        names.append(f"closure_{uuid.uuid4().hex}")
+        rows.write.bucketBy(parts, *start).option("path", at(names[-1])).saveAsTable(names[-1])
+        return spark.table(names[-1])
+
+    known = new = bucketed(edges.select(*ends).repartition(parts, *start).groupBy(*ends).agg(F.lit(1).cast("long").alias("far")))
+    far = 1
+    for _ in range(most):
+        tips = new.where(F.col("far") == far).select(*start, F.col("to_id").alias("mid_id"), F.col("to_type").alias("mid_type"))
+        if not tips.limit(1).count():
+            break
+        onward = known.select(F.col("from_id").alias("mid_id"), F.col("from_type").alias("mid_type"), *ends[2:], "far")
+        found = many_to_many(tips, onward, ["mid_id", "mid_type"], start).select(*ends, (F.col("far") + far).alias("far"), F.lit(False).alias("old"))
+        both = found.repartition(parts, *start).unionByName(known.withColumn("old", F.lit(True)))
+        new = bucketed(both.groupBy(*ends).agg(F.min("far").alias("far"), F.max("old").alias("old")).where("NOT old").drop("old"))
+        known = known.unionByName(new)
+        far *= 2
+    else:
+        raise RuleError(f"no end within {most} rounds")
+    found = spark.read.schema(known.schema).parquet(*map(at, names))
+    for name in names:  # external tables: the files stay in the shared folder
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return found
+
+
+def _composed(graph: Graph, rule: Rule, most: int) -> Graph:
+    """What a transitive rule adds."""
+    relation = (rule.derived.labels or [rule.derived.var])[0]
+    source = rule.derived.source
+    nodes = Matcher(graph).scan("n", rule.structure.nodes[source] or rule.head.nodes.get(source, []))
+    edges = graph.edges.where(F.col("label") == relation).select(*ENDS[:4])
+    for end in ("from", "to"):
+        keys = [f"{end}_id", f"{end}_type"]
+        edges = edges.join(nodes.select(F.col("n_id").alias(keys[0]), F.col("n_label").alias(keys[1])), keys, "left_semi")
+    # pairs of one edge are there already
+    far = closure(edges, most).where("far > 1")
+    return Graph(graph.nodes.limit(0), as_edges(far, F.col("from_id"), F.col("from_type"), relation, F.col("to_id"), F.col("to_type")))
+
+
 def derive_all(graph: Graph, rules: dict[str, Rule], most: int = 100, **options) -> Graph:
     """The graph with all that rules derive, to the end: rules may use what they and others derive.
 
     Groups of rules go in order of dependence.  A group that depends on itself is
     repeated on what is new (``Delta``) until nothing is; each round's new edges and
-    nodes are a table in the shared folder.  Derived edges count once by ends and
-    label, derived nodes once by id and label.
+    nodes are a table in the shared folder.  A transitive rule by itself is a ``closure``.
+    Derived edges count once by ends and label, derived nodes once by id and label.
     """
     for group in strata(rules):
         made = set().union(*(makes(rules[n]) for n in group))
@@ -282,6 +349,9 @@ def derive_all(graph: Graph, rules: dict[str, Rule], most: int = 100, **options)
             engine = RuleEngine(graph, **options)
             graph = _added(graph, reduce(Graph.plus, [produced(engine, rules[n]) for n in group]), made)[0]
             continue
+        if len(group) == 1 and composes(rules[group[0]]):
+            graph = graph.plus(_composed(graph, rules[group[0]], most))
+            continue
         # what the group can match, made once
         work = _matched(graph, [rules[n] for n in group], made)
         engine = RuleEngine(work, **options)
@@ -317,10 +387,13 @@ def _added(graph: Graph, found: Graph, made: set[tuple[str, str]], keep: bool =
     edges, nodes = (sorted(x for kind, x in made if kind == k) for k in ("edge", "node"))
     new_edges, new_nodes = found.edges.limit(0), found.nodes.limit(0)
     if edges:
-        new_edges = found.edges.dropDuplicates(ENDS).join(graph.edges.where(F.col("label").isin(edges)).select(*ENDS), ENDS, "left_anti").select(*EDGE_COLUMNS)
+        # derived edges have no properties: their ends and label say all of them
+        new_edges = found.edges.select(*ENDS).distinct().join(graph.edges.where(F.col("label").isin(edges)).select(*ENDS), ENDS, "left_anti")
+        new_edges = cut(new_edges) if keep else new_edges
+        new_edges = as_edges(new_edges, F.col("from_id"), F.col("from_type"), F.col("label"), F.col("to_id"), F.col("to_type"))
     if nodes:
         new_nodes = found.nodes.dropDuplicates(["id", "label"]).join(graph.nodes.where(F.col("label").isin(nodes)).select("id", "label"), ["id", "label"], "left_anti").select(*NODE_COLUMNS)
-    new = Graph(cut(new_nodes) if keep else new_nodes, cut(new_edges) if keep else new_edges)
+    new = Graph(cut(new_nodes) if keep else new_nodes, new_edges)
     return graph.plus(new), new
 
 

@@ -96,6 +96,22 @@ def test_closure_of_cycles_and_chains(spark, triples):
     assert found.edges.where("label = 'far'").count() == len(want)
 
 
+def test_transitive_rule_is_a_closure(spark, monkeypatch):
+    """No round of it goes over all that is known; nodes of other labels end no pair."""
+    triples = [(f"A:{i}", "next", f"A:{i * i % 23}") for i in range(23)] + [(f"A:{i}", "next", f"A:{i + 1}") for i in range(30, 47)] + [("A:5", "next", "B:1"), ("B:1", "next", "A:6")]
+    monkeypatch.setattr(rules.Delta, "evaluated", lambda *_: pytest.fail("semi-naive rounds"))
+    found = rules.derive_all(graph_of(spark, triples), {n: rule(x) for n, x in FAR.items()}).edges.where("label = 'far'")
+    step = {(int(a[2:]), int(b[2:])) for a, _, b in triples if a[0] == b[0] == "A"}
+    want, new = dict.fromkeys(step, 1), step
+    while new := {(a, d) for (a, b), (c, d) in itertools.product(new, step) if b == c} - want.keys():
+        want |= dict.fromkeys(new, max(want.values()) + 1)
+    assert sorted((int(r.from_id), int(r.to_id)) for r in found.collect()) == sorted(want)
+    far = rules.closure(as_edges(spark.createDataFrame(sorted(step), "s long, o long"), F.col("s"), "A", "far", F.col("o"), "A"))
+    assert {(int(r.from_id), int(r.to_id)): r.far for r in far.collect()} == want
+    other = {**FAR, "step": FAR["step"].replace("(m:A)", "(m:A|B)")}
+    assert rules.composes(rule(FAR["step"])) and not rules.composes(rule(other["step"])) and not rules.composes(rule(FAR["base"]))
+
+
 def test_mutual_rules_and_strata(spark):
     g = graph_of(spark, [(f"A:{i}", "next", f"A:{i + 1}") for i in range(5)])
     text = {
