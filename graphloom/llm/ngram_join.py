@@ -54,6 +54,8 @@ from graphloom.session import cut, shuffle_partitions
 HOT_SHINGLES = 1 << 16
 #: Bytes of text in which frequent shingles are looked for at a time.
 HOT_SLICE = 8 << 20
+#: Bytes of text whose sets are made at a time.
+SET_SLICE = 1 << 20
 #: Documents of one slice that hold a shingle before it is reported as frequent.
 HOT_LOCAL = 3
 #: Class keys that are broadcast at most; beyond it they are joined.
@@ -98,7 +100,7 @@ def _classes(k: int):
     def run(batches):
         for batch in sliced(batches, most=HOT_SLICE):
             keys, sizes, seen, fresh = [], [], set(), []
-            for s in sets_of(batch, k):
+            for s in (s for part in sliced([batch], most=SET_SLICE) for s in sets_of(part, k)):
                 key = set_key(s) if len(s) else 0
                 keys.append(key)
                 sizes.append(len(s))
@@ -120,7 +122,7 @@ def _postings(k: int, hot: np.ndarray, rank: np.ndarray):
 
     def run(batches):
         seen: set[int] = set()
-        for batch in sliced(batches):
+        for batch in sliced(batches, most=SET_SLICE):
             tokens, keys, sizes = [], [], []
             for s in sets_of(batch, k):
                 n = len(s)
@@ -399,7 +401,7 @@ def classes_and_links(docs: DataFrame, k: int = 5, block: int = 1_000_000) -> tu
     texts = base.join(_some(wanted)[0], "doc")
 
     def remake(batches):
-        for batch in sliced(batches):
+        for batch in sliced(batches, most=SET_SLICE):
             keys, sizes, made = [], [], []
             # rows that share a doc_id may be of several classes: the one that is meant stays
             for key, s in zip(batch.column("key").to_pylist(), sets_of(batch, k), strict=True):

@@ -29,6 +29,8 @@ from graphloom.llm.bpe import Encoder
 from graphloom.llm.text import Texts, sliced
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
+#: Bytes of text that are encoded at a time: a byte takes some 25 bytes of arrays meanwhile.
+ENCODED_BYTES = 1 << 20
 #: Sequence numbers of one task, as bits.
 TASK_BITS = 36
 
@@ -115,11 +117,12 @@ def pack(
             return out
 
         for batch in sliced(batches):
-            ids, first = encoder.encode(Texts.of(batch.column("text")))
-            # the end id goes after each document
-            whole = np.insert(ids, first[1:], np.uint32(end_id))
-            held.append((batch.column("doc_id").to_pylist(), whole, np.diff(first) + 1))
-            size += len(whole)
+            for part in sliced([batch], most=ENCODED_BYTES):
+                ids, first = encoder.encode(Texts.of(part.column("text")))
+                # the end id goes after each document
+                whole = np.insert(ids, first[1:], np.uint32(end_id))
+                held.append((part.column("doc_id").to_pylist(), whole, np.diff(first) + 1))
+                size += len(whole)
             if size >= block_tokens:
                 yield flush()
                 held, size = [], 0

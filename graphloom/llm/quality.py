@@ -25,7 +25,7 @@ from graphloom.llm.text import SPACE, Texts, dictionary, fold, hash_each, mix, s
 
 BITS = 16
 #: Bytes of text whose features are made at a time: a byte takes some 50 bytes of them.
-FEATURE_BYTES = 2 << 20
+FEATURE_BYTES = 1 << 20
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

@@ -139,3 +139,10 @@ def test_stages_keep_columns_and_take_effect(spark):
         before = after
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, HERE)
     assert packed.agg({"length": "sum"}).first()[0] > 0
+
+
+def test_arrays_are_made_of_little_text_at_a_time():
+    """The Python workers' peaks follow these sizes."""
+    from graphloom.llm import ngram_join, packing, quality
+
+    assert max(packing.ENCODED_BYTES, ngram_join.SET_SLICE, quality.FEATURE_BYTES) <= 1 << 20
