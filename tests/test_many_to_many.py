@@ -43,3 +43,13 @@ def test_leaves_are_not_inside_paths(star):
     first = patterns._keys(star.nodes.where("label = 'Leaf'"), "b")
     ahead = patterns._frontiers(one, first, 2, patterns._within(one, first, 3), 4, patterns._inner(one))
     assert [x.count() for x in ahead] == [60, 60]
+
+
+def test_nodes_are_joined_to_halves_of_paths(star):
+    """Pairs are made last: no join, and no taking apart of arrays, sees a row for each of them."""
+    rows = patterns.Matcher(star).bind(patterns.parse("MATCH (a:Leaf)-[p:in*0..4]-(b:Leaf) RETURN a, b")).select("a_id", "b_id", "p_hops", "a_name", "b_properties")
+    plan = rows._jdf.queryExecution().optimizedPlan()
+    assert "arrays_overlap" not in plan.toString()
+    # below the union of all lengths, so that none joins what it gives
+    assert plan.toString().lstrip().startswith(("Union", "Project")) and "Join" not in plan.toString().split("Union")[0]
+    assert rows.count() == 60 * 59 + 60
