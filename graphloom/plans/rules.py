@@ -149,6 +149,73 @@ class RuleEngine:
         pairs = rows.select(F.col(s).alias("s"), F.col(f"{step.source}_label").alias("st"), F.col(f"{step.target}_id").alias("o"), F.col(f"{step.target}_label").alias("ot")).distinct()
         return as_edges(pairs, F.col("s"), F.col("st"), relation, F.col("o"), F.col("ot"))
 
+    def pairs(self, rule: Rule) -> DataFrame:
+        """(from_id, from_type, to_id, to_type) of the derived relation, each once, of a rule that is ``plain``.
+
+        Variables that the head does not name are eliminated one by one, first where that makes the
+        fewest rows, and what is left of the structure is made distinct each time.  So only the
+        last elimination makes as many rows as there are pairs; a source with one partner in it
+        cannot give a pair twice, so its pairs are not shuffled.
+        """
+        matcher = Matcher(self.graph, self.concepts, self.params, self.now)
+        key = lambda v: [f"{v}_id", f"{v}_label"]
+
+        def resolve(name: str) -> Column:
+            column, prop = matcher.resolve(name), name.partition(".")[2]
+            return column.cast(self.types[prop]) if prop in self.types else column
+
+        nodes: dict[str, DataFrame] = {}
+        for v, known in rule.structure.nodes.items():
+            rows = matcher.scan(v, sorted(set(known) | set(rule.head.nodes.get(v, [])) if not known else known))
+            for line in rule.lines:
+                if line_variables(line) == {v}:
+                    rows = rows.where(lower(line, resolve, self.params, self.now))
+            nodes[v] = rows.select(key(v)).distinct()
+        factors: list[tuple[list[str], DataFrame]] = []
+        for step in rule.structure.steps:
+            rows = matcher.hops(step).select(*key(step.source), *key(step.target))
+            for v in (step.source, step.target):
+                rows = rows.join(nodes[v], key(v), "left_semi")
+            factors.append(([step.source, step.target], cut(rows.distinct())))
+        ends = [rule.derived.source, rule.derived.target]
+        inner = [v for v in nodes if v not in ends]
+        while inner:
+            v = inner[0] if len(inner) == 1 else min(inner, key=lambda x: (_made([f for names, f in factors if x in names], key(x)), x))
+            inner.remove(v)
+            own = [f for f in factors if v in f[0]]
+            factors = [f for f in factors if v not in f[0]]
+            names, rows = own[0]
+            for more, other in own[1:-1]:
+                shared = [c for x in names if x in more for c in key(x)]
+                names, rows = names + [x for x in more if x not in names], rows.join(other, shared)
+            if len(own) == 1:
+                names, rows = [x for x in names if x != v], rows.drop(*key(v)).distinct()
+            else:
+                more, other = own[-1]
+                shared = [x for x in names if x in more]
+                by = [x for x in names if x not in shared]
+                left = [c for x in names for c in key(x)]
+                if not by or not [x for x in more if x not in shared]:
+                    rows = rows.join(other, [c for x in shared for c in key(x)])
+                    names = [x for x in dict.fromkeys(names + more) if x != v]
+                    rows = rows.select(*[c for x in names for c in key(x)]).distinct()
+                else:
+                    kept = [x for x in names if x != v]
+                    names = kept + [x for x in more if x not in names]
+                    rows = rows.select(left)
+                    often = cut(rows.groupBy(*[c for x in kept for c in key(x)]).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+                    met = lambda part, other=other, shared=shared, by=by, names=names: many_to_many(part, other, [c for x in shared for c in key(x)], [c for x in by for c in key(x)]).select(*[c for x in names for c in key(x)])
+                    if often.limit(1).count():
+                        on = [c for x in kept for c in key(x)]
+                        rows = met(rows.join(often, on, "left_anti")).unionByName(met(rows.join(often, on, "left_semi")).distinct())
+                    else:
+                        rows = met(rows)
+            factors.append((names, cut(rows) if inner else rows))
+        rows = factors[0][1]
+        for names, other in factors[1:]:
+            rows = rows.join(other, [c for x in names for c in key(x)], "left_semi")
+        return rows.select(*[F.col(c).alias(n) for c, n in zip([*key(ends[0]), *key(ends[1])], ENDS[:4], strict=True)])
+
     def values(self, rule: Rule, name: str = "o") -> DataFrame:
         """A derived property: (id, value), once per subject."""
         return self.matches(rule).select(F.col(f"{rule.derived.source}_id").alias("id"), F.col(f"_v_{name}").alias("value")).distinct()
@@ -247,6 +314,60 @@ def produced(engine: RuleEngine, rule: Rule, edges: dict[str, DataFrame] | None
     return Graph(out.nodes, out.edges.unionByName(engine.edges(rule, rows))) if has_head(rule) else out
 
 
+def line_variables(line: str) -> set[str]:
+    return set(re.findall(r"\b([A-Za-z_]\w*)\.[A-Za-z_]", re.sub(r"'[^']*'|\"[^\"]*\"", "", line)))
+
+
+def plain(rule: Rule) -> bool:
+    """Whether a rule's relation is a projection of edges and of conditions on single nodes: ``pairs`` can make it."""
+    step, steps = rule.derived, rule.structure.steps
+    labels = [x for known in [*rule.structure.nodes.values(), *rule.head.nodes.values()] for x in known]
+    if rule.actions or not has_head(rule) or len(rule.head.steps) != 1 or step.source == step.target or any("/" in x or x == "Entity" for x in labels):
+        return False
+    if any((s.low, s.high) != (1, 1) or s.undirected or s.source == s.target for s in steps):
+        return False
+    variables = set(rule.structure.nodes) | {s.var for s in steps}
+    alone = lambda x: set(re.findall(r"\b[A-Za-z_]\w*", re.sub(r"'[^']*'|\"[^\"]*\"|\.\s*\w+", "", x))) & variables == line_variables(x)
+    conditions = all(len(line_variables(x)) == 1 and line_variables(x) <= set(rule.structure.nodes) and alone(x) and not re.match(r"^\w+\s*=(?!=)|^R\w*\s*\(", x) and not GROUP.search(x) for x in rule.lines)
+    # connected, so that each elimination is a join
+    reached = {step.source}
+    for _ in steps:
+        reached |= {v for s in steps if {s.source, s.target} & reached for v in (s.source, s.target)}
+    return conditions and reached == set(rule.structure.nodes)
+
+
+def unfolded(rule: Rule, known: dict[str, Rule]) -> Rule | None:
+    """A plain rule with steps over the relations of ``known`` replaced by the structures that define them; None if that cannot be."""
+    nodes, steps, lines = {v: list(x or rule.head.nodes.get(v, [])) for v, x in rule.structure.nodes.items()}, [], list(rule.lines)
+    for i, step in enumerate(rule.structure.steps):
+        if not set(step.labels) & set(known) and step.labels:
+            steps.append(step)
+            continue
+        if len(step.labels) != 1:
+            return None if known else rule
+        other = known[step.labels[0]]
+        named = {other.derived.source: step.source, other.derived.target: step.target}
+        for v, labels in other.structure.nodes.items():
+            name, labels = named.setdefault(v, f"_u{i}_{v}"), labels or other.head.nodes.get(v, [])
+            both = [x for x in nodes[name] if x in labels] if nodes.get(name) and labels else list(nodes.get(name) or labels)
+            if not both and labels and nodes.get(name):
+                return None
+            nodes[name] = both
+        steps += [replace(x, var=f"_u{i}_{x.var}", source=named[x.source], target=named[x.target]) for x in other.structure.steps]
+        for line in other.lines:
+            (v,) = line_variables(line)
+            lines.append(re.sub(rf"""'[^']*'|"[^"]*"|\b{v}\.""", lambda m, v=v: f"{named[v]}." if m[0] == f"{v}." else m[0], line))
+    return replace(rule, structure=Pattern(nodes, steps), lines=lines)
+
+
+def _made(factors: list[DataFrame], on: list[str]) -> int:
+    """Rows that joining these makes."""
+    if len(factors) == 1:
+        return 0
+    counts = [f.groupBy(*on).agg(F.count(F.lit(1)).cast("double").alias(f"__n{i}")) for i, f in enumerate(factors)]
+    return reduce(lambda x, y: x.join(y, on), counts).agg(F.sum(reduce(lambda x, y: x * y, [F.col(f"__n{i}") for i in range(len(factors))]))).first()[0] or 0
+
+
 class Delta:
     """What the last round has added, and rules evaluated over it: semi-naive derivation.
 
@@ -340,12 +461,25 @@ def derive_all(graph: Graph, rules: dict[str, Rule], most: int = 100, **options)
     Groups of rules go in order of dependence.  A group that depends on itself is
     repeated on what is new (``Delta``) until nothing is; each round's new edges and
     nodes are a table in the shared folder.  A transitive rule by itself is a ``closure``.
-    Derived edges count once by ends and label, derived nodes once by id and label.
+    A ``plain`` rule that depends on nothing but the given edges and other plain rules is evaluated by ``pairs``,
+    with the relations that it uses unfolded.  Derived edges count once by ends and label, derived nodes once by id and label.
     """
+    base, defined = graph, {}
+    made_by = [label for r in rules.values() for kind, label in makes(r) if kind == "edge"]
     for group in strata(rules):
         made = set().union(*(makes(rules[n]) for n in group))
         again = [n for n in group if feeds(made, rules[n])]
         if not again:
+            rule = rules[group[0]]
+            relation = (rule.derived.labels or [rule.derived.var])[0]
+            used = {x for s in rule.structure.steps for x in s.labels}
+            # what it uses is there, or is defined by plain rules alone
+            whole = unfolded(rule, defined) if plain(rule) and all(s.labels for s in rule.structure.steps) and used & set(made_by) <= set(defined) else None
+            if whole is not None and plain(whole) and made_by.count(relation) == 1 and not base.edges.where(F.col("label") == relation).limit(1).count():
+                defined[relation] = whole
+                found = RuleEngine(Graph(graph.nodes, base.edges), **options).pairs(whole)
+                graph = graph.plus(Graph(graph.nodes.limit(0), as_edges(found, F.col("from_id"), F.col("from_type"), relation, F.col("to_id"), F.col("to_type"))))
+                continue
             engine = RuleEngine(graph, **options)
             graph = _added(graph, reduce(Graph.plus, [produced(engine, rules[n]) for n in group]), made)[0]
             continue

@@ -53,3 +53,29 @@ def test_nodes_are_joined_to_halves_of_paths(star):
     # below the union of all lengths, so that none joins what it gives
     assert plan.toString().lstrip().startswith(("Union", "Project")) and "Join" not in plan.toString().split("Union")[0]
     assert rows.count() == 60 * 59 + 60
+
+
+def test_plain_rules_make_pairs_once_without_a_shuffle(spark, monkeypatch):
+    """Rules over rules are unfolded; pairs by several ways count once; rules that are not plain give the same."""
+    from graphloom.plans import rules
+
+    ways = [("s0", "h0"), ("s1", "h0"), ("s1", "h1"), ("s2", "h1"), ("s2", "h1"), ("s3", "h2")]
+    leaves, tops = spark.createDataFrame(ways, "s string, h string"), spark.createDataFrame([("h0", "t"), ("h1", "t"), ("h1", "u"), ("h2", "u")], "h string, t string")
+    node = lambda rows, c, label: as_nodes(rows.select(c).distinct(), F.col(c), label, properties=F.create_map(F.lit("n"), F.substring(F.col(c), 2, 1)))
+    g = Graph(node(leaves, "s", "Leaf").unionByName(node(tops, "h", "Hub")).unionByName(node(tops, "t", "Top")), as_edges(leaves, F.col("s"), "Leaf", "in", F.col("h"), "Hub").unionByName(as_edges(tops, F.col("h"), "Hub", "of", F.col("t"), "Top")))
+    known = {
+        "a": rules.parse_rule("Define (s:Leaf)-[p:near]->(o:Leaf) { Structure { (s)-[:in]->(n:Hub)\n (o)-[:in]->(n) } Constraint { s.n < 3 } }"),
+        "b": rules.parse_rule("Define (s:Leaf)-[p:under]->(o:Top) { Structure { (s)-[:near]->(x:Leaf)\n (x)-[:in]->(n:Hub)\n (n)-[:of]->(o) } Constraint { x.n > 0 } }"),
+    }
+    types = {"n": "int"}
+    made = rules.derive_all(g, known, types=types).edges.where("label IN ('near', 'under')").select("from_id", "label", "to_id")
+    got = sorted(map(tuple, made.collect()))
+    hub, top = {(s, h) for s, h in ways}, {("h0", "t"), ("h1", "t"), ("h1", "u"), ("h2", "u")}
+    near = {(s, o) for s, n in hub for o, m in hub if n == m and s < "s3"}
+    under = {(s, t) for s, x in near for y, h in hub for k, t in top if x == y and h == k and x > "s0"}
+    want = sorted([(s, "near", o) for s, o in near] + [(s, "under", o) for s, o in under])
+    assert got == want
+    assert rules.plain(known["a"]) and not rules.plain(rules.parse_rule("Define (s:Leaf)-[p:near]->(o:Leaf) { Structure { (s)-[:in]->(n:Hub)\n (o)-[:in]->(n) } Constraint { s.n < o.n } }"))
+    # no source of one hub is shuffled to tell its pairs apart
+    single = Graph(g.nodes, g.edges.where("from_id <> 's1'"))
+    assert "Aggregate" not in rules.RuleEngine(single, types).pairs(known["a"])._jdf.queryExecution().optimizedPlan().toString()
